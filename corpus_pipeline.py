@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import common, decontaminate, line_dedup, quality_rules, simhash_bk
+from factgraph.llm import common, decontaminate, line_dedup, mixing, quality_rules, simhash_bk
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,17 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix to target domain weights takes, with their rates and copies."""
+    return mixing.mixture(docs, common.table(spark, sf_dir, "labels"))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("line_dedup", lines),
     ("simhash_near_dedup", near_duplicates),
     ("decontaminate", benchmark_free),
+    ("mixing", mix),
 ]
 
 #: SimHash fingerprints and gradient steps have no SQL form; tests hold each stage against a brute-force version.
