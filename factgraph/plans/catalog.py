@@ -1,29 +1,14 @@
-"""The registered queries and their DuckDB equivalents."""
+"""All registered queries of the reference's operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from factgraph.plans import facts, relations, rules  # noqa: F401  (they register their queries)
+from factgraph.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
-
-def _runtime_edges_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
-    source = F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    edges = events.select(source.alias("source"), F.col("event_type").alias("target")).where("source is not null")
-    return edges.groupBy("source", "target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "target").limit(20)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"runtime_edges_topk": _runtime_edges_topk}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "runtime_edges_topk": """
-SELECT source, event_type AS target, count(*) AS n
-FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS source FROM events)
-WHERE source IS NOT NULL GROUP BY ALL ORDER BY n DESC, source, target LIMIT 20""",
-    }
+    return dict(SQL)
