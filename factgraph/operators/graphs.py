@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.operators.lineage import cut
+
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = 32) -> DataFrame:
     """(node, ancestor, depth): every ancestor at its least depth. Cycles end because a pair that is known is not added again.
@@ -13,12 +15,12 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", dept
     pairs comes back, and `depth` bounds the rounds."""
     step = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct()
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__next"))
-    new = step.withColumn("depth", F.lit(1)).checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.withColumn("depth", F.lit(1))
+    new = cut(step.withColumn("depth", F.lit(1)))
     known = new
     for d in range(2, depth + 1):
         found = new.select("node", "ancestor").join(up, "ancestor").select("node", F.col("__next").alias("ancestor")).distinct()
         new = found.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(d))
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        new = cut(new)
         if new.isEmpty():
             break
         known = known.unionByName(new)

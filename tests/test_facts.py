@@ -63,19 +63,23 @@ async def helper(x):
 }
 
 
+def local(df):
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 @pytest.fixture(scope="module")
 def facts(spark):
     rows = [(p, bytearray(c.encode())) for p, c in FILES.items()]
-    files = python_source.parsed(spark.createDataFrame(rows, "path string, content binary"), "proj").cache()
-    return python_source.tables(files)
+    files = local(python_source.parsed(spark.createDataFrame(rows, "path string, content binary"), "proj"))
+    return {k: local(v) for k, v in python_source.tables(files).items()}
 
 
 @pytest.fixture(scope="module")
 def resolved(facts):
-    imports = resolution.resolve_imports(facts, "proj").cache()
+    imports = local(resolution.resolve_imports(facts, "proj"))
     calls = resolution.resolve_function_calls(facts, imports).select("callable_id", "ord", "name", "line", "classification", "target_id", "module_id")
     methods = resolution.resolve_method_calls(facts, imports).select("callable_id", "ord", "name", "line", "classification", "target_id", "module_id")
-    return imports, calls.unionByName(methods).cache()
+    return imports, local(calls.unionByName(methods))
 
 
 def test_modules_and_errors(facts):
