@@ -137,8 +137,9 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_byt
         yield [r.i for r in rows], [r.t for r in rows]
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with a struct column `contamination`: n_words, n_hit, items (sorted as strings), hit (bitmap over words, or null)."""
+def searched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, name: str = "contamination") -> DataFrame:
+    """docs with a struct column `name`: n_words, n_hit, items (sorted as strings), hit (bitmap over words, or null). A column
+    of that name goes."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
     kind = rows.schema
@@ -160,12 +161,13 @@ def searched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
         rows = rows.mapInArrow(run, out)
     nibbles = F.regexp_replace(F.translate(F.hex("__hit"), "0123456789ABCDEF", "0112122312232334"), "0", "")
     ones = sum((F.lit(k) * (F.length(nibbles) - F.length(F.replace(nibbles, F.lit(str(k)), F.lit("")))) for k in range(1, 5)), F.lit(0))
-    return rows.select("__row.*", F.struct(F.col("__words").alias("n_words"), F.coalesce(ones, F.lit(0)).cast("long").alias("n_hit"), F.col("__items").alias("items"), F.col("__hit").alias("hit")).alias("contamination"))
+    kept = (F.col(f"__row.{c}").alias(c) for c in docs.columns if c != name)
+    return rows.select(*kept, F.struct(F.col("__words").alias("n_words"), F.coalesce(ones, F.lit(0)).cast("long").alias("n_hit"), F.col("__items").alias("items"), F.col("__hit").alias("hit")).alias(name))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs."""
-    return searched(docs, benchmark).where("contamination.n_hit = 0").select(*docs.columns)
+    return searched(docs, benchmark, name="__contamination").where("__contamination.n_hit = 0").select(*docs.columns)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

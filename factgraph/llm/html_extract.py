@@ -255,7 +255,8 @@ def _container(node: int, parent: list[int], tag: list[str]) -> int | None:
 
 
 def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with one more column, main_text."""
+    """pages with one more column, main_text. A column of that name goes."""
+    pages = pages.drop("main_text")
     rows = pages.select(F.struct(*[c for c in pages.columns if c != html_col]).alias("__row") if len(pages.columns) > 1 else F.lit(0).alias("__row"), F.col(html_col).alias("html"))
     out = T.StructType([*rows.schema.fields, T.StructField("main_text", T.StringType())])
 

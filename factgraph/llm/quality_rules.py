@@ -161,19 +161,19 @@ def verdict(rules: tuple[Rule, ...]) -> dict[str, Column]:
     return {"base_failed": base, "failed_rules": broken, "kept": ~base & (F.size(broken) == 0)}
 
 
-def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with a struct column `quality`: the statistics, failed_rules, base_failed and kept."""
+def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, name: str = "quality") -> DataFrame:
+    """docs with a struct column `name`: the statistics, failed_rules, base_failed and kept. A column of that name goes."""
     out = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
     for stage in statistics(F.col("__text")).values():
         out = out.withColumns(stage)
     out = out.withColumns(verdict(rules))
     names = [c for c in out.columns if not c.startswith("__")]
-    return out.select("__row.*", F.struct(*names).alias("quality"))
+    return out.select(*(F.col(f"__row.{c}").alias(c) for c in docs.columns if c != name), F.struct(*names).alias(name))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep."""
-    return judged(docs).where("quality.kept").select(*docs.columns)
+    return judged(docs, name="__quality").where("__quality.kept").select(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
