@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factgraph.plans import facts, relations, rules  # noqa: F401  (they register their queries)
+from factgraph.plans import code, facts, relations, rules  # noqa: F401  (they register their queries)
 from factgraph.plans.registry import QUERIES, SQL, Query
 
 
