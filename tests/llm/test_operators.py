@@ -261,7 +261,7 @@ def test_mixing_meets_targets(spark):
     rows = [(k, 1, 100 + k, [0.9, 0.1, 0.0] if k % 3 else [0.1, 0.2, 0.7]) for k in range(300)]
     members = spark.createDataFrame(rows, "doc_id long, n_rows long, tokens long, p array<double>")
     targets = {"good": 0.8, "poor": 0.12, "toxic": 0.08}
-    steps = mixing.fit_rates(members, targets, 1.1, steps=200)
+    steps = mixing.fit_rates(members, targets, 1.1)
     r = members.withColumn("r", mixing._rate(F.col("p"), steps)).agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col("r") * F.col("p")[k]) for k in range(3))).first()
     assert [round(x / r[0], 2) for x in r[1:]] == pytest.approx([0.88, 0.132, 0.088], abs=0.02)
 
