@@ -44,7 +44,7 @@ class Rule:
 
 RULES = (
     Rule("mean word length", "mean_word", low=2.0, high=14.0),
-    Rule("symbols per word", "symbol_ratio", high=0.35),
+    Rule("symbols per word", "symbol_ratio", high=0.20),
     Rule("exclamations per word", "exclaim_ratio", high=0.30),
     Rule("capitals per word character", "upper_ratio", high=0.50),
     Rule("repeated lines", "dup_line_ratio", high=0.50),
