@@ -1,6 +1,6 @@
 """Mixing documents to target domain weights by soft membership. DataFrame functions only.
 
-A classifier trained on the labelled table gives every document a posterior over domains (good, poor, toxic). Projected
+A classifier trained on the labelled table gives every document a (sharpened) posterior over domains (good, poor, toxic). Projected
 gradient least squares then fits one nonnegative rate per document so that the expected tokens of each domain, summed over
 all documents, match the targets. The gradient of a rate is preconditioned by the document's tokens, so a rate depends on
 the document only through its posterior and the domain residuals so far; each step is one distributed sum of a few numbers.
@@ -25,8 +25,12 @@ from factgraph.llm import common
 
 DOMAINS = ("good", "poor", "toxic")
 #: Share of the mixed tokens that each domain is to have, and the mixed tokens as a multiple of all tokens.
-TARGETS = {"good": 0.93, "poor": 0.07, "toxic": 0.0}
+TARGETS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
 EPOCHS = 1.25
+#: No domain is asked for more than this multiple of its tokens; a target beyond it would be met at the others' expense.
+REPEAT = 1.5
+#: Memberships are posteriors to this power, normalised, so that the labels' noise does not weigh on ordinary documents.
+SHARPNESS = 8.0
 LABELLED, BUCKETS, SHRINK = 20_000, 1 << 16, 20.0
 #: A bucket counts only if its domain shares differ from the prior by this chi-squared statistic.
 CHI2 = 20.0
@@ -89,7 +93,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     sums = joined.groupBy("doc_id", "part").agg(F.sum("end").alias("n_rows"), F.max("tokens").alias("tokens"), *(F.coalesce(F.sum(w), F.lit(0.0)).alias(w) for w in names))
     score = F.array(*(F.lit(prior[k]) + F.col(w) / F.col("n_rows") for k, w in enumerate(names)))
     top = F.array_max("score")
-    share = F.transform("score", lambda x: F.exp(x - top))
+    share = F.transform("score", lambda x: F.exp(SHARPNESS * (x - top)))
     sums = sums.withColumn("score", score).withColumn("share", share)
     total = F.aggregate("share", F.lit(0.0), lambda a, x: a + x)
     return sums.select("doc_id", "part", "n_rows", "tokens", F.transform("share", lambda x: x / total).alias("p"))
@@ -112,7 +116,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, epochs: f
     have = np.array([got[f"t{i}"] or 0.0 for i in range(k)])
     if not have.sum():
         return []
-    want = np.array([targets[d] for d in DOMAINS]) * have.sum() * epochs
+    want = np.minimum(np.array([targets[d] for d in DOMAINS]) * have.sum() * epochs, REPEAT * have)
     scale = 1 / np.sqrt(np.maximum(have, 1.0))  # each domain's squared residual counts relative to its tokens
     gram = np.array([[got[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) * np.outer(scale, scale)
     step = 1 / max(np.linalg.eigvalsh(gram).max(), 1e-12)
