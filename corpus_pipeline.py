@@ -20,8 +20,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each component of near-duplicates."""
-    return simhash_bk.deduplicated(docs)
+    """One document, that with the least doc_id, of each component of near-duplicates; documents without an id stay too."""
+    return simhash_bk.representatives(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

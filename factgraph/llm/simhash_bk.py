@@ -56,17 +56,18 @@ def _column_sums(bits: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.n
     return np.add.reduceat(small, owner[:-1], axis=0, dtype=np.int64)
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp bigint) for each row; fp is the unsigned fingerprint's bit pattern."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, more..., fp bigint) for each row; fp is the unsigned fingerprint's bit pattern. more: bigint columns."""
+    names = ["doc_id", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = fingerprints_of(part.column("text"), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fp)], [*names, "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def shard_masks(radius: int) -> list[int]:
@@ -232,24 +233,43 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document row: doc_id, fp, component_id (the smallest doc_id reachable over links within the radius)."""
-    fps = common.written(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
+def rooted(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, least, root) for every distinct fp of fps (doc_id, fp): its least doc_id, and the least fingerprint it reaches."""
     distinct = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(shard_links(distinct.select("fp"), radius))
     whole = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    whole = common.written(whole, "rooted")
+    return common.written(whole, "rooted")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row per document row: doc_id, fp, component_id (the smallest doc_id reachable over links within the radius)."""
+    fps = common.written(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
+    whole = rooted(fps, radius)
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     named = whole.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their component: one row for each, with the columns of docs."""
+    """One row for each doc_id that is some component's id: rows without an id, and further texts of one id, go. With
+    unique ids it is what representatives gives."""
     keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """Exactly one row of each component, with the columns of docs: that of least doc_id (nulls last), then least text hash,
+    then least row hash. Rows that are equal in all columns are one."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    row = F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull())))
+    keyed = docs.withColumns({"__text": text, "__row": row})
+    fps = common.written(fingerprint_table(keyed, more=("__text", "__row")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text", "__row")
+    first = fps.groupBy("fp").agg(F.min(order).alias("first"))
+    keep = first.join(rooted(fps).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.__text", "first.__row")
+    return keyed.join(keep, ["__text", "__row"], "left_semi").dropDuplicates(["__text", "__row"]).select(*docs.columns)
+
+
 def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -306,3 +306,23 @@ def test_pipeline_stages_against_brute_force(spark):
     assert got == want and four.columns == docs.columns
     five = stages["mixing"](spark, four, SF)
     assert set(read(five)) <= set(got) and set(docs.columns) < set(five.columns) and five.count() == five.select("doc_id").distinct().count()
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    """Unique texts stay whatever their id is: null, or that of another text."""
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    rows = [(None, text(1), "a"), (None, text(1), "b"), (None, text(2), "a"), (7, text(3), "a"), (7, text(4), "a"), (8, text(5), "a"), (9, text(5), "a"), (None, text(5), "a"), (8, text(5), "a"), (7, text(6), "a"), (6, text(6), "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_duplicates(spark, frame.repartition(3), SF)
+    assert kept.columns == frame.columns
+    got = by_row((r.doc_id, r.text) for r in kept.collect())
+    assert got == by_row([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(5)), (6, text(6))])
+    again = simhash_bk.representatives(frame.orderBy(F.desc("source"), "doc_id")).collect()
+    assert by_row(map(tuple, again)) == by_row(map(tuple, kept.collect()))
+    assert simhash_bk.representatives(frame.limit(0)).count() == 0
+
+
+def test_edge_rows_keep_one_row_of_each_component(docs):
+    fps = [brute.fingerprint(t) for _, t in edge_rows()]
+    reach = brute.components(dict(enumerate(fps)))
+    assert simhash_bk.representatives(docs).count() == len(set(reach.values()))
