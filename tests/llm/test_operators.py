@@ -326,3 +326,14 @@ def test_edge_rows_keep_one_row_of_each_component(docs):
     fps = [brute.fingerprint(t) for _, t in edge_rows()]
     reach = brute.components(dict(enumerate(fps)))
     assert simhash_bk.representatives(docs).count() == len(set(reach.values()))
+
+
+@pytest.mark.parametrize("toxic", [3, 9, 40])
+def test_toxic_rates_fall_to_zero_at_any_share(spark, toxic):
+    """1000 documents of which 0.3 %, 0.9 % and 4 % of the tokens are toxic."""
+    rows = [(k, 1, 100, [0.02, 0.01, 0.97] if k < toxic else [0.97, 0.03, 0.0] if k % 10 else [0.1, 0.9, 0.0]) for k in range(1000)]
+    members = spark.createDataFrame(rows, "doc_id long, n_rows long, tokens long, p array<double>")
+    rates = members.withColumn("r", mixing._rate(F.col("p"), mixing.fit_rates(members)))
+    got = rates.groupBy((F.col("doc_id") < toxic).alias("toxic")).agg(F.min("r").alias("low"), F.max("r").alias("high")).collect()
+    got = {r.toxic: (r.low, r.high) for r in got}
+    assert got[True][1] < 0.05 and got[False][0] > 0
