@@ -2,7 +2,9 @@
 
 A page is tokenised once into a tree of elements. Elements that are boilerplate by their kind (navigation, headers and
 footers of the page, asides, forms, scripts, styles, ...) or by what their class, id or role says (adverts, notices,
-comments, ...) are left out with all they hold. Every other node gets its composite density: characters per tag, weighed by
+comments, ...) are left out with all they hold; a class or id of HINTS removes no element that also names content, holds an
+article or main element, or holds at least LARGE of the text of the article or main element around it or, in a page that has
+none, of the page (density decides on those). Every other node gets its composite density: characters per tag, weighed by
 the logarithm of its text to link proportions, whose base depends on the page's own proportions. The sum of the densities of
 a node's children is its density sum. From the node with the largest sum, the least density on the path up to body is the
 threshold; in every node that reaches it, the subtree of largest density sum is content. If that best node lies in an
@@ -51,6 +53,8 @@ HINTS = frozenset(
     "subscribe subscription signup sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus replies respond "
     "share sharing social related recommended recommendations pagination pager login".split())
 WEAK_HINTS = frozenset("header masthead banner promo promotion alert notice notices notification disclaimer announcement search toolbar widget".split())
+#: Share of the text around it from which an element is not left out for a word of HINTS.
+LARGE = 0.5
 CONTENT_HINTS = frozenset("article content entry post story main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
@@ -60,12 +64,13 @@ _WHITE = re.compile(r"[\x20\x09-\x0d]+")
 _NAMES = re.compile(r"[a-z0-9]+")
 
 
-def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
-    """inside: the element stands in an article or main element."""
+def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool | None:
+    """None: only by a word of HINTS, so that what the element holds decides. inside: it stands in an article or main element."""
     if tag in BOILERPLATE or (tag == "header" and not inside):
         return True
     if not attributes or tag in NEVER:
         return False
+    hinted = content = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -73,9 +78,11 @@ def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
         words = set(_NAMES.findall(value))
         if name == "role" and words & ROLES:
             return True
-        if name in ("class", "id") and (words & HINTS or (words & WEAK_HINTS and not (inside or words & CONTENT_HINTS))):
-            return True
-    return False
+        if name in ("class", "id"):
+            if words & WEAK_HINTS and not (words & HINTS or inside or words & CONTENT_HINTS):
+                return True
+            hinted, content = hinted or bool(words & HINTS), content or bool(words & CONTENT_HINTS)
+    return None if hinted and not content else False
 
 
 class Tree:
@@ -84,6 +91,7 @@ class Tree:
     def __init__(self, html: str):
         self.parent, self.tag, self.last = [-1], ["body"], [0]
         self.runs: list[tuple[int, str | None]] = []
+        self.hinted: list[int] = []  # elements that HINTS name
         self._stack, self._open = [0], {}
         self._skip_depth = 0  # stack height from which all is left out, or 0
         self._inside = 0  # open article and main elements
@@ -146,7 +154,8 @@ class Tree:
                 self._add(tag)
             return
         self._open[tag] = self._open.get(tag, 0) + 1
-        if not self._skip_depth and _is_boilerplate(tag, attributes, self._inside > 0):
+        named = False if self._skip_depth else _is_boilerplate(tag, attributes, self._inside > 0)
+        if named:
             self._skip_depth = len(self._stack) + 1
             self.runs.append((0, None))
         self._inside += tag in ("article", "main")
@@ -156,6 +165,9 @@ class Tree:
         if tag in BLOCK:
             self.runs.append((0, None))
         self._stack.append(self._add(tag))
+        if named is None:
+            self.hinted.append(self._stack[-1])
+            self.runs.append((self._stack[-1], ""))  # a boundary if the element goes
 
     def _add(self, tag: str) -> int:
         self.parent.append(self._stack[-1])
@@ -185,6 +197,30 @@ class Tree:
                 at = end.start() if end else n
 
 
+def _gone(tree: Tree, runs: list[tuple[int, str | None]]) -> list[bool]:
+    """Of each element, whether it or one above it is left out for a word of HINTS."""
+    n = len(tree.tag)
+    gone = [False] * n
+    if not tree.hinted:
+        return gone
+    size, holds, around = [0] * n, [t in ("article", "main") for t in tree.tag], [0] * n
+    for k in range(1, n):
+        around[k] = tree.parent[k] if holds[tree.parent[k]] else around[tree.parent[k]]
+    for k, text in runs:
+        if text:
+            size[k] += len(text) - sum(map(len, _WHITE.findall(text)))
+    for k in range(n - 1, 0, -1):
+        size[tree.parent[k]] += size[k]
+        holds[k] = holds[k] and size[k] > 0
+        holds[tree.parent[k]] |= holds[k]
+    for k in tree.hinted:
+        large = size[k] and size[k] >= LARGE * size[around[k]] and (around[k] or not holds[0])
+        gone[k] = not (holds[k] or large)
+    for k in range(1, n):
+        gone[k] = gone[k] or gone[tree.parent[k]]
+    return gone
+
+
 def main_text(html: str | None) -> str:
     """The page's main text: blocks in page order, joined by one space; empty if there is none."""
     if not html:
@@ -195,8 +231,10 @@ def main_text(html: str | None) -> str:
     link = [False] * n
     for k in range(1, n):
         link[k] = tag[k] == "a" or link[parent[k]]
-    chars, tags, link_chars, link_tags = [0] * n, [1] * n, [0] * n, [0] * n
     runs = [(k, None if t is None else unescape(t) if "&" in t else t) for k, t in tree.runs]
+    gone = _gone(tree, runs)
+    runs = [(k, None if gone[k] else t) for k, t in runs]
+    chars, tags, link_chars, link_tags = [0] * n, [0 if x else 1 for x in gone], [0] * n, [0] * n
     for k, text in runs:
         if text is not None and (size := len(text) - sum(map(len, _WHITE.findall(text)))):
             chars[k] += size
@@ -206,7 +244,7 @@ def main_text(html: str | None) -> str:
         chars[up] += chars[k]
         tags[up] += tags[k]
         link_chars[up] += link_chars[k]
-        link_tags[up] += link_tags[k] + (tag[k] == "a")
+        link_tags[up] += link_tags[k] + (tag[k] == "a" and not gone[k])
     if not chars[0]:
         return ""
     page = link_chars[0] / chars[0]

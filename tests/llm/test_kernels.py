@@ -80,3 +80,16 @@ def test_density_parts_text_from_links():
     links = "".join(f"<div><a href='/{k}'>link {k}</a></div>" for k in range(30))
     text = main_text(f"<body><div>{links}</div><div><div>{body}</div></div></body>")
     assert text.startswith("sentence with") and text.endswith("4.") and "link" not in text
+
+
+def test_hint_words_remove_no_article():
+    """A wrapper that names content, holds an article, or holds most of the page stays; small named boilerplate goes."""
+    text = " ".join(f"plain sentence number {k} of the article" for k in range(40))
+    for wrapper in ("<div class='content has-sidebar'>", "<div class='post comments-open'>", "<section class='social-science'>", "<div id=main class=subscription>"):
+        page = f"<body><div class=sidebar>side words</div>{wrapper}<p>{text}</p></div></section></body>"
+        assert main_text(page) == text
+    assert main_text(f"<div class='page sidebar'><article><p>short</p></article></div><p>{text}</p>") != ""
+    assert main_text("<div class=related><article>the article</article></div><div class=ad>buy</div>") == "the article"
+    assert main_text(f"<p>{text}<span class=share></span>end</p><div class=comments><p>reader <b>says</b> this</p></div>") == text + " end"
+    assert main_text(f"<div class=ad>{text}</div><article><p>short</p></article>") == "short"
+    assert main_text(f"<article><h1>head</h1><div class='science social'><p>{text}</p></div><div class=share>share it</div></article>") == "head " + text
