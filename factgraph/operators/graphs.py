@@ -12,17 +12,19 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", dept
     """(node, ancestor, depth): every ancestor at its least depth. Cycles end because a pair that is known is not added again.
 
     Semi-naive: each round joins only the pairs that the last one found. The loop runs on the driver, but only a count of new
-    pairs comes back, and `depth` bounds the rounds."""
+    pairs comes back. A graph with pairs more than `depth` edges apart raises an error: no pair is left out."""
     step = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct()
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__next"))
     new = cut(step.withColumn("depth", F.lit(1)))
     known = new
-    for d in range(2, depth + 1):
+    for d in range(2, depth + 2):
         found = new.select("node", "ancestor").join(up, "ancestor").select("node", F.col("__next").alias("ancestor")).distinct()
         new = found.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(d))
         new = cut(new)
         if new.isEmpty():
             break
+        if d > depth:
+            raise RuntimeError(f"closure is not complete at depth {depth}")
         known = known.unionByName(new)
     return known
 

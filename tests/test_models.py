@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factgraph.facts import resolution
 from factgraph.kdm import model, validation, xmi
+from factgraph.operators import graphs
 from factgraph.recovery import roles, structure
 from factgraph.review import findings
 from factgraph.sources import documents, python_source
@@ -212,3 +213,10 @@ def test_json_sources(spark, tmp_path):
     bad = spark.createDataFrame([("a", None, 0.5), ("b", "Wizard", 2.0)], "id string, role string, confidence double")
     found = documents.schema_findings(bad, "id", ["role"], {"role": ["Monitor"]}, {"confidence": (0, 1)}).collect()
     assert sorted((r.element, r.message.split(" ")[0]) for r in found) == [("a", "role"), ("b", "confidence"), ("b", "role")]
+
+
+def test_closure_is_whole_or_an_error(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(6)], "child int, parent int")
+    assert graphs.closure(chain, depth=6).count() == 21
+    with pytest.raises(RuntimeError):
+        graphs.closure(chain, depth=5)
