@@ -1,20 +1,24 @@
 """Main text of web pages by composite text density of DOM nodes.
 
-A page is tokenised once into a tree of elements. Elements that are boilerplate by their kind (navigation, headers and
-footers of the page, asides, forms, scripts, styles, ...) or by what their class, id or role says (adverts, notices,
-comments, ...) are left out with all they hold; a class or id of HINTS removes no element that also names content, holds an
-article or main element, or holds at least LARGE of the text of the article or main element around it or, in a page that has
-none, of the page (density decides on those). Every other node gets its composite density: characters per tag, weighed by
-the logarithm of its text to link proportions, whose base depends on the page's own proportions. The sum of the densities of
-a node's children is its density sum. From the node with the largest sum, the least density on the path up to body is the
-threshold; in every node that reaches it, the subtree of largest density sum is content. If that best node lies in an
-article (else main) element, the content is what that element holds.
+A page is tokenised once into a tree of elements. Left out, with all they hold, are elements that are boilerplate by their kind
+or ARIA role (navigation, headers and footers of the page, asides, forms, scripts, styles, ...) or by name: a class or id all of
+whose parts are words of HINTS or NEUTRAL, one of HINTS at least (`sidebar-left`, but not `related-work`), unless the element
+also names content, holds an article or main element, or holds LARGE of the text around it; and blocks of reader comments that
+a heading of COMMENTS opens.
+
+Every other block-level node gets its composite density: characters per tag (inline tags other than links count as text),
+weighed by the logarithm of its text to link proportions, whose base depends on the page's own proportions. The sum of the densities of a node's children is its density sum. From the node
+with the largest sum, the least density on the path up to body is the threshold; in every node that reaches it, the subtree of
+largest density sum is content. Headings in front of it that hang on that path are content too; blocks that hold nothing but
+links (MENU of them or more) are not. Where article elements (else main) hold at least SCOPE of the text, densities count only
+what lies in them, and short paragraphs, headings and lists that hang on the path are content as well.
 
 White space is [\\x20\\x09-\\x0D]. Text is split into blocks at block-level elements and line breaks.
 
 Nulls: a null html is an empty page, and a page without main text gives the empty string. Markup that is broken, cut off or
-nested very deeply is read as far as it goes. Rows are read one by one, so repeated rows give equal results; columns other
-than the named ones play no part.
+nested very deeply is read as far as it goes; very long pages are read whole. Ties of density sums go to the node with more
+text, then to the first. Rows are read one by one, so repeated rows give equal results, and an empty table gives none; columns
+other than the named ones play no part (a column main_text of the input is replaced).
 """
 
 from __future__ import annotations
@@ -50,22 +54,44 @@ BOILERPLATE = frozenset("head nav footer aside form menu dialog noscript templat
 NEVER = frozenset("html body article main".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors cookie cookies consent gdpr popup modal newsletter "
-    "subscribe subscription signup sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus replies respond "
+    "subscribe subscription signup sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus replies respond "
     "share sharing social related recommended recommendations pagination pager login".split())
 WEAK_HINTS = frozenset("header masthead banner promo promotion alert notice notices notification disclaimer announcement search toolbar widget".split())
-#: Share of the text around it from which an element is not left out for a word of HINTS.
-LARGE = 0.5
+#: Words that say where or in what shape a named element stands, not what it holds.
+NEUTRAL = WEAK_HINTS | frozenset(
+    "left right top bottom upper lower center side inner outer site page global mobile desktop primary secondary wrapper wrap container box block section area region zone slot unit bar panel "
+    "list item items row col column group module body link links button buttons icon icons media text title heading form reader readers user users thread count posts stories articles news "
+    "policy banner overlay dropdown toggle first last odd even the and by for".split())
+#: Headings that open reader comments, in the languages of the rules.
+COMMENTS = frozenset((
+    "comments", "comment", "reader comments", "user comments", "readers comments", "leave a comment", "leave a reply", "post a comment", "join the discussion",
+    "kommentare", "leserkommentare", "commentaires", "commentaires des lecteurs", "comentarios", "comentarios de los lectores"))
+#: Share of the text around it from which an element is not left out for its name; of the text, from which article or main elements are all that counts.
+LARGE, SCOPE = 0.9, 0.5
+MENU = 3
 CONTENT_HINTS = frozenset("article content entry post story main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?=[\s=/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WHITE = re.compile(r"[\x20\x09-\x0d]+")
-_NAMES = re.compile(r"[a-z0-9]+")
+_NAMES = re.compile(r"[a-z]+|[0-9]+")
+_LABEL = re.compile(r"[^\W\d_]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | frozenset("p ul ol dl blockquote pre table figure figcaption hgroup details address".split())
+
+
+def _named(value: str, hints: frozenset[str]) -> bool:
+    """Whether one of the names in a class or id value says boilerplate: all its parts are hints, neutral or numbers."""
+    for name in value.split():
+        parts = _NAMES.findall(name)
+        if any(x in hints for x in parts) and all(x in hints or x in HINTS or x in NEUTRAL or x.isdigit() for x in parts):
+            return True
+    return False
 
 
 def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool | None:
-    """None: only by a word of HINTS, so that what the element holds decides. inside: it stands in an article or main element."""
+    """None: only by its class or id, so that what the element holds decides. inside: it stands in an article or main element."""
     if tag in BOILERPLATE or (tag == "header" and not inside):
         return True
     if not attributes or tag in NEVER:
@@ -75,13 +101,11 @@ def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool | None:
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        words = set(_NAMES.findall(value))
-        if name == "role" and words & ROLES:
+        if name == "role" and not ROLES.isdisjoint(value.split()):
             return True
         if name in ("class", "id"):
-            if words & WEAK_HINTS and not (words & HINTS or inside or words & CONTENT_HINTS):
-                return True
-            hinted, content = hinted or bool(words & HINTS), content or bool(words & CONTENT_HINTS)
+            hinted = hinted or _named(value, HINTS if inside else HINTS | WEAK_HINTS)
+            content = content or not CONTENT_HINTS.isdisjoint(value.split())
     return None if hinted and not content else False
 
 
@@ -214,82 +238,160 @@ def _gone(tree: Tree, runs: list[tuple[int, str | None]]) -> list[bool]:
         holds[k] = holds[k] and size[k] > 0
         holds[tree.parent[k]] |= holds[k]
     for k in tree.hinted:
-        large = size[k] and size[k] >= LARGE * size[around[k]] and (around[k] or not holds[0])
+        large = size[k] and size[k] >= LARGE * size[around[k]] and (around[k] or not holds[0])  # most of what there is, so no mere part
         gone[k] = not (holds[k] or large)
     for k in range(1, n):
         gone[k] = gone[k] or gone[tree.parent[k]]
     return gone
 
 
+def _comments(tree: Tree, runs: list[tuple[int, str | None]], gone: list[bool]) -> None:
+    """Marks the blocks of reader comments that a heading opens: the heading's parent if the heading is its first text, else
+    the heading and what follows it up to the next heading of its rank."""
+    tag, parent = tree.tag, tree.parent
+    label: dict[int, str] = {}
+    first: dict[int, int] = {}  # of each element, the element of its first text
+    for k, text in runs:
+        if text and not gone[k] and text.strip():
+            up = k
+            while up >= 0 and up not in first:
+                first[up], up = k, parent[up]
+            up = k
+            while up > 0 and tag[up] not in HEADINGS:
+                up = parent[up]
+            if up > 0:
+                label[up] = label.get(up, "") + text
+    found = [k for k, text in label.items() if len(text) < 60 and " ".join(_LABEL.findall(text.lower())) in COMMENTS]
+    for k in found:
+        up, at = parent[k], first[parent[k]]
+        while at > k:
+            at = parent[at]
+        if up and tag[up] not in NEVER and at == k:
+            gone[up] = True
+            continue
+        gone[k] = True
+        for x in range(k + 1, len(tag)):
+            if parent[x] == up:
+                if tag[x] in HEADINGS and tag[x] <= tag[k]:
+                    break
+                gone[x] = True
+    if found:
+        for k in range(1, len(tag)):
+            gone[k] = gone[k] or gone[parent[k]]
+
+
+def _scope(tree: Tree, chars: list[int]) -> list[int]:
+    """The outermost article elements if they hold SCOPE of the text, else main elements that do, else none."""
+    for kind in ("article", "main"):
+        under, roots = [False] * len(tree.tag), []
+        for k in range(1, len(tree.tag)):
+            under[k] = under[tree.parent[k]] or tree.tag[tree.parent[k]] == kind
+            if tree.tag[k] == kind and not under[k] and chars[k]:
+                roots.append(k)
+        if roots and sum(chars[k] for k in roots) >= SCOPE * chars[0]:
+            return roots
+    return []
+
+
+class Measures:
+    """Characters, tags, link characters and link tags of every subtree, without what is gone."""
+
+    def __init__(self, tree: Tree, runs: list[tuple[int, str | None]], gone: list[bool]):
+        n, tag, parent = len(tree.tag), tree.tag, tree.parent
+        link = [False] * n
+        for k in range(1, n):
+            link[k] = tag[k] == "a" or link[parent[k]]
+        self.chars, self.link_chars, self.links = [0] * n, [0] * n, [0] * n
+        self.tags = [int(not x and (t in BLOCK or t == "a")) for x, t in zip(gone, tag, strict=True)]
+        for k, text in runs:
+            if text and not gone[k] and (size := len(text) - sum(map(len, _WHITE.findall(text)))):
+                self.chars[k] += size
+                self.link_chars[k] += size if link[k] else 0
+        for k in range(n - 1, 0, -1):
+            up = parent[k]
+            self.chars[up] += self.chars[k]
+            self.tags[up] += self.tags[k]
+            self.link_chars[up] += self.link_chars[k]
+            self.links[up] += self.links[k] + (tag[k] == "a" and not gone[k])
+
+    def densities(self) -> list[float]:
+        page = self.link_chars[0] / self.chars[0]
+        out = [0.0] * len(self.chars)
+        for k, c in enumerate(self.chars):
+            if c:
+                t, lc, lt = max(self.tags[k], 1), self.link_chars[k], self.links[k]
+                base = log(c / max(c - lc, 1) * lc + page * c + e)
+                out[k] = c / t * (log(max(c / max(lc, 1) * (t / max(lt, 1)), 1.0)) / log(base) if base > 1 + 1e-9 else log(max(c * t, e)))
+        return out
+
+
 def main_text(html: str | None) -> str:
     """The page's main text: blocks in page order, joined by one space; empty if there is none."""
     if not html:
         return ""
     tree = Tree(html)
-    n = len(tree.tag)
-    parent, tag = tree.parent, tree.tag
-    link = [False] * n
-    for k in range(1, n):
-        link[k] = tag[k] == "a" or link[parent[k]]
+    n, parent, tag = len(tree.tag), tree.parent, tree.tag
     runs = [(k, None if t is None else unescape(t) if "&" in t else t) for k, t in tree.runs]
     gone = _gone(tree, runs)
-    runs = [(k, None if gone[k] else t) for k, t in runs]
-    chars, tags, link_chars, link_tags = [0] * n, [0 if x else 1 for x in gone], [0] * n, [0] * n
-    for k, text in runs:
-        if text is not None and (size := len(text) - sum(map(len, _WHITE.findall(text)))):
-            chars[k] += size
-            link_chars[k] += size if link[k] else 0
-    for k in range(n - 1, 0, -1):
-        up = parent[k]
-        chars[up] += chars[k]
-        tags[up] += tags[k]
-        link_chars[up] += link_chars[k]
-        link_tags[up] += link_tags[k] + (tag[k] == "a" and not gone[k])
-    if not chars[0]:
-        return ""
-    page = link_chars[0] / chars[0]
-    density, total = [0.0] * n, [0.0] * n
-    for k in range(n - 1, -1, -1):
-        if c := chars[k]:
-            t, lc, lt = tags[k], link_chars[k], link_tags[k]
-            base = log(c / max(c - lc, 1) * lc + page * c + e)
-            density[k] = c / t * (log(max(c / max(lc, 1) * (t / max(lt, 1)), 1.0)) / log(base) if base > 1 + 1e-9 else 1.0 * log(max(c * t, e)))
-        if k:
-            total[parent[k]] += density[k]
-    best = max(range(n), key=lambda k: (total[k], chars[k], -k))
-    chosen = _container(best, parent, tag)
-    if chosen is None:
-        threshold, k = density[best], best
-        while k >= 0:
-            threshold, k = min(threshold, density[k]), parent[k]
-        top = list(range(n))  # of each node, the node of largest density sum in its subtree
-        for k in range(n - 1, 0, -1):
-            a, b = top[k], top[parent[k]]
-            if (total[a], chars[a]) > (total[b], chars[b]):
-                top[parent[k]] = a
-        content = [False] * n
-        for k in range(n):
-            if chars[k] and density[k] >= threshold:
-                content[top[k]] = True
+    _comments(tree, runs, gone)
+    m = Measures(tree, runs, gone)
+    if roots := _scope(tree, m.chars):
+        held = [False] * n
+        for k in roots:
+            held[k] = True
         for k in range(1, n):
-            content[k] = content[k] or content[parent[k]]
-    else:
-        content = [False] * n
-        content[chosen] = True
-        for k in range(chosen + 1, n):
-            content[k] = content[parent[k]]
-    text = "".join(" " if t is None else t for k, t in runs if t is None or content[k])
+            held[k] = held[k] or held[parent[k]]
+        m = Measures(tree, runs, gone := [g or not h for g, h in zip(gone, held, strict=True)])
+    if not m.chars[0]:
+        return ""
+    content = _content(parent, tag, m, set(roots))
+    text = "".join(" " if t is None or gone[k] else t for k, t in runs if t is None or gone[k] or content[k])
     return _WHITE.sub(" ", text).strip(" ")
 
 
-def _container(node: int, parent: list[int], tag: list[str]) -> int | None:
-    """The outermost article above the node or the node itself, else the outermost main, else None."""
-    article = main = None
-    while node >= 0:
-        article = node if tag[node] == "article" else article
-        main = node if tag[node] == "main" else main
-        node = parent[node]
-    return main if article is None else article
+def _content(parent: list[int], tag: list[str], m: Measures, roots: set[int]) -> list[bool]:
+    """Of each element, whether density makes it content; roots: the article or main elements that hold all that counts."""
+    n, chars, density = len(tag), m.chars, m.densities()
+    block = [t in BLOCK for t in tag]
+    block[0] = True
+    total, up = [0.0] * n, [0] * n  # up: the block around an element
+    for k in range(1, n):
+        up[k] = parent[k] if block[parent[k]] else up[parent[k]]
+        if block[k]:
+            total[up[k]] += density[k]
+    best = max((k for k in range(n) if block[k]), key=lambda k: (total[k], chars[k], -k))
+    path, inside, k = set(), set(), best
+    while True:
+        path.add(k)
+        if not k:
+            break
+        if k in roots:
+            inside = set(path)
+        k = up[k]
+    threshold = min(density[k] for k in path)
+    top = list(range(n))  # of each node, the node of largest density sum in its subtree
+    for k in range(n - 1, 0, -1):
+        if block[k]:
+            a, b = top[k], top[up[k]]
+            if (total[a], chars[a], -a) > (total[b], chars[b], -b):
+                top[up[k]] = a
+    content = [False] * n
+    for k in range(n):
+        if block[k] and chars[k] and density[k] >= threshold:
+            content[top[k]] = True
+    for k in range(1, n):
+        if tag[k] in PARAGRAPHS and 2 * m.link_chars[k] < chars[k]:
+            over = up[k]
+            while over not in path and chars[over] == chars[k]:  # it may stand alone in a wrapper
+                over = up[over]
+            content[k] = content[k] or over in inside or (k < best and tag[k] in HEADINGS and over in path)
+    for k in range(1, n):
+        content[k] = content[k] or content[parent[k]]
+    menu = [False] * n
+    for k in range(1, n):
+        menu[k] = menu[parent[k]] or (tag[k] in BLOCK and m.links[k] >= MENU and chars[k] == m.link_chars[k])
+        content[k] = content[k] and not menu[k]
+    return content
 
 
 def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -88,3 +88,76 @@ def components(fps, radius=2):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in ids}
+
+
+class Element:
+    """A node of a well-formed page for the density reference: tag, children (elements and strings)."""
+
+    def __init__(self, tag):
+        self.tag, self.children = tag, []
+
+    def walk(self):
+        yield self
+        for c in self.children:
+            if isinstance(c, Element):
+                yield from c.walk()
+
+    def text(self):
+        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+
+    def chars(self):
+        return len(re.sub(r"\s", "", self.text()))
+
+
+def densest(page):
+    """Words of the subtree of largest density sum and of every subtree that the body-path threshold admits, for pages of plain
+    div, p and a elements without names: {element index: is content}, straight from the formulas."""
+    import math
+    from html.parser import HTMLParser
+
+    root = Element("body")
+    stack = [root]
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            stack[-1].children.append(Element(tag))
+            stack.append(stack[-1].children[-1])
+
+        def handle_endtag(self, tag):
+            stack.pop()
+
+        def handle_data(self, data):
+            stack[-1].children.append(data)
+
+    Reader().feed(page)
+    kids = lambda e: [c for c in e.children if isinstance(c, Element)]
+    links = lambda e: [x for x in e.walk() if x.tag == "a" and x is not e]
+    link_chars = lambda e: e.chars() if e.tag == "a" else sum(x.chars() for x in links(e))
+    ratio = link_chars(root) / root.chars()
+
+    def density(e):
+        c, lc, t, lt = e.chars(), link_chars(e), len(list(e.walk())), len(links(e))
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+        if base <= 1 + 1e-9:
+            return c / t * math.log(max(c * t, math.e))
+        return c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1)) / math.log(base)
+
+    blocks = [e for e in root.walk() if e.tag != "a"]
+    total = {id(e): sum(density(c) for c in kids(e) if c.tag != "a") for e in blocks}
+    best = max(blocks, key=lambda e: (total[id(e)], e.chars(), -blocks.index(e)))
+    threshold = min(density(e) for e in blocks if any(x is best for x in e.walk()))
+    taken = set()
+    for e in blocks:
+        if e.chars() and density(e) >= threshold:
+            top = max((x for x in e.walk() if x.tag != "a"), key=lambda x: (total[id(x)], x.chars(), -blocks.index(x)))
+            taken |= {id(x) for x in top.walk()}
+
+    def out(e):
+        if e is not root and len(links(e)) >= 3 and e.tag != "a" and e.chars() == link_chars(e):
+            return " "
+        inner = "".join((c if id(e) in taken else "") if isinstance(c, str) else out(c) for c in e.children)
+        return inner if e.tag == "a" else f" {inner} "
+
+    return " ".join(out(root).split())

@@ -93,3 +93,35 @@ def test_hint_words_remove_no_article():
     assert main_text(f"<p>{text}<span class=share></span>end</p><div class=comments><p>reader <b>says</b> this</p></div>") == text + " end"
     assert main_text(f"<div class=ad>{text}</div><article><p>short</p></article>") == "short"
     assert main_text(f"<article><h1>head</h1><div class='science social'><p>{text}</p></div><div class=share>share it</div></article>") == "head " + text
+
+
+def test_probes_of_names_headings_and_comments():
+    text = " ".join(f"plain sentence number {k} of the article" for k in range(40))
+    assert main_text(f"<div class='related-work'><p>{text}</p></div>") == text
+    assert main_text(f"<article><h1>Head</h1><div class='share-your-story'><p>{text}</p></div></article>") == "Head " + text
+    assert main_text(f"<div><h1>Title</h1><div><p>{text}</p><p>{text}</p></div></div>") == f"Title {text} {text}"
+    assert main_text(f"<article><p>{text} one</p></article><article><p>{text} two</p></article>") == f"{text} one {text} two"
+    assert main_text(f"<div><p>{text}</p><p>{text}</p></div><section><h2>Comments (3)</h2><p>{text} me</p></section>") == f"{text} {text}"
+    assert main_text(f"<div><p>{text}</p><h3>Leave a reply</h3><p>{text} x</p></div>") == text
+    assert main_text(f"<div><div class='reader-comments'><p>{text} {text} x</p></div><div><p>{text}</p></div></div>") == text
+    assert main_text(f"<article><p>{text}</p><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><p>end</p></article>") == text + " end"
+    assert main_text(f"<main><p>short</p><div><p>{text}</p><p>{text}</p></div></main>") == f"short {text} {text}"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.recursive(st.sampled_from(["word", "some plain words in a row. " * 4, "<a>link text</a>", "<a>l</a>" * 3]), lambda x: st.tuples(st.sampled_from(["div", "p"]), st.lists(x, min_size=1, max_size=4)).map(lambda e: f"<div>{''.join(e[1])}</div>" if e[0] == "div" else f"<div><p>some text {len(e[1])}</p>{''.join(e[1])}</div>"), max_leaves=14))
+def test_density_against_formulas(page):
+    assert main_text(page) == brute.densest(page)
+
+
+def test_all_pages_give_their_articles():
+    """Precision and recall 1 on the given pages: the text of the article element, blocks parted by one space."""
+    import re
+    from html import unescape
+
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        want = unescape(re.sub(r"<(/?)(?:p|h1|br)>", " ", re.sub(r"</?b>", "", inner)))
+        assert main_text(r["html"]) == re.sub(r"[\x20\x09-\x0d]+", " ", want).strip(" ")
