@@ -333,7 +333,83 @@ def test_toxic_rates_fall_to_zero_at_any_share(spark, toxic):
     """1000 documents of which 0.3 %, 0.9 % and 4 % of the tokens are toxic."""
     rows = [(k, 1, 100, [0.02, 0.01, 0.97] if k < toxic else [0.97, 0.03, 0.0] if k % 10 else [0.1, 0.9, 0.0]) for k in range(1000)]
     members = spark.createDataFrame(rows, "doc_id long, n_rows long, tokens long, p array<double>")
-    rates = members.withColumn("r", mixing._rate(F.col("p"), mixing.fit_rates(members)))
+    rates = members.withColumn("r", mixing._rate(F.col("p"), mixing.fit_rates(members, {"good": 0.95, "poor": 0.05, "toxic": 0.0}, 1.0)))
     got = rates.groupBy((F.col("doc_id") < toxic).alias("toxic")).agg(F.min("r").alias("low"), F.max("r").alias("high")).collect()
     got = {r.toxic: (r.low, r.high) for r in got}
     assert got[True][1] < 0.05 and got[False][0] > 0
+
+
+def test_posteriors_against_brute_force(spark, monkeypatch):
+    """Bernoulli naive Bayes with the noise floor taken off, in plain Python."""
+    import numpy as np
+
+    monkeypatch.setattr(mixing, "G_LEAST", 8.0)
+    monkeypatch.setattr(mixing, "COMMON", 0.6)
+    rng = random.Random(5)
+    kinds = {0: "apple pear plum", 1: "mud junk trash", 2: "vile nasty scum"}
+    rows, labels = [], []
+    for k in range(160):
+        d = rng.choice([0, 0, 0, 1, 2])
+        own = [w for w in kinds[d].split() if rng.random() < 0.7]
+        rows.append((k, " ".join(own + [rng.choice("the of and a to".split()) for _ in range(8)])))
+        if k % 4:
+            labels.append((k, int(d == 0), int(d == 2)))
+    rows += [(200, None), (201, ""), (0, rows[0][1]), (None, "apple vile")]
+    docs, named = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    text = dict(rows)
+    domain = {d: 2 if x else 0 if q else 1 for d, q, x in labels}
+    held = {d: set((text[d] or "").lower().split()) for d in domain}
+    many = np.array([sum(v == k for v in domain.values()) for k in range(3)], float)
+    prior = (many + 1) / (many.sum() + 3)
+    weight, start = {}, np.log(prior)
+    for w in set().union(*held.values()):
+        n = np.array([sum(w in held[d] for d in domain if domain[d] == k) for k in range(3)], float)
+        g = sum(2 * x * math.log(x / (n.sum() * p)) for x, p in zip(n, prior) if x)
+        if g >= 8 and n.sum() <= 0.6 * many.sum():
+            s = (n + mixing.SHRINK * n.sum() / (many.sum() + 1)) / (many + mixing.SHRINK)
+            weight[w], start = np.log(s / (1 - s)), start + np.log(1 - s)
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    floor = soft(start)
+    rest = floor.argmax()
+
+    def member(t):
+        p = soft(start + sum((weight[w] for w in set((t or "").lower().split()) if w in weight), np.zeros(3)))
+        out = np.maximum(p - floor, 0) / (1 - floor)
+        out[rest] = 0
+        out[rest] = 1 - out.sum()
+        return out
+
+    assert len(weight) >= 6
+    got = mixing.posteriors(docs, named).collect()
+    assert len(got) == len({(d, t or "") for d, t in rows}) and sum(r.n_rows for r in got) == len(rows)
+    for r in got:
+        t = "apple vile" if r.doc_id is None else text[r.doc_id]
+        assert r.p == pytest.approx(member(t).tolist(), abs=1e-9) and r.tokens == len((t or "").split())
+
+
+def test_rates_are_least_squares(spark):
+    """Targets that can be met are met; with fewer cells than members, the residual that fit_rates sees is that of all members."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet([2, 1, 0.5], 2000)
+    rows = [(int(k), 1, int(n), x.tolist()) for k, (n, x) in enumerate(zip(rng.integers(0, 500, 2000), p))]
+    members = spark.createDataFrame(rows, "doc_id long, n_rows long, tokens long, p array<double>")
+    targets = {"good": 0.5, "poor": 0.3, "toxic": 0.2}
+    rates = members.withColumn("rate", mixing._rate(F.col("p"), mixing.fit_rates(members, targets, 1.1)))
+    out = {r.domain: r for r in mixing.reached(rates, targets, 1.1).collect()}
+    total = sum(r[2] for r in rows)
+    assert all(abs(r.reached - r.wanted) <= 2 * mixing.CLOSE * total for r in out.values())
+    assert out["good"].held == pytest.approx(sum(r[2] * r[3][0] for r in rows))
+    got = [r.rate for r in rates.collect()]
+    assert min(got) >= 0
+
+
+def test_clean_documents_stay_in_the_mix(spark):
+    """Of documents labelled good and not toxic, all but a few in a hundred stay; see the README for the measured share."""
+    sf = "/root/testdata/sf0.01"
+    docs = quality_rules.filtered(common.table(spark, sf, "documents"))
+    kept = corpus_pipeline.mix(spark, docs, sf).select("doc_id").distinct()
+    good = common.table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("x")).where("q = 1 and x = 0")
+    of = docs.join(good, "doc_id")
+    assert of.join(kept, "doc_id", "left_semi").count() >= 0.95 * of.count()
