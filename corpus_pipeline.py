@@ -30,8 +30,10 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix to target domain weights takes, with their rates and copies."""
-    return mixing.mixture(docs, common.table(spark, sf_dir, "labels"))
+    """Documents that the mix to target domain weights takes, with their rates and copies.
+
+    The rules before have taken poor text out, so all tokens are to come from the good domain, as many as there are."""
+    return mixing.mixture(docs, common.table(spark, sf_dir, "labels"), {"good": 1.0, "poor": 0.0, "toxic": 0.0}, 1.0)
 
 
 STAGES = [
