@@ -6,10 +6,17 @@ predicates are pushed into the reader: as Spark filters on the columns `warc_typ
 `payload`. A record's WARC headers are parsed first; the body of an unwanted record, and any payload when `payload` is false,
 is skipped without being split or decoded. Spark evaluates all filters again, so pushing down never changes results.
 
-Writing takes record rows and makes one gzip member per record; each task writes its own file under a temporary name and the
-driver's commit renames what succeeded, so lost or repeated tasks leave nothing in the archive folder that is read.
+Writing takes record rows and makes one gzip member per record; each task writes files of its own, of about `rollBytes` (1 GiB by
+default, the customary size) under temporary names and the driver's commit renames what succeeded, so lost or repeated tasks
+leave nothing in the archive folder that is read.
 
-Nulls: a null payload is an empty one, a null header is left out. Empty tables give an empty archive, which reads as no rows.
+`page_records` finds equal payloads by their SHA-1 without moving any payload by it: ids and digests meet in small rows, the few
+digests that many pages share are broadcast, and the pages are then joined by id and digest, so a page that a third of all
+rows hold is no hot key.
+
+Nulls: a null payload is an empty one, a null header is left out. Empty tables give an empty archive, which reads as no rows. A
+page without an id neither stores a payload for others nor revisits one. Of equal payloads with equal largest page_ids every row
+is a response. Very long payloads are written whole. Columns beside those of the schema play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
@@ -35,6 +42,8 @@ SCHEMA = (
 HEADERS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "content_type": "content-type"}
 PUSHED = ("warc_type", "record_id", "target_uri", "refers_to", "payload_digest")
 CRLF, CHUNK = b"\r\n", 1 << 18
+#: A digest with more pages than total / HOT_PARTS (and at least HOT_LEAST) is hot, so at most HOT_PARTS digests are.
+HOT_PARTS, HOT_LEAST = 2000, 1000
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
@@ -165,7 +174,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         store, path = open_fs(self._path)
-        target = int(self._options.get("partitionBytes", 64 << 20))
+        target = int(self._options.get("partitionbytes", 64 << 20))
         found = store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
         files = sorted((f for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz")) and not f.base_name.startswith((".", "_"))), key=lambda f: f.path)
         out, size = [], target
@@ -191,7 +200,7 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    paths: list[str]
 
 
 def record_bytes(row) -> bytes:
@@ -215,20 +224,27 @@ def record_bytes(row) -> bytes:
 class WarcWriter(DataSourceWriter):
     def __init__(self, path: str, options: dict[str, str], overwrite: bool):
         self._path, self._level, self._overwrite, self._job = path, int(options.get("level", 1)), overwrite, uuid.uuid4().hex
+        self._roll = int(options.get("rollbytes", 1 << 30))
 
     def write(self, iterator: Iterator) -> Written:
         store, path = open_fs(self._path)
         store.create_dir(path, recursive=True)
-        name = f"{path}/.{self._job}-{uuid.uuid4().hex}.warc.gz"
-        out = None
+        names: list[str] = []
+        out, size = None, 0
         for row in iterator:
-            out = out or store.open_output_stream(name, compression=None, buffer_size=1 << 20)
+            if out is not None and size >= self._roll:
+                out.close()
+                out = None
+            if out is None:
+                names.append(f"{path}/.{self._job}-{uuid.uuid4().hex}.warc.gz")
+                out, size = store.open_output_stream(names[-1], compression=None, buffer_size=1 << 20), 0
             z = zlib.compressobj(self._level, zlib.DEFLATED, 31)
-            out.write(z.compress(record_bytes(row)) + z.flush())
-        if out is None:
-            return Written(None)
-        out.close()
-        return Written(name)
+            member = z.compress(record_bytes(row)) + z.flush()
+            out.write(member)
+            size += len(member)
+        if out is not None:
+            out.close()
+        return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, path = open_fs(self._path)
@@ -238,8 +254,8 @@ class WarcWriter(DataSourceWriter):
                 if f.is_file and not f.base_name.startswith("."):
                     store.delete_file(f.path)
         for k, m in enumerate(messages):
-            if m and m.path:
-                store.move(m.path, f"{path}/part-{k:05d}-{self._job}.warc.gz")
+            for j, name in enumerate(m.paths if m else []):
+                store.move(name, f"{path}/part-{k:05d}-{j:03d}-{self._job}.warc.gz")
         self._sweep(store, path)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -272,27 +288,37 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def with_digest(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with payload_bytes and payload_digest (bare base32 SHA-1 of the html in UTF-8)."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    hexed = F.sha1(F.encode(html, "utf-8"))
+def base32(hexed: Column) -> Column:
+    """The 32 base32 letters of 40 hex digits: letter k holds the bits 5k to 5k + 4, which lie within two hex digits."""
     alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    two = lambda k: F.conv(F.substring(hexed, 5 * k // 4 + 1, 2), 16, 10).cast("int")
+    return F.concat(*(F.substr(alphabet, F.shiftright(two(k), 3 - 5 * k % 4).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for k in range(32)))
+
+
+def hashed(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """pages with payload_bytes and sha1 (hex) of the html in UTF-8."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    return pages.withColumn("payload_bytes", F.octet_length(html).cast("long")).withColumn("sha1", F.sha1(F.encode(html, "utf-8")))
 
-    def letter(h):
-        """The 32 base32 letters: letter k holds the bits 5k to 5k + 4, which lie within two hex digits."""
-        two = lambda k: F.conv(F.substring(h, 5 * k // 4 + 1, 2), 16, 10).cast("int")
-        return F.concat(*(F.substr(alphabet, F.shiftright(two(k), 3 - 5 * k % 4).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for k in range(32)))
 
-    return pages.withColumn("payload_bytes", F.octet_length(html).cast("long")).withColumn("__sha1", hexed).withColumn("payload_digest", letter(F.col("__sha1"))).drop("__sha1")
+def revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, sha1, stored) of the pages that revisit a payload of at least min_bytes, once each: stored is the largest page_id
+    that has it. rows: page_id, sha1, payload_bytes."""
+    keys = rows.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha1")
+    keys = common.written(keys.distinct(), "page-digests")
+    shared = common.written(keys.groupBy("sha1").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).where("n > 1"), "shared-digests")
+    limit = max(HOT_LEAST, keys.count() // HOT_PARTS)
+    hot = F.broadcast(shared.where(F.col("n") > limit))  # fewer than HOT_PARTS rows
+    cold = shared.where(F.col("n") <= limit)
+    found = keys.join(hot, "sha1").unionByName(keys.join(hot.select("sha1"), "sha1", "left_anti").join(cold, "sha1"))
+    return found.where("page_id < stored").select("page_id", "sha1", "stored")
 
 
 def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """SCHEMA rows for pages (page_id, url, html): of equal payloads of at least min_bytes the largest page_id is stored."""
-    rows = with_digest(pages.select("page_id", "url", "html"))
-    rows = rows.withColumn("dedup", F.when(F.col("payload_bytes") >= min_bytes, F.col("payload_digest")))
-    ids = rows.where("dedup is not null").groupBy("dedup").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).where("n > 1").select("dedup", "stored")
-    rows = rows.join(ids, "dedup", "left")
-    revisit = F.col("stored").isNotNull() & (F.col("page_id") < F.col("stored"))
+    rows = hashed(pages.select("page_id", "url", "html"))
+    rows = rows.join(revisits(rows, min_bytes), ["page_id", "sha1"], "left")
+    revisit = F.col("stored").isNotNull()
     uri = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return rows.select(
         F.when(revisit, "revisit").otherwise("response").alias("warc_type"),
@@ -300,7 +326,7 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.col("url").alias("target_uri"),
         F.lit("2000-01-01T00:00:00Z").alias("date"),
         F.when(revisit, uri(F.col("stored"))).alias("refers_to"),
-        F.concat(F.lit("sha1:"), "payload_digest").alias("payload_digest"),
+        F.concat(F.lit("sha1:"), base32(F.col("sha1"))).alias("payload_digest"),
         F.lit("application/http; msgtype=response").alias("content_type"),
         F.col("payload_bytes").alias("http_length"),
         F.when(~revisit, F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("payload"),
@@ -319,10 +345,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = spark.read.format("warc").load(path)
     whole = back.where("warc_type = 'response'")
     again = spark.read.format("warc").option("payload", "false").load(path).where("warc_type = 'revisit'")
-    full = whole.select(
-        "warc_type", "record_id", "refers_to", F.decode("payload", "utf-8").alias("html"))
-    full = with_digest(full)
-    rows = full.select("warc_type", "record_id", "refers_to", "payload_bytes", "payload_digest").unionByName(
+    # of responses, size and digest come from the payload that was read; of revisits, from the headers
+    full = hashed(whole.select("warc_type", "record_id", "refers_to", F.decode("payload", "utf-8").alias("html")))
+    full = full.select("warc_type", "record_id", "refers_to", "payload_bytes", base32(F.col("sha1")).alias("payload_digest"))
+    rows = full.unionByName(
         again.select("warc_type", "record_id", "refers_to", F.col("http_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest")))
     return rows.select(
         number(F.col("record_id")).alias("page_id"),
