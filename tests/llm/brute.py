@@ -63,13 +63,24 @@ def contaminated(docs, items, size=10):
     return out
 
 
-def fingerprint(text):
+def scrambled(h):
+    h = (h ^ h >> 33) * 0xC2B2AE3D27D4EB4F % 2**64
+    h = (h ^ h >> 29) * 0x165667B19E3779F9 % 2**64
+    return h ^ h >> 32
+
+
+def shingles(text, size):
     ws = words((text or "").translate(LOW))
-    if not ws:
-        return 0
-    shingles = [" ".join(ws[k : k + 3]) for k in range(max(1, len(ws) - 2))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return [" ".join(ws[k : k + size]) for k in range(max(1, len(ws) - size + 1))] if ws else []
+
+
+def fingerprint(text, size=3, width=1):
+    first = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text, size)]
+    out = 0
+    for w in range(width):
+        hashes = [scrambled((h + w) % 2**64) if w else h for h in first]
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << 64 * w
+    return out
 
 
 def components(fps, radius=2):

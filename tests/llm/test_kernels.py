@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from factgraph.llm.html_extract import main_text
-from factgraph.llm.simhash_bk import BKTree, _shard_links, fingerprints_of, shard_masks
+from factgraph.llm.simhash_bk import BKTree, bit_share, fingerprints_of, linked, sampled_masks, shard_masks
 from factgraph.llm.textkernel import IS_PUNCT, HashIndex, Words, xxh64
 from tests.llm import brute
 
@@ -23,7 +23,7 @@ def test_words_and_hashes(rows):
         got = [[buf[a:b].tobytes().decode() for a, b in zip(start[p:q], end[p:q])] for p, q in zip(w.ptr[:-1], w.ptr[1:])]
         assert got == [pattern.findall((t or "").translate(brute.LOW)) for t in rows]
         assert [int(h) for h in xxh64(buf, start, end)] == [xxhash.xxh64_intdigest(buf[a:b].tobytes(), 42) for a, b in zip(start, end)]
-    assert [int(x) for x in fingerprints_of(pa.array(rows, pa.string()))] == [brute.fingerprint(t) for t in rows]
+    assert [int(x) for x in fingerprints_of(pa.array(rows, pa.string()))[:, 0]] == [brute.fingerprint(t) for t in rows]
 
 
 def test_hashes_of_all_lengths():
@@ -35,7 +35,7 @@ def test_hashes_of_all_lengths():
 
 def test_long_fingerprint_counts_past_255():
     text = " ".join(f"w{k % 700}" for k in range(3000))
-    assert int(fingerprints_of(pa.array([text]))[0]) == brute.fingerprint(text)
+    assert int(fingerprints_of(pa.array([text]))[0, 0]) == brute.fingerprint(text)
 
 
 def test_hash_index():
@@ -45,22 +45,44 @@ def test_hash_index():
     assert (HashIndex(keys[:0]).find(keys) == -1).all()
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 63), min_size=1, max_size=40, unique=True), st.integers(0, 3))
-def test_bk_tree_finds_all(values, radius):
-    v = np.array(values, np.uint64)
-    found = {(int(v[q]), int(v[n])) for qs, ns in BKTree(v).search(v, radius) for q, n in zip(qs, ns)}
-    assert found == {(a, b) for a in values for b in values if (a ^ b).bit_count() <= radius}
-    links = _shard_links(v, v, radius)
-    reach = brute.components(dict(zip(values, values)), radius)
-    assert links.shape[1] == len(values) - len(set(reach.values()))
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 63)), min_size=1, max_size=60, unique=True), st.integers(0, 3))
+def test_bk_trees_find_all(rows, radius):
+    rows = sorted(rows)
+    shard, low = np.array([r[0] for r in rows]), [r[1] for r in rows]
+    v = np.array([[x, x * 0x9E3779B97F4A7C15 % 2**64] for x in low], np.uint64)
+    near = lambda a, b: sum((int(x) ^ int(y)).bit_count() for x, y in zip(a, b)) <= radius
+    found = {(int(q), int(n)) for qs, ns in BKTree(v, shard).search(v, shard, radius) for q, n in zip(qs, ns)}
+    pairs = {(a, b) for a in range(len(v)) for b in range(len(v)) if shard[a] == shard[b] and near(v[a], v[b])}
+    assert found == pairs
+    every = np.ones(len(v), bool)
+    links = linked(np.arange(len(v)), v, shard, every, every, radius)
+    parent = list(range(len(v)))
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert links.shape[1] == len(v) - len({root(x) for x in range(len(v))})
+    assert all(root(int(a)) == root(int(b)) for a, b in links.T)
+
+
+def test_sampled_keys_lose_few_links():
+    """Two fingerprints that differ in the expected number of bits share a key with probability 1 - MISS or more."""
+    masks = sampled_masks(5000)
+    rng = random.Random(2)
+    far = round(256 * (1 - bit_share(0.8)))
+    hit = 0
+    for _ in range(2000):
+        flips = rng.sample(range(256), far)
+        x = [sum(1 << (f % 64) for f in flips if f // 64 == w) for w in range(4)]
+        hit += any(all(a & m == 0 for a, m in zip(x, mask)) for mask in masks)
+    assert hit >= 0.92 * 2000
 
 
 def test_shard_keys_lose_no_link():
     masks = shard_masks(2)
     for a in range(64):
         for b in range(a):
-            assert any((1 << a | 1 << b) & m == 0 for m in masks)
+            assert any((1 << a | 1 << b) & m == 0 for (m,) in masks)
 
 
 def test_main_text():

@@ -115,8 +115,6 @@ def test_simhash(docs, empty):
     got = [(r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash_bk.near_duplicates(docs).collect()]
     assert by_row(got) == by_row((ids[k], fps[k], least.get(reach[k])) for k in range(len(ids)))
     assert simhash_bk.near_duplicates(empty).count() == 0
-    kept = simhash_bk.deduplicated(docs)
-    assert kept.columns == docs.columns and kept.select("doc_id").distinct().count() == kept.count() == len(set(least.values()))
 
 
 def test_simhash_chain_and_cut_trees(spark):
@@ -126,9 +124,9 @@ def test_simhash_chain_and_cut_trees(spark):
         fps.append(fps[-1] ^ (3 << (2 * k)))
     fps += [x ^ (1 << 63 | 1 << 61 | 1 << 59 | 1 << 57) for x in fps]
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    distinct = spark.createDataFrame(signed, "fp long")
+    distinct = spark.createDataFrame(signed, "fp long").withColumn("node", F.col("fp"))
     for rows in (20_000, 3):
-        roots = simhash_bk.components(simhash_bk.shard_links(distinct, tree_rows=rows))
+        roots = simhash_bk.components(simhash_bk.shard_links(distinct, 2, simhash_bk.shard_masks(2), tree_rows=rows))
         assert roots.count() == 52 and roots.select("root").distinct().count() == 2
 
 
@@ -178,6 +176,23 @@ def test_warc(spark, tmp_path):
     assert spark.read.format("warc").load(f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_hot_payload(spark, tmp_path, monkeypatch):
+    """A payload that most pages hold is decided by broadcast, others by a join; a null id neither stores nor revisits."""
+    monkeypatch.setattr(warc, "HOT_LEAST", 5)
+    monkeypatch.setattr(warc, "HOT_PARTS", 4)
+    rows = [(k, "u", "<p>hot</p>") for k in range(60)] + [(100 + k, "u", f"<p>pair {k // 2}</p>") for k in range(20)] + [(None, "u", "<p>hot</p>"), (59, "u", "<p>hot</p>"), (3, "u", "<p>hot</p>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = by_row((r.record_id, r.refers_to) for r in warc.page_records(frame).collect())
+    uri = lambda k: f"<urn:page:{'null' if k is None else k}>"
+    stored = lambda k, h: (uri(59) if h == "<p>hot</p>" and k < 59 else uri(k + 1) if h != "<p>hot</p>" and k % 2 == 0 else None) if k is not None else None
+    assert got == by_row((uri(k), stored(k, h)) for k, _, h in rows)
+    warc.register(spark)
+    path = f"file://{tmp_path}/r"
+    warc.page_records(frame).coalesce(1).write.format("warc").option("rollBytes", "1000").mode("append").save(path)
+    assert len([f for f in os.listdir(tmp_path / "r") if f.endswith(".gz")]) > 3
+    assert spark.read.format("warc").load(path).count() == len(rows)
+
+
 def test_warc_pushes_filters_down():
     reader = warc.WarcReader("x", {})
     from pyspark.sql.datasource import EqualTo
@@ -215,13 +230,56 @@ def test_lm_tail_counts_meet_by_join(docs, monkeypatch):
 def test_lm_probabilities_sum_to_one():
     import numpy as np
 
-    vocab = np.arange(1, lm_scoring.VOCAB + 1, dtype=np.uint64) << np.uint64(40)
-    m = lm_scoring.Model(vocab, np.arange(lm_scoring.VOCAB, 0, -1), int(np.arange(lm_scoring.VOCAB + 1).sum()), 0.1)
-    rng = np.random.default_rng(0)
-    m.class_w[:], m.word_w[:] = rng.normal(size=m.class_w.shape), rng.normal(size=m.word_w.shape)
-    f = [np.full(lm_scoring.VOCAB + 1, x, np.uint64) for x in (7 << 50, 9 << 51, 3 << 52)]
-    p = np.exp(m.log_prob(np.arange(-1, lm_scoring.VOCAB), f))
-    assert abs(p.sum() - 1) < 1e-4
+    for n in (1, 2, 31, 32, 33, 700):
+        head = np.arange(1, n + 1, dtype=np.uint64) << np.uint64(40)
+        p = np.arange(n, 0, -1) / np.arange(n + 1).sum() * 0.9
+        m = lm_scoring.Model(head, p, 0.1, 12)
+        f = [np.full(n + 1, x, np.uint64) for x in (7 << 50, 9 << 51, 3 << 52)]
+        at = np.arange(-1, n)
+        assert np.exp(m.log_prob(at, f)) == pytest.approx([0.1, *p], rel=1e-4)  # without weights: the unigram model
+        m.w[:] = np.random.default_rng(0).normal(size=m.w.shape)
+        assert abs(np.exp(m.log_prob(at, f)).sum() - 1) < 1e-4
+
+
+def test_lm_log_prob_against_brute_force():
+    """The product of the softmaxes on a token's path, each written out in plain Python."""
+    import numpy as np
+
+    from factgraph.llm.textkernel import mix
+
+    head = np.arange(1, 101, dtype=np.uint64) << np.uint64(40)
+    m = lm_scoring.Model(head, np.full(100, 0.0098), 0.02, 12)
+    m.w[:] = np.random.default_rng(3).normal(size=m.w.shape)
+    rng = np.random.default_rng(4)
+    f = [rng.integers(0, 1 << 62, 50).astype(np.uint64) for _ in range(3)]
+    at = rng.integers(-1, 100, 50)
+    for k, got in enumerate(m.log_prob(at, f)):
+        leaf, want = at[k] if at[k] >= 0 else 100, 0.0
+        for j in range(m.ptr[leaf], m.ptr[leaf + 1]):
+            node = int(m.node[j])
+            rows = [int(mix(np.array([(int(x[k]) + node * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]) >> 52 for x in f]
+            z = [float(m.share[node][c]) + sum(float(m.w[r][c]) for r in rows) for c in range(lm_scoring.BRANCH)]
+            want += z[m.slot[j]] - math.log(sum(map(math.exp, z)))
+        assert got == pytest.approx(want, abs=1e-3)
+
+
+def test_lm_model_grows_with_the_corpus():
+    import numpy as np
+
+    assert [lm_scoring.row_bits(n) for n in (0, 1 << 20, 1 << 22, 1 << 24, 1 << 40)] == [12, 12, 14, 16, 18]
+    mass = 1 / np.arange(1, 200_001)
+    ptr, _, _, share = lm_scoring.class_tree(mass / mass.sum())
+    depth = np.diff(ptr)
+    assert (depth * mass).sum() / mass.sum() < 3.6 and len(share) < 200_000 / 15 + 2
+
+
+def test_lm_head_of_tokens_with_equal_counts(spark):
+    """Where more tokens have one count than the head takes, a part of them is taken, not none."""
+    counts = spark.range(50).select(F.xxhash64("id").alias("h"), F.lit(1).cast("long").alias("n"))
+    h, n = lm_scoring.frequent(counts, most=20)
+    assert 5 <= len(h) <= 20 and set(n) == {1}
+    h, n = lm_scoring.frequent(counts.unionByName(counts.limit(3).select((F.col("h") + 1).alias("h"), F.lit(9).cast("long").alias("n"))), most=20)
+    assert list(n[:3]) == [9, 9, 9] and len(h) <= 20
 
 
 def test_lm_learns_held_out_text(spark):
@@ -295,7 +353,7 @@ def test_pipeline_stages_against_brute_force(spark):
     got = read(two)
     assert got == want and two.columns == docs.columns
     three = step("simhash_near_dedup", two)
-    reach = brute.components({d: brute.fingerprint(t) for d, t in got.items()})
+    reach = brute.components({d: brute.fingerprint(t, 5, 4) for d, t in got.items()}, 47)
     want = {d: t for d, t in got.items() if reach[d] == d}
     got = read(three)
     assert got == want and three.columns == docs.columns
@@ -323,11 +381,39 @@ def test_near_dedup_keeps_one_row_of_each_component(spark):
 
 
 def test_edge_rows_keep_one_row_of_each_component(docs):
-    fps = [brute.fingerprint(t) for _, t in edge_rows()]
-    reach = brute.components(dict(enumerate(fps)))
+    fps = [brute.fingerprint(t, 5, 4) for _, t in edge_rows()]
+    reach = brute.components(dict(enumerate(fps)), 47)
     assert simhash_bk.representatives(docs).count() == len(set(reach.values()))
 
 
+def test_near_dedup_catches_edited_copies(spark):
+    """Copies of similarity 0.8 to 0.95 go, unrelated texts and texts of similarity below 0.5 stay."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, near, far = [], set(), set()
+    for k in range(150):
+        base = [word() for _ in range(rng.choice([60, 200, 500]))]
+        rows.append((k, " ".join(base)))
+        edits = rng.sample(range(len(base)), max(1, len(base) // 60))
+        rows.append((1000 + k, " ".join(word() if j in edits else w for j, w in enumerate(base))))
+        rows.append((2000 + k, " ".join(base[: len(base) // 3] + [word() for _ in range(len(base))])))
+        a, b = set(brute.shingles(rows[-3][1], 5)), set(brute.shingles(rows[-2][1], 5))
+        (near if len(a & b) / len(a | b) >= 0.8 else set()).add(1000 + k)
+        far.add(2000 + k)
+    kept = {r.doc_id for r in simhash_bk.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 100 and len(near & kept) <= 0.05 * len(near)
+    assert far <= kept and set(range(150)) <= kept
+
+
+def test_hot_shard_is_cut_into_bounded_tasks(spark):
+    """30,000 near copies of one text: shards are cut, each pair of pieces is a task of its own, and one component remains."""
+    base = 0x0123456789ABCDEF
+    rows = spark.range(1, 30_001).select(F.col("id").alias("node"), *(F.lit(base + w).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("id", F.lit(w)), F.lit(60)).cast("int"))).alias(c) for w, c in enumerate(simhash_bk.fp_names(4))))
+    links = simhash_bk.shard_links(rows, 47, simhash_bk.sampled_masks(30_000)[:2], tree_rows=2_000)
+    roots = simhash_bk.components(links)
+    assert roots.select("root").distinct().count() <= 2 and roots.count() >= 0.6 * 30_000
+
+
 @pytest.mark.parametrize("toxic", [3, 9, 40])
 def test_toxic_rates_fall_to_zero_at_any_share(spark, toxic):
     """1000 documents of which 0.3 %, 0.9 % and 4 % of the tokens are toxic."""
