@@ -69,11 +69,16 @@ def data_edges(t: Tables) -> DataFrame:
 
 
 def interfaces(t: Tables) -> DataFrame:
-    """class_fact with is_interface: a base among Protocol and ABC, or at least one method and all of them abstract."""
-    abstract = t["callable_fact"].where("class_id is not null").groupBy("class_id").agg(F.bool_and(F.col("kind") == "abstractmethod").alias("all_abstract"))
-    based = F.exists("bases", lambda x: names.last_segment(x).isin("Protocol", "ABC"))
+    """class_fact with is_interface: a base Protocol or ABC, or at least one method and all of them abstract-like: decorated so, or
+    with a body that is empty or only pass, ..., or raise NotImplemented. __init__, __repr__ and __str__ never are."""
+    body = t["body_node"].groupBy("callable_id").agg(F.count("*").alias("n"), F.first("statement_type").alias("s"), F.first("exception").alias("e"), F.first("value").alias("v"))
+    methods = t["callable_fact"].where("class_id is not null").join(body, "callable_id", "left")
+    marked = F.exists("decorators", lambda d: d.endswith("abstractmethod"))
+    stub = F.col("n").isNull() | ((F.col("n") == 1) & ((F.col("s") == "pass") | ((F.col("s") == "raise") & F.coalesce(F.col("e").contains("NotImplemented"), F.lit(False))) | ((F.col("s") == "expression") & F.coalesce(F.col("v").isin("...", "Ellipsis"), F.lit(False)))))
+    like = ~F.col("name").isin("__init__", "__repr__", "__str__") & (marked | stub)
+    abstract = methods.groupBy("class_id").agg(F.bool_and(F.coalesce(like, F.lit(False))).alias("all_abstract"))
     out = t["class_fact"].join(abstract, "class_id", "left")
-    return out.withColumn("is_interface", based | F.coalesce("all_abstract", F.lit(False))).drop("all_abstract")
+    return out.withColumn("is_interface", F.arrays_overlap("bases", F.array(F.lit("Protocol"), F.lit("ABC"))) | F.coalesce("all_abstract", F.lit(False))).drop("all_abstract")
 
 
 def external_types(t: Tables, data: DataFrame) -> DataFrame:

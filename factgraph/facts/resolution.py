@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import names
 from factgraph.operators import graphs, selection
-from factgraph.operators.cascade import Tier, resolve_cascade
+from factgraph.operators.cascade import Probe, Tier, resolve_cascade, resolve_probes
+from factgraph.operators.lineage import cut
 from factgraph.operators.matching import occurrence
 from factgraph.rules import tables as R
 
@@ -58,17 +59,13 @@ def visible_imports(imports: DataFrame) -> DataFrame:
 
 
 def ancestors(t: Tables) -> DataFrame:
-    """(class_id, ancestor_id, depth) over bases that name exactly one class, by qualified or simple name."""
+    """(class_id, ancestor_id, depth): a base names the class of that qualified name, else every class of that simple name."""
     classes = t["class_fact"].select("class_id", "qn", "name")
-    bases = t["class_fact"].select("class_id", "module_id", F.explode("bases").alias("base"))
-    found = resolve_cascade(
-        bases.withColumn("base_name", names.last_segment(F.col("base"))),
-        [
-            Tier("qualified", classes, {"base": "qn"}, "class_id", "internal", "internal_ambiguous"),
-            Tier("simple", classes.select(F.col("class_id").alias("id"), F.col("name").alias("k")), {"base_name": "k"}, "id", "internal", "internal_ambiguous"),
-        ],
-    )
-    edges = found.where("target_id is not null").select(F.col("class_id").alias("child"), F.col("target_id").alias("parent")).where("child <> parent")
+    bases = t["class_fact"].select(F.col("class_id").alias("child"), F.explode("bases").alias("base")).distinct()
+    exact = bases.join(classes.select(F.col("qn").alias("base"), F.col("class_id").alias("parent")), "base")
+    rest = bases.join(classes.select(F.col("qn").alias("base")).distinct(), "base", "left_anti")
+    simple = rest.join(classes.select(F.col("name").alias("base"), F.col("class_id").alias("parent")), "base")
+    edges = exact.unionByName(simple).select("child", "parent").where("child <> parent")
     return graphs.closure(edges).select(F.col("node").alias("class_id"), F.col("ancestor").alias("ancestor_id"), "depth")
 
 
@@ -134,7 +131,7 @@ def resolve_function_calls(t: Tables, imports: DataFrame) -> DataFrame:
         calls,
         [
             Tier("cls", owner, {"own_class": "oid"}, "oid", "constructor", "constructor", when=F.col("function") == "cls"),
-            Tier("builtin", fixed, {"function": "builtin"}, "builtin", "builtin", "builtin"),
+            Tier("builtin", fixed.withColumn("bid", F.concat(F.lit("builtin:"), "builtin")), {"function": "builtin"}, "bid", "builtin", "builtin"),
             Tier("class", classes, {"function": "class_name"}, "class_id", "constructor", "constructor_ambiguous"),
             Tier("function", functions, {"function": "function_name"}, "fid", "internal", "internal_ambiguous"),
             Tier("imported class", target.where("skind = 'class'"), {"import_target": "sid"}, "sid", "constructor", "constructor"),
@@ -148,82 +145,145 @@ def resolve_function_calls(t: Tables, imports: DataFrame) -> DataFrame:
     return out.withColumn("classification", label).withColumn("kind", kind).drop("import_visible", "own_class", "import_target", "import_kind")
 
 
+def typed_names(t: Tables, imports: DataFrame) -> DataFrame:
+    """(space, key, type_name, class_id): what a receiver's name means, one row for each name of a scope, by its first mention.
+
+    Spaces: A instance attributes (class|self.x), L typed locals (callable|x), P parameters (callable|x; self and cls have the class),
+    C variables of with statements (callable|x)."""
+    owner = t["callable_fact"].select("callable_id", F.col("qn").alias("owner_qn"), "class_id")
+    key = lambda a, b: F.concat_ws("|", a, b)
+    text = F.coalesce("annotation", "assigned_type")
+    v = t["variable"].withColumn("text", text)
+    none = F.lit(None).cast("string")
+    attrs = v.where("scope = 'instance_attribute'").select("module_id", F.lit("A").alias("space"), key(F.col("owner_id"), F.col("full_name")).alias("key"), "ord", "text", none.alias("implied"))
+    local = v.where("scope = 'local' and text is not null").join(owner, "owner_qn").select("module_id", F.lit("L").alias("space"), key(F.col("callable_id"), F.col("name")).alias("key"), "ord", "text", none.alias("implied"))
+    p = t["parameter"].join(owner.select("callable_id", F.col("class_id").alias("own")), "callable_id", "left")
+    params = p.select("module_id", F.lit("P").alias("space"), key(F.col("callable_id"), F.col("name")).alias("key"), F.col("idx").alias("ord"), F.col("annotation").alias("text"), F.when(F.col("name").isin("self", "cls"), F.col("own")).alias("implied"))
+    mentions = cut(attrs.unionByName(local).unionByName(params))
+    rows = resolve_types(mentions, "text", t, imports)
+    named = rows.select("space", "key", "ord", F.col("type_name"), F.coalesce("type_id", "implied").alias("class_id"))
+    table = F.create_map(*(F.lit(x) for kv in R.FACTORIES.items() for x in kv))
+    items = t["body_node"].where("control_type = 'with'").select("callable_id", F.col("walk_ord").alias("ord"), F.posexplode(F.arrays_zip("targets", F.split("value", ", ").alias("made"))).alias("nth", "i"))
+    items = items.select("callable_id", (F.col("ord") * 1000 + F.col("nth")).alias("ord"), F.col("i.targets").alias("name"), F.col("i.made").alias("made")).where("name <> '' and made <> ''")
+    context = items.select(F.lit("C").alias("space"), key(F.col("callable_id"), F.col("name")).alias("key"), "ord", F.coalesce(F.try_element_at(table, F.col("made")), F.col("made")).alias("type_name"), none.alias("class_id"))
+    return selection.keep_first(named.unionByName(context), ["space", "key"], ["ord"]).select("space", "key", "type_name", "class_id")
+
+
+def with_receivers(calls: DataFrame, typed: DataFrame) -> DataFrame:
+    """calls (row, own_class, callable_id, receiver) with what the receiver is in each space (a, p, c, l) and the type of a chain's
+    base: all looked up by one join."""
+    r, base = F.col("receiver"), F.when(F.col("receiver").contains("."), F.regexp_replace("receiver", r"\.[^.]*$", ""))
+    ask = [("a", "A", F.when(r.startswith("self."), F.concat_ws("|", "own_class", r))), ("p", "P", F.concat_ws("|", "callable_id", r)), ("c", "C", F.concat_ws("|", "callable_id", r)), ("l", "L", F.concat_ws("|", "callable_id", r))]
+    ask += [("ba", "A", F.when(base.startswith("self."), F.concat_ws("|", "own_class", base))), ("bl", "L", F.when(base.isNotNull(), F.concat_ws("|", "callable_id", base))), ("bp", "P", F.when(base.isNotNull(), F.concat_ws("|", "callable_id", base)))]
+    asked = F.array_compact(F.array(*(F.when(key.isNotNull(), F.struct(F.lit(slot).alias("slot"), F.lit(space).alias("space"), key.alias("key"))) for slot, space, key in ask)))
+    rows = calls.select("row", F.explode(asked).alias("x")).select("row", "x.*").join(typed, ["space", "key"])
+    slot = lambda s: F.max(F.when(F.col("slot") == s, F.struct(F.col("type_name").alias("type"), F.col("class_id").alias("class")))).alias(s)
+    return calls.join(rows.groupBy("row").agg(*(slot(s) for s, _, _ in ask)), "row", "left")
+
+
 def resolve_method_calls(t: Tables, imports: DataFrame) -> DataFrame:
-    """Method calls with classification and target_id, by the tiers: import receiver, super, self, self.attribute, parameter,
-    local variable, Class.method, method name alone, unresolved. A typed receiver looks in the type registries first."""
-    spark = t["call_fact"].sparkSession
-    up = ancestors(t)
-    methods = class_methods(t, up)
-    registry = type_methods(spark)
-    own = t["callable_fact"].select("callable_id", F.col("class_id").alias("own_class"), F.col("qn").alias("callable_qn2"))
+    """Method calls with classification, target_id, n_candidates and tier: import receiver, super, self, self.attribute, parameter,
+    chain on a builtin, with variable, local variable, Class.method, method name alone, unresolved.
+
+    Three joins over the calls, whatever the number of tiers: visible imports, receivers, and one for all tiers together. The
+    candidates of ambiguous calls are in method_candidates."""
+    own = t["callable_fact"].select("callable_id", F.col("class_id").alias("own_class")).dropDuplicates(["callable_id"])
+    own = own.join(t["class_fact"].select(F.col("class_id").alias("own_class"), F.size("bases").alias("n_bases")).dropDuplicates(["own_class"]), "own_class", "left")
     calls = t["call_fact"].where("kind = 'method_call'").join(own, "callable_id", "left")
-    calls = calls.withColumn("root", F.substring_index("receiver", ".", 1)).withColumn("attr", F.when(F.col("receiver").startswith("self."), F.col("receiver")))
-    calls = calls.join(visible_imports(imports).withColumn("visible", F.lit(True)), ["module_id", "root"], "left")
-
-    typed = resolve_types(t["variable"].withColumn("__t", F.coalesce("annotation", "assigned_type")), "__t", t, imports)
-    attrs = selection.keep_first(typed.where("scope = 'instance_attribute'").select(F.col("owner_id").alias("own_class"), F.col("full_name").alias("attr"), "ord", F.col("type_name").alias("attr_type"), F.col("type_id").alias("attr_class")), ["own_class", "attr"], ["ord"]).drop("ord")
-    local = typed.where("scope = 'local' and type_name is not null").select(F.col("owner_id").alias("callable_qn2"), F.col("name").alias("receiver"), "ord", F.col("type_name").alias("local_type"), F.col("type_id").alias("local_class"))
-    local = selection.keep_first(local, ["callable_qn2", "receiver"], ["ord"]).drop("ord")
-    params = resolve_types(t["parameter"], "annotation", t, imports).join(own.select("callable_id", "own_class"), "callable_id", "left")
-    implied = F.when(F.col("name").isin("self", "cls"), F.col("own_class"))
-    params = params.select("callable_id", F.col("name").alias("receiver"), "idx", F.col("type_name").alias("param_type"), F.coalesce("type_id", implied).alias("param_class"))
-    params = selection.keep_first(params, ["callable_id", "receiver"], ["idx"]).drop("idx")
-    calls = calls.join(attrs.withColumn("has_attr", F.lit(True)), ["own_class", "attr"], "left").join(local, ["callable_qn2", "receiver"], "left").join(params, ["callable_id", "receiver"], "left")
-
-    def of(key: str) -> DataFrame:
-        return methods.select(F.col("class_id").alias(f"k_{key}"), F.col("method").alias(f"m_{key}"), F.col("id").alias(f"i_{key}"))
-
-    def tier(name: str, key: str, when: Column, **more) -> Tier:
-        return Tier(name, of(name), {key: f"k_{name}", "method": f"m_{name}"}, f"i_{name}", "internal", "internal_ambiguous", when=when, **more)
-
-    def registered(name: str, key: str, kind: str, when: Column) -> Tier:
-        dim = registry.where(F.col("kind") == kind).select(F.col("type").alias(f"t_{name}"), F.col("method").alias(f"n_{name}"))
-        return Tier(name, dim, {key: f"t_{name}", "method": f"n_{name}"}, f"n_{name}", kind, kind, when=when)
-
-    on_class = F.col("visible") & (F.col("import_kind") == "class")
-    is_super, is_self = F.col("receiver") == "super", F.col("receiver") == "self"
-    above = up.join(methods.where("depth = 0").select(F.col("class_id").alias("ancestor_id"), "method", "id"), "ancestor_id").select(F.col("class_id").alias("k_super"), F.col("method").alias("m_super"), F.col("id").alias("i_super"))
-    by_class = methods.where("depth = 0").join(t["class_fact"].select("class_id", F.col("name").alias("class_name")), "class_id")
-    yes = F.lit(True)
-    tiers = [
-        tier("imported", "import_target", on_class),
-        Tier("import", of("no").limit(0), {"root": "k_no", "method": "m_no"}, "i_no", "external", "external", terminal=True, missing="external", when=F.col("visible")),
-        Tier("super", above, {"own_class": "k_super", "method": "m_super"}, "i_super", "internal", "internal_ambiguous", terminal=True, missing="unresolved_super_method", when=is_super & F.col("own_class").isNotNull()),
-        tier("self", "own_class", is_self),
-        *(registered(f"attr_{k[:7]}", "attr_type", k, F.col("has_attr")) for k in ("builtin_type_method", "external_type_method")),
-        tier("attr", "attr_class", F.col("has_attr")),
-        Tier("untyped attr", of("no2").limit(0), {"attr": "k_no2", "method": "m_no2"}, "i_no2", "x", "x", terminal=True, missing="unresolved_attribute_type", when=F.col("has_attr") & F.col("attr_type").isNull()),
-        Tier("typed attr", of("no3").limit(0), {"attr": "k_no3", "method": "m_no3"}, "i_no3", "x", "x", terminal=True, missing="unresolved_method_on_attribute", when=F.col("has_attr")),
-        *(registered(f"param_{k[:7]}", "param_type", k, yes) for k in ("builtin_type_method", "external_type_method")),
-        tier("param", "param_class", F.col("param_class").isNotNull()),
-        Tier("typed param", of("no4").limit(0), {"receiver": "k_no4", "method": "m_no4"}, "i_no4", "x", "x", terminal=True, missing="unresolved_method_on_parameter", when=F.coalesce("param_class", "param_type").isNotNull()),
-        *(registered(f"local_{k[:7]}", "local_type", k, yes) for k in ("builtin_type_method", "external_type_method")),
-        tier("local", "local_class", F.col("local_class").isNotNull()),
-        Tier("class name", by_class.select(F.col("class_name").alias("k_cn"), F.col("method").alias("m_cn"), F.col("id").alias("i_cn")), {"receiver": "k_cn", "method": "m_cn"}, "i_cn", "internal", "internal_ambiguous"),
-        Tier("method name", methods.where("depth = 0").select(F.col("method").alias("m_any"), F.col("id").alias("i_any")), {"method": "m_any"}, "i_any", "internal_candidate", "internal_ambiguous"),
-    ]
-    out = resolve_cascade(calls, tiers)
-    return out.select(*t["call_fact"].columns, "classification", "target_id", "candidates", "tier")
+    calls = calls.withColumn("root", F.substring_index("receiver", ".", 1)).join(visible_imports(imports).withColumn("visible", F.lit(True)), ["module_id", "root"], "left")
+    calls = cut(calls.withColumn("row", F.monotonically_increasing_id()))
+    calls = with_receivers(calls, typed_names(t, imports))
+    chained = {f"{k}.{m}": r for k, ms in R.BUILTIN_METHODS.items() for m, r in ms.items() if r in R.BUILTIN_METHODS}
+    returns = F.create_map(*(F.lit(x) for kv in chained.items() for x in kv))
+    first_type = F.coalesce(F.col("ba.type"), F.col("bl.type"), F.col("bp.type"))
+    calls = calls.withColumn("chain", F.try_element_at(returns, F.concat_ws(".", first_type, names.last_segment(F.col("receiver")))))
+
+    recv, method = F.col("receiver"), F.col("method")
+    key = lambda c: F.when(c.isNotNull(), F.concat_ws("|", c, method))
+    in_class, is_super = F.col("own_class").isNotNull(), recv == "super"
+    yes, has = F.lit(True), {s: F.col(s).isNotNull() for s in "apcl"}
+    reg = lambda name, space, slot: Probe(name, space, key(F.col(f"{slot}.type")), has[slot], "builtin_type_method" if space == "B" else "external_type_method", "builtin_type_method")
+    end = lambda name, when, label: Probe(name, None, None, when, missing=label)
+    probes = [
+        Probe("imported", "M", key(F.col("import_target")), F.col("visible") & (F.col("import_kind") == "class")), end("import", F.col("visible"), "external"),
+        end("super without bases", is_super & in_class & (F.col("n_bases") == 0), "unresolved_super_call"),
+        Probe("super", "U", key(F.col("own_class")), is_super & in_class, missing="unresolved_super_method"),
+        Probe("self", "M", key(F.col("own_class")), recv == "self"),
+        reg("attr builtin", "B", "a"), reg("attr external", "X", "a"), Probe("attr", "M", key(F.col("a.class")), has["a"]),
+        end("untyped attr", has["a"] & F.col("a.type").isNull() & F.col("a.class").isNull(), "unresolved_attribute_type"), end("typed attr", has["a"], "unresolved_method_on_attribute"),
+        reg("param builtin", "B", "p"), reg("param external", "X", "p"), Probe("param exact", "O", key(F.col("p.class")), has["p"]), Probe("param", "M", key(F.col("p.class")), has["p"]),
+        end("typed param", F.coalesce(F.col("p.class"), F.col("p.type")).isNotNull(), "unresolved_method_on_parameter"),
+        Probe("chain", "B", key(F.col("chain")), F.col("chain").isNotNull(), "builtin_type_method"),
+        Probe("context external", "X", key(F.col("c.type")), has["c"], "external_type_method"), end("context", has["c"], "unresolved_method_on_context_variable"),
+        reg("local builtin", "B", "l"), reg("local external", "X", "l"), Probe("local", "M", key(F.col("l.class")), has["l"]),
+        Probe("class name", "N", F.concat_ws(".", recv, method), yes), Probe("method name", "Y", method, yes, "internal_candidate"),
+    ]
+    out = resolve_probes(calls, "row", probes, method_keys(t))
+    out = out.withColumn("target_id", F.when(F.col("classification") != "internal_candidate", F.col("target_id")))
+    return out.select(*t["call_fact"].columns, "classification", "target_id", "n_candidates", "tier")
+
+
+def method_keys(t: Tables) -> DataFrame:
+    """(space, key, id) of all tiers of method calls: M methods of a class and its ancestors, O its own, U those of its ancestors, N by
+    class name, Y by method name, B and X the registries of builtin and external types."""
+    up = ancestors(t)
+    every = class_methods(t, up)
+    own = every.where("depth = 0").select("class_id", "method", "id")
+    above = up.join(own.withColumnRenamed("class_id", "ancestor_id"), "ancestor_id").select("class_id", "method", "id")
+    part = lambda df, space, key, id_="id": df.select(F.lit(space).alias("space"), key.alias("key"), F.col(id_).alias("id"))
+    pair = F.concat_ws("|", "class_id", "method")
+    named = own.join(t["class_fact"].select("class_id", "name", "qn"), "class_id")
+    fixed = type_methods(t["call_fact"].sparkSession).withColumn("id", F.concat(F.when(F.col("kind") == "builtin_type_method", "builtin_type:").otherwise("external_type:"), F.concat_ws(".", "type", "method")))
+    rows = part(every, "M", pair).unionByName(part(own, "O", pair)).unionByName(part(above, "U", pair)).unionByName(part(named, "N", F.concat_ws(".", "name", "method"))).unionByName(part(named, "N", F.concat_ws(".", "qn", "method"))).unionByName(part(own, "Y", F.col("method")))
+    kind = F.when(F.col("kind") == "builtin_type_method", "B").otherwise("X")
+    return rows.unionByName(fixed.select(kind.alias("space"), F.concat_ws("|", "type", "method").alias("key"), "id"))
+
+
+def method_candidates(t: Tables, calls: DataFrame) -> DataFrame:
+    """(method, candidate) for the method names of calls that only their name matched: every method of that name, once."""
+    asked = calls.where("classification in ('internal_candidate', 'internal_ambiguous')").select("method").distinct()
+    return asked.join(t["callable_fact"].where("class_id is not null").select(F.col("name").alias("method"), F.col("callable_id").alias("candidate")).distinct(), "method")
 
 
 def is_resolved(classification: Column) -> Column:
     return classification.isin("builtin", "constructor", "internal", "builtin_type_method", "external_type_method")
 
 
-def edges(t: Tables, imports: DataFrame, calls: DataFrame) -> DataFrame:
-    """(edge_id, type, source, target, line): contains, imports, inherits, calls, instantiates and their unresolved kinds."""
+def edges(t: Tables, imports: DataFrame, calls: DataFrame, project: str | None = None) -> DataFrame:
+    """(edge_id, type, source, target, line): contains (project to body), imports, inherits, uses, calls, instantiates and their
+    unresolved kinds. Edges are one if type, source, target, line, call name, import type, attribute name and base are."""
     c, m = t["callable_fact"], t["class_fact"]
-    row = lambda df, kind, source, target, line=None: df.select(kind.alias("type") if isinstance(kind, Column) else F.lit(kind).alias("type"), source.alias("source"), target.alias("target"), (F.col(line) if line else F.lit(None)).cast("int").alias("line"))
-    out = row(m, "contains", F.col("module_id"), F.col("class_id"), "line_start")
-    out = out.unionByName(row(c, "contains", F.coalesce("class_id", "module_id"), F.col("callable_id"), "line_start"))
-    out = out.unionByName(row(imports, "imports", F.col("module_id"), F.coalesce("target_id", F.concat(F.lit("external:"), F.concat_ws(".", "module", "name"))), "line"))
-    out = out.unionByName(row(m.select("class_id", "line_start", F.explode("bases").alias("base")), "inherits", F.col("class_id"), F.concat(F.lit("class_or_external:"), "base"), "line_start"))
-    good = is_resolved(F.col("classification")) & F.col("target_id").isNotNull()
+    meta = ("line", "call_name", "import_type", "attribute_name", "base")
+
+    def row(df: DataFrame, kind: Column | str, source: Column, target: Column, **given: Column) -> DataFrame:
+        own = [given[k].cast("string").alias(k) if k in given else F.lit(None).cast("string").alias(k) for k in meta]
+        return df.select((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), source.alias("source"), target.alias("target"), *own, F.array(*(F.lit(k in given) for k in meta)).alias("has"))
+
+    out = row(m, "contains", F.col("module_id"), F.col("class_id"))
+    out = out.unionByName(row(c, "contains", F.coalesce("class_id", "module_id"), F.col("callable_id")))
+    if project is not None:
+        out = out.unionByName(row(t["module"], "contains", F.lit(f"project:{project}"), F.col("module_id")))
+    b = t["body_node"]
+    out = out.unionByName(row(b, "contains", F.when(F.col("depth") == 0, F.col("callable_id")).otherwise(F.col("parent_id")), F.col("node_id"), line=F.col("line_start")))
+    outside = F.concat(F.lit("external:"), F.concat_ws(".", "module", "name"))
+    out = out.unionByName(row(imports, "imports", F.col("module_id"), F.coalesce("target_id", outside), line=F.col("line"), import_type=F.col("import_type")))
+    out = out.unionByName(row(m.select("class_id", F.explode("bases").alias("b")), "inherits", F.col("class_id"), F.concat(F.lit("class_or_external:"), "b"), base=F.col("b")))
+    attrs = t["variable"].where("scope = 'instance_attribute'").select("module_id", "owner_id", "name", "assigned_type", F.col("line"), F.coalesce("annotation", "assigned_type").alias("text"))
+    typed = resolve_types(attrs, "text", t, imports)
+    known = F.coalesce("type_id", F.when(F.col("type_resolution").isin("builtin", "external_type"), F.concat(F.when(F.col("type_resolution") == "builtin", "builtin_type:").otherwise("external_type:"), "type_name")))
+    typed = typed.withColumn("to", F.coalesce(known, F.concat(F.lit("class_or_external:"), "assigned_type"))).where(F.col("to").isNotNull())
+    for kind, rows in (("uses", typed), ("instantiates", typed.where("assigned_type is not null"))):
+        out = out.unionByName(row(rows, kind, F.col("owner_id"), F.col("to"), line=F.col("line"), attribute_name=F.col("name")))
     made = F.col("classification").startswith("constructor")
-    kind = F.when(made & good, "instantiates").when(made, "instantiates_unresolved").when(good, "calls").otherwise("calls_unresolved")
-    out = out.unionByName(row(calls, kind, F.col("callable_id"), F.coalesce("target_id", F.concat(F.lit("unresolved:"), "name")), "line"))
-    keyed = out.withColumn("edge_id", names.relationship_id(F.col("type"), F.col("source"), F.col("target"), [(F.col("line"), F.col("line").isNotNull())]))
-    return keyed.dropDuplicates(["edge_id"]).select("edge_id", "type", "source", "target", "line")
+    good = is_resolved(F.col("classification")) & F.col("target_id").isNotNull()
+    outside = F.col("classification") == "external"
+    of = lambda rows, kind, to: row(rows, kind, F.col("callable_id"), to, line=F.col("line"), call_name=F.col("name"))
+    lost = F.concat(F.lit("unresolved:"), "name")
+    out = out.unionByName(of(calls.where(good | outside), "calls", F.when(good, F.col("target_id")).otherwise(F.concat(F.lit("external:"), "name"))))
+    out = out.unionByName(of(calls.where(made & good), "instantiates", F.col("target_id")))
+    out = out.unionByName(of(calls.where(~good & ~outside), F.when(made, "instantiates_unresolved").otherwise("calls_unresolved"), lost))
+    keyed = out.withColumn("edge_id", names.relationship_id(F.col("type"), F.col("source"), F.col("target"), [(F.col(k), F.get("has", F.lit(i))) for i, k in enumerate(meta)]))
+    return keyed.where("source is not null and target is not null").dropDuplicates(["edge_id"]).select("edge_id", "type", "source", "target", F.col("line").cast("int").alias("line"))
 
 
 def synchronised(t: Tables, calls: DataFrame) -> DataFrame:
@@ -235,14 +295,16 @@ def synchronised(t: Tables, calls: DataFrame) -> DataFrame:
 
 def summary(t: Tables, calls: DataFrame) -> DataFrame:
     """One row of counts over all levels: tables are aggregated one by one and joined as single rows."""
-    out = t["module"].agg(F.count("*").alias("files"), F.count_if(F.col("parse_error").isNotNull()).alias("parse_errors"))
+    out = t["module"].agg(F.count("*").alias("files"), F.count_if(F.col("parse_error").isNotNull()).alias("parse_errors"), F.count_if("is_init").alias("packages"))
+    control = [F.count_if(F.col("control_type") == c).alias(f"{c}s") for c in ("if", "for", "while", "try", "with")]
+    statements = [F.count_if(F.col("statement_type") == c).alias(f"{c}s") for c in ("return", "raise", "assignment")]
     parts = {
         "import_fact": [F.count("*").alias("imports")], "class_fact": [F.count("*").alias("classes")],
-        "callable_fact": [F.count_if(F.col("class_id").isNull()).alias("functions"), F.count_if(F.col("class_id").isNotNull()).alias("methods"), F.count_if(F.col("kind") == "constructor").alias("constructors"), F.count_if("is_async").alias("async_callables")],
+        "callable_fact": [F.count_if(F.col("class_id").isNull()).alias("functions"), F.count_if(F.col("class_id").isNotNull()).alias("methods"), F.count_if(F.col("kind") == "constructor").alias("constructors"), F.count_if("is_async").alias("async_callables"), F.count_if(F.size("decorators") > 0).alias("decorated")],
         "parameter": [F.count("*").alias("parameters")],
         "variable": [F.count_if(F.col("scope") == s).alias(f"{s}s") for s in ("class_attribute", "instance_attribute", "local")],
-        "body_node": [F.count("*").alias("body_nodes"), F.count_if(F.col("type") == "control_structure").alias("control_structures"), F.count_if(F.col("statement_type") == "unknown").alias("unknown_statements")],
+        "body_node": [F.count("*").alias("body_nodes"), F.count_if(F.col("type") == "control_structure").alias("control_structures"), F.count_if(F.col("type") == "exception_handler").alias("exception_handlers"), F.count_if(F.col("statement_type") == "unknown").alias("unknown_statements"), *control, *statements],
     }
     for name, aggregates in parts.items():
         out = out.crossJoin(t[name].agg(*aggregates))
-    return out.crossJoin(calls.agg(F.count("*").alias("calls"), F.count_if(is_resolved(F.col("classification"))).alias("resolved_calls")))
+    return out.crossJoin(calls.agg(F.count("*").alias("calls"), F.count_if(is_resolved(F.col("classification"))).alias("resolved_calls"), F.count_if(F.col("classification") == "external").alias("external_calls"), F.count_if(F.col("classification").startswith("constructor")).alias("constructor_calls")))

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.facts import resolution
 from factgraph.functions import names
+from factgraph.operators import graphs, matching, selection
+from factgraph.recovery import structure
+from factgraph.rules import tables as R
 
 BODY_UNIT = "body_block:"
 # Datatypes of the metamodel that builtin names map to, and metaclasses of control nodes.
@@ -69,7 +73,8 @@ def external_nodes(calls: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def relations(t: dict[str, DataFrame], imports: DataFrame, calls: DataFrame, synchronised: DataFrame) -> DataFrame:
-    """Calls, Creates, Imports, Extends, Reads, Writes, Throws, HasType and flow relations; duplicates per owner are dropped."""
+    """Calls, Creates, Imports, Extends, Reads, Writes and flow relations; duplicates per owner are dropped. HasType, HasValue,
+    Throws and the Reads of returns come with their own nodes from detail()."""
     stub = names.stable_id("external", F.concat_ws(":", F.substring_index("name", ".", 1), F.lit("callable"), F.col("name")))
     target = F.coalesce("target_id", F.when(F.col("call_classification") == "external", stub))
     kind = F.when(F.col("call_classification").startswith("constructor"), "Creates").otherwise("Calls")
@@ -77,12 +82,141 @@ def relations(t: dict[str, DataFrame], imports: DataFrame, calls: DataFrame, syn
     library = F.substring_index(F.coalesce("module", "name"), ".", 1)
     outside = names.stable_id("external", F.concat_ws(":", library, F.lit("module"), F.concat_ws(".", "module", "name")))
     imported = imports.select(F.col("module_id").alias("owner_id"), F.lit("Imports").alias("type"), F.coalesce("target_id", outside).alias("target_id"))
-    classes = t["class_fact"].groupBy("name").agg(F.min("class_id").alias("target_id"))
-    extends = t["class_fact"].select(F.col("class_id").alias("owner_id"), F.explode("bases").alias("base")).withColumn("name", names.last_segment(F.col("base")))
-    extends = extends.join(classes, "name").select("owner_id", F.lit("Extends").alias("type"), "target_id")
+    extends = extended(t)
     return acted.unionByName(imported).unionByName(extends).unionByName(accesses(t)).unionByName(flows(t)).where("target_id is not null").dropDuplicates(["owner_id", "type", "target_id"])
 
 
+def extended(t: dict[str, DataFrame]) -> DataFrame:
+    """Extends from each class to the class of a base's qualified name, else one of its simple name: of the same module before
+    others, then the least id; a base outside the project is a stub of detail()."""
+    bases = t["class_fact"].select(F.col("class_id").alias("owner_id"), F.col("module_id").alias("home"), F.explode("bases").alias("base"))
+    known = t["class_fact"].select(F.col("class_id").alias("target_id"), "module_id", "qn", "name")
+    exact = bases.join(known.withColumn("base", F.col("qn")), "base").withColumn("rank", F.lit(0))
+    simple = bases.withColumn("short", names.last_segment(F.col("base"))).join(known.withColumn("short", F.col("name")), "short").withColumn("rank", F.when(F.col("home") == F.col("module_id"), 1).otherwise(2))
+    cols = ["owner_id", "base", F.struct("rank", "target_id").alias("b")]
+    best = exact.select(*cols).unionByName(simple.select(*cols)).where("owner_id <> b.target_id").groupBy("owner_id", "base").agg(F.min("b").alias("b"))
+    lost = bases.select("owner_id", "base").join(best.select("owner_id", "base"), ["owner_id", "base"], "left_anti")
+    inside = best.select("owner_id", F.lit("Extends").alias("type"), F.col("b.target_id").alias("target_id"))
+    return inside.unionByName(lost.select("owner_id", F.lit("Extends").alias("type"), type_stub(F.col("base")).alias("target_id")))
+
+
+def type_stub(name: Column) -> Column:
+    """Id of the stub of a type outside the project."""
+    return names.stable_id("external", F.concat(F.lit("type:"), name))
+
+
+def typed_units(t: dict[str, DataFrame], imports: DataFrame) -> DataFrame:
+    """(owner_id, type_resolution, type_name, type_id) of parameters and storable units whose type is mentioned."""
+    c = t["callable_fact"].select(F.col("qn").alias("owner_qn"), "callable_id").distinct()
+    v = t["variable"].withColumn("text", F.coalesce("annotation", "assigned_type")).where("text is not null")
+    member = v.where("scope <> 'local'").select("module_id", F.concat(F.lit("attribute:"), F.concat_ws(".", "owner_id", "name")).alias("owner_id"), "text", "ord")
+    local = v.where("scope = 'local'").join(c, "owner_qn").select("module_id", F.concat(F.lit("variable:"), F.concat_ws(".", "owner_qn", "name")).alias("owner_id"), "text", "ord")
+    param = t["parameter"].where("annotation is not null").select("module_id", F.concat_ws("#", "callable_id", F.col("idx").cast("string")).alias("owner_id"), F.col("annotation").alias("text"), F.col("idx").alias("ord"))
+    first = selection.keep_first(member.unionByName(local).unionByName(param), ["owner_id"], ["ord", "text"])
+    return resolution.resolve_types(first.select("module_id", "owner_id", "text"), "text", t, imports).select("owner_id", "type_resolution", "type_name", "type_id")
+
+
+def detail(t: dict[str, DataFrame], imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and relations of types, values, raises and returns.
+
+    HasType to a class of the project, to a datatype node for builtins, else to a stub of the external type, if its name is
+    plausible. HasValue from units with a literal to a Value. Each raise with an exception throws a storable unit of its own that
+    has the exception's type; each return of a value reads a storable unit of its own, with HasValue if it is a literal."""
+    typed = typed_units(t, imports)
+    builtin, inside = F.col("type_resolution") == "builtin", F.col("type_id").isNotNull()
+    fits = builtin | inside | names.is_plausible_external(F.col("type_name")) | (F.col("type_resolution") == "external_type")
+    datatype = F.concat(F.lit("datatype:"), "type_name")
+    typed = typed.where(fits).withColumn("target_id", F.when(inside, F.col("type_id")).when(builtin, datatype).otherwise(type_stub(F.col("type_name"))))
+    table = F.create_map(*(F.lit(x) for kv in DATATYPES.items() for x in kv))
+    kinds = _node(typed.where(builtin & ~inside).select("type_name").distinct(), datatype, "code", "codeElement", F.coalesce(F.try_element_at(table, F.col("type_name")), F.lit("Datatype")), F.col("type_name"), F.lit(1 << 22))
+    b, short = t["body_node"], t["class_fact"].groupBy("name").agg(F.min("class_id").alias("cid"), F.count("*").alias("n")).where("n = 1").select(F.col("name").alias("thrown"), "cid")
+    block = F.concat(F.lit(BODY_UNIT), "callable_id")
+    raised = b.where("statement_type = 'raise' and exception is not null").withColumn("thrown", names.last_segment(F.col("exception"))).join(short, "thrown", "left").withColumn("unit", F.concat(F.lit("exception:"), "node_id"))
+    raised = raised.withColumn("kind_id", F.coalesce("cid", type_stub(F.col("exception"))))
+    returned = b.where("statement_type = 'return' and value_kind is not null").withColumn("unit", F.concat(F.lit("return:"), "node_id"))
+    literal = returned.where("value_kind = 'literal'").select("unit", "value")
+    c = t["callable_fact"].select(F.col("qn").alias("owner_qn"), "callable_id").distinct()
+    v = t["variable"].where("value_kind = 'literal'")
+    unit = F.when(F.col("scope") == "local", F.concat(F.lit("variable:"), F.concat_ws(".", "owner_qn", "name"))).otherwise(F.concat(F.lit("attribute:"), F.concat_ws(".", "owner_id", "name")))
+    v = v.join(c, "owner_qn", "left").where("scope <> 'local' or callable_id is not null").select(unit.alias("unit"), F.col("assigned_value").alias("value"))
+    values = literal.unionByName(v).where("value is not null").groupBy("unit").agg(F.min("value").alias("value"))
+    outside = typed.where(~inside & ~builtin).select(F.col("type_name").alias("name")).unionByName(raised.where("cid is null").select(F.col("exception").alias("name")))
+    stubs = t["class_fact"].select(F.explode("bases").alias("name"))
+    stubs = outside.unionByName(stubs).distinct()
+    nodes_ = [
+        kinds,
+        _node(stubs, type_stub(F.col("name")), "code", "codeElement", "ClassUnit", F.col("name"), F.lit(1 << 21), "external"),
+        _node(raised, F.col("unit"), block, "codeElement", "StorableUnit", F.col("exception"), F.lit((1 << 20) + 1), "exception"),
+        _node(returned, F.col("unit"), block, "codeElement", "StorableUnit", F.lit("return"), F.lit((1 << 20) + 2), "returned_value"),
+        _node(values, F.concat(F.lit("value:"), "unit"), F.col("unit"), "codeElement", "Value", F.col("value"), F.lit(0)),
+    ]
+    rel = lambda df, owner, kind, target: df.select(F.col(owner).alias("owner_id"), F.lit(kind).alias("type"), target.alias("target_id"))
+    relations_ = [
+        rel(typed, "owner_id", "HasType", F.col("target_id")), rel(raised, "unit", "HasType", F.col("kind_id")), rel(raised, "node_id", "Throws", F.col("unit")),
+        rel(returned, "node_id", "Reads", F.col("unit")), rel(values, "unit", "HasValue", F.concat(F.lit("value:"), "unit")),
+    ]
+    return reduce(DataFrame.unionByName, nodes_).dropDuplicates(["id"]), reduce(DataFrame.unionByName, relations_).distinct()
+
+
+def merge_actions(node: DataFrame, relation: DataFrame, region: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Actions of one parent with equal metaclass, name, kind and first region become the first of them (ord, id); its relations
+    are those of all, and children of the others hang on it."""
+    at = region.groupBy(F.col("owner_id").alias("id")).agg(F.min(F.struct("path", "start_line", "end_line")).alias("at"))
+    acts = node.where("metaclass in ('ActionElement', 'TryUnit', 'CatchUnit', 'FinallyUnit')").join(at, "id")
+    key = ["parent_id", "metaclass", "name", "kind", "at"]
+    first = acts.groupBy(*key).agg(F.min(F.struct("ord", "id"))["id"].alias("keep"), F.count("*").alias("n")).where("n > 1")
+    same = [acts[c].eqNullSafe(first[c]) for c in key]
+    moved = acts.join(first, reduce(lambda a, b: a & b, same)).where("id <> keep").select(F.col("id").alias("gone"), "keep")
+    swap = lambda df, c: df.join(moved, F.col(c) == F.col("gone"), "left").withColumn(c, F.coalesce("keep", c)).drop("gone", "keep")
+    kept = node.join(moved.select(F.col("gone").alias("id")), "id", "left_anti")
+    return swap(kept, "parent_id").select(*node.columns), swap(swap(relation, "owner_id"), "target_id").select(*relation.columns).distinct()
+
+
+def body_spans(t: dict[str, DataFrame]) -> DataFrame:
+    """(callable_id, start_line, end_line) of the direct statements of each callable."""
+    return t["body_node"].where("depth = 0").groupBy("callable_id").agg(F.min("line_start").alias("start_line"), F.max("line_end").alias("end_line"))
+
+
+def structure_model(components: DataFrame, loops: DataFrame, members: DataFrame, edges: DataFrame, node: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, relations and attributes of the architecture: a structure model with its view, subsystems by role, loops, components
+    and one aggregated relationship for each relationship. Only what is materialised enters.
+
+    Parents: a component hangs on the least loop that holds it, else on its subsystem; implemented_by references become
+    implementation relations where the model has the code element and stay as attributes where not."""
+    live = components.where(F.coalesce("materialize", F.lit(True)))
+    lit = F.lit
+    side = F.when(F.col("role").isin(*R.MANAGED_ROLES), "managed").otherwise("managing")
+    home = members.join(loops.select("loop_id", F.col("name").alias("loop")), "loop").groupBy(F.col("component_id").alias("id")).agg(F.min("loop_id").alias("home"))
+    placed = selection.disambiguate(live.join(home, "id", "left"), "id", "name", "role").withColumn("sub", F.concat(lit("subsystem:"), side, lit("_subsystem")))
+    subs = placed.select("sub", side.alias("side")).distinct()
+    one = live.sparkSession.range(1)
+    nodes_ = [
+        _node(one, lit("structure"), "segment", "model", "StructureModel", "structure", lit(2)), _node(one, lit("system"), "structure", "structureElement", "SoftwareSystem", "system", lit(0)),
+        _node(one, lit("view"), "system", "structureElement", "ArchitectureView", "architecture", lit(0)),
+        _node(subs, F.col("sub"), lit("view"), "structureElement", "Subsystem", F.concat(F.initcap("side"), lit(" Subsystem")), lit(1)),
+        _node(loops, F.col("loop_id"), lit("subsystem:managing_subsystem"), "structureElement", "Component", F.col("name"), lit(2), lit("Loop")),
+        _node(placed, F.col("id"), F.coalesce("home", "sub"), "structureElement", "Component", F.col("display_name"), lit(3), F.col("role")),
+        _node(loops.select(lit("subsystem:managing_subsystem").alias("sub")).distinct().join(subs, "sub", "left_anti"), F.col("sub"), lit("view"), "structureElement", "Subsystem", "Managing Subsystem", lit(1)),
+    ]
+    known = live.select("id").unionByName(loops.select(F.col("loop_id").alias("id"))).distinct()
+    inside = edges.where(F.coalesce("materialize", F.lit(True)) if "materialize" in edges.columns else F.lit(True)).join(known.select(F.col("id").alias("source")), "source").join(known.select(F.col("id").alias("target")), "target")
+    nodes_.append(_node(inside.select("id", "source", "type").dropDuplicates(["id"]), F.col("id"), F.col("source"), "structureRelationship", "AggregatedRelationship", F.col("type"), lit(4), F.col("type")))
+    refs = structure.implementation_refs(live, node)
+    rel = lambda df, owner, kind, target: df.select(F.col(owner).alias("owner_id"), F.lit(kind).alias("type"), F.col(target).alias("target_id"))
+    relations_ = rel(refs.where("code_id is not null"), "id", "implementation", "code_id").unionByName(rel(inside, "id", "from", "source")).unionByName(rel(inside, "id", "to", "target"))
+    tag = lambda df, owner, name, value: df.select(F.col(owner).alias("owner_id"), F.lit(name).alias("tag"), value.cast("string").alias("value"))
+    word = F.create_map(*(F.lit(x) for kv in R.STEREOTYPES.items() for x in kv))
+    attributes_ = tag(refs.where("code_id is null and reference is not null"), "id", "implemented_by", F.col("reference")).unionByName(tag(inside, "id", "density", F.lit(1)))
+    attributes_ = attributes_.unionByName(tag(placed.withColumn("s", F.try_element_at(word, F.col("role"))).where("s is not null"), "id", "stereotype", F.col("s"))).unionByName(tag(loops, "loop_id", "stereotype", F.lit(R.STEREOTYPES["Loop"])))
+    return reduce(DataFrame.unionByName, nodes_).dropDuplicates(["id"]), relations_.distinct(), attributes_.distinct()
+
+
+def cycles(node: DataFrame) -> DataFrame:
+    """Findings for nodes that are their own ancestors: containment must be a tree."""
+    up = graphs.closure(node.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")))
+    return matching.finding("KDM-CYCLE", "error", up.where("node = ancestor"), "node", F.lit("contains itself"))
+
+
 def accesses(t: dict[str, DataFrame]) -> DataFrame:
     """Reads and Writes between actions and storable units: identifiers of targets and values, locals before attributes."""
     storable = t["variable"]

@@ -24,8 +24,9 @@ FORBIDDEN_TAGS = [
 ACTIONS = ("ActionElement", "TryUnit", "CatchUnit", "FinallyUnit")
 #: Relation -> metaclasses that its target may have.
 TARGETS = {
-    "Calls": ["CallableUnit", "MethodUnit", "ClassUnit"], "Creates": ["ClassUnit", "CallableUnit"], "Reads": ["StorableUnit", "ParameterUnit"], "Writes": ["StorableUnit"], "Throws": ["StorableUnit"],
+    "Calls": ["CallableUnit", "MethodUnit", "ClassUnit"], "Creates": ["ClassUnit", "CallableUnit"], "Reads": ["StorableUnit"], "Writes": ["StorableUnit"], "Throws": ["StorableUnit"],
     "HasType": DATATYPE_CLASSES, "Extends": ["ClassUnit", "InterfaceUnit"], "Imports": ["CompilationUnit", "Module", "ClassUnit", "CallableUnit", "Package"], "ExceptionFlow": ["CatchUnit"], "ExitFlow": ["FinallyUnit"],
+    "HasValue": ["Value", "ActionElement"], "Flow": ["ActionElement", "TryUnit"], "implementation": None, "from": None, "to": None,
 }
 
 
@@ -38,7 +39,7 @@ def validate(node: DataFrame, relation: DataFrame, attribute: DataFrame, region:
     placed = meta.where(F.col("metaclass").isin(*ACTIONS)).join(parent, "parent_id", "left")
     target = meta.select(F.col("id").alias("target_id"), F.col("metaclass").alias("target_class"))
     aimed = relation.join(target, "target_id", "left")
-    allowed = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in TARGETS.items() for x in kv))
+    allowed = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in TARGETS.items() if kv[1] for x in kv))
     out = [
         violates("KDM-INV-01", "error", inventories, "element", F.col("n") == 0, "no inventory model"),
         violates("KDM-INV-02", "warning", inventories, "element", F.col("n") > 1, "several inventory models"),
@@ -51,12 +52,16 @@ def validate(node: DataFrame, relation: DataFrame, attribute: DataFrame, region:
         violates("KDM-ACT-01", "error", placed, "id", ~F.coalesce(F.col("parent_class").isin("BlockUnit", *ACTIONS), F.lit(False)), "action outside a block"),
         duplicate_key("KDM-ACT-02", "error", node.where("metaclass = 'BlockUnit' and name = 'body'"), ["parent_id"]),
         violates("KDM-REL-01", "error", aimed, "owner_id", F.col("target_class").isNull(), F.concat("type", F.lit(" has no target: "), "target_id")),
-        violates("KDM-REL-02", "error", aimed, "owner_id", F.col("target_class").isNotNull() & ~F.array_contains(F.try_element_at(allowed, F.col("type")), F.col("target_class")), F.concat("type", F.lit(" targets a "), "target_class")),
+        violates("KDM-REL-02", "error", aimed, "owner_id", F.col("target_class").isNotNull() & ~F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("type")), F.col("target_class")), F.lit(True)), F.concat("type", F.lit(" targets a "), "target_class")),
+        violates("KDM-REL-03", "warning", relation, "owner_id", ~F.col("type").isin(*TARGETS), F.concat(F.lit("unknown relation type "), "type")),
+        violates("KDM-INV-04", "error", node.where("metaclass = 'SourceFile'"), "id", F.coalesce("name", F.lit("")) == "", "a source file without a path"),
+        violates("KDM-BLOCK-01", "warning", node.where("metaclass = 'BlockUnit'"), "id", F.coalesce("name", F.lit("")) != "body", "a block that is not named body"),
+        finding("KDM-BLOCK-02", "warning", node.where("metaclass = 'BlockUnit'").join(node.select(F.col("parent_id").alias("id")).distinct(), "id", "left_anti"), "id", F.lit("an empty block")),
         violates("KDM-TAG-01", "error", attribute, "owner_id", F.col("tag").isin(*OBSOLETE_TAGS), F.concat(F.lit("obsolete tag "), "tag")),
     ]
     left = lambda kind, types, tag: meta.where(F.col("kind") == kind).select("id").join(relation.where(F.col("type").isin(*types)).select(F.col("owner_id").alias("id")), "id", "left_anti").join(attribute.where(F.col("tag") == tag).select(F.col("owner_id").alias("id")), "id", "left_anti")
-    out.append(finding("KDM-RAISE", "warning", left("raise", ["Throws", "Calls", "Creates", "Reads"], "exception_flow"), "id", F.lit("raise without Throws or rethrow")))
-    out.append(finding("KDM-RETURN", "warning", left("return", ["Reads", "Calls", "Creates"], "return_flow"), "id", F.lit("return without Reads or void")))
+    out.append(finding("KDM-RAISE", "error", left("raise", ["Throws"], "exception_flow"), "id", F.lit("raise without Throws or rethrow")))
+    out.append(finding("KDM-RETURN", "error", left("return", ["Reads"], "return_flow"), "id", F.lit("return without Reads or void")))
     for kind, flow in (("CatchUnit", "ExceptionFlow"), ("FinallyUnit", "ExitFlow")):
         bare = meta.where(F.col("metaclass") == kind).select("id").join(relation.where(F.col("type") == flow).select(F.col("target_id").alias("id")), "id", "left_anti")
         out.append(finding(f"KDM-{flow}", "error", bare, "id", F.lit(f"{kind} without {flow}")))

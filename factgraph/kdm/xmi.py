@@ -13,12 +13,22 @@ from factgraph.operators.lineage import cut
 # Packages of the metaclasses and namespace addresses of the format.
 PACKAGE = {
     "Segment": "kdm", "InventoryModel": "source", "SourceFile": "source", "CodeModel": "code", "CompilationUnit": "code", "ClassUnit": "code", "MethodUnit": "code", "CallableUnit": "code", "ParameterUnit": "code",
-    "StorableUnit": "code", "Module": "code", "BlockUnit": "action", "ActionElement": "action", "TryUnit": "action", "CatchUnit": "action", "FinallyUnit": "action",
+    "StorableUnit": "code", "Module": "code", "Datatype": "code", "BooleanType": "code", "IntegerType": "code", "StringType": "code", "FloatType": "code", "VoidType": "code", "Value": "code",
+    "StructureModel": "structure", "SoftwareSystem": "structure", "ArchitectureView": "structure", "Subsystem": "structure", "Component": "structure", "AggregatedRelationship": "core", "BlockUnit": "action", "ActionElement": "action", "TryUnit": "action", "CatchUnit": "action", "FinallyUnit": "action",
 }
 NAMESPACES = {
     "xmi": "http://www.omg.org/XMI", "xsi": "http://www.w3.org/2001/XMLSchema-instance", "kdm": "http://www.omg.org/spec/KDM/20160201/kdm", "code": "http://www.omg.org/spec/KDM/20160201/code",
     "action": "http://www.omg.org/spec/KDM/20160201/action", "source": "http://www.omg.org/spec/KDM/20160201/source",
+    "structure": "http://www.omg.org/spec/KDM/20160201/structure", "core": "http://www.omg.org/spec/KDM/20160201/core",
 }
+#: Feature and package of each relation; what is not here is a relation of code.
+RELATION_FEATURE = {
+    "Calls": ("actionRelation", "action"), "Creates": ("actionRelation", "action"), "Reads": ("actionRelation", "action"), "Writes": ("actionRelation", "action"), "Throws": ("actionRelation", "action"),
+    "Flow": ("actionRelation", "action"), "ExceptionFlow": ("actionRelation", "action"), "ExitFlow": ("actionRelation", "action"),
+    "HasType": ("codeRelation", "code"), "HasValue": ("codeRelation", "code"), "Imports": ("codeRelation", "code"), "Extends": ("codeRelation", "code"),
+}
+#: References of structure elements: attributes that hold ids.
+REFERENCES = ("implementation", "from", "to")
 
 
 def _quoted(c):
@@ -26,30 +36,34 @@ def _quoted(c):
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
-def lines(node: DataFrame, relation: DataFrame, attribute: DataFrame, depth: int = 64) -> DataFrame:
-    """(path, depth, parent, opening, inner) of each element; path sorts elements in document order.
+def lines(node: DataFrame, relation: DataFrame, attribute: DataFrame) -> DataFrame:
+    """(path, depth, feature, opening, inner) of each element; path sorts elements in document order.
 
-    Paths grow level by level: one join per level of the tree, whose height a program's nesting bounds."""
+    Relations and tagged values are elements of the features that the metamodel gives them, references of structure elements are
+    attributes. Paths grow level by level, one join for each level of the tree, until no level is left, so no depth is cut."""
     package = F.create_map(*(F.lit(x) for kv in PACKAGE.items() for x in kv))
+    feature = F.create_map(*(F.lit(x) for k, (f, p) in RELATION_FEATURE.items() for x in (k, f"{f} xsi:type=\"{p}:{k}\"")))
     part = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
-    rel = relation.groupBy(F.col("owner_id").alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("<relation type="), _quoted(F.col("type")), F.lit(" to="), _quoted(F.col("target_id")), F.lit("/>")))).alias("rels"))
+    start = F.coalesce(F.try_element_at(feature, F.col("type")), F.concat(F.lit('codeRelation xsi:type="code:'), "type", F.lit('"')))
+    plain = relation.where(~F.col("type").isin(*REFERENCES))
+    rel = plain.groupBy(F.col("owner_id").alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("<"), start, F.lit(" to="), _quoted(F.col("target_id")), F.lit("/>")))).alias("rels"))
+    held = relation.where(F.col("type").isin(*REFERENCES)).groupBy(F.col("owner_id").alias("id"), "type").agg(F.array_join(F.array_sort(F.collect_set("target_id")), " ").alias("ids"))
+    held = held.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit(" "), "type", F.lit("="), _quoted(F.col("ids"))))), "").alias("refs"))
     att = attribute.groupBy(F.col("owner_id").alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("<attribute tag="), _quoted(F.col("tag")), F.lit(" value="), _quoted(F.col("value")), F.lit("/>")))).alias("atts"))
     none = F.array().cast("array<string>")
-    full = node.join(rel, "id", "left").join(att, "id", "left")
+    full = node.join(rel, "id", "left").join(att, "id", "left").join(held, "id", "left")
     kind = F.concat(F.lit(' xsi:type="'), F.coalesce(F.try_element_at(package, F.col("metaclass")), F.lit("code")), F.lit(":"), "metaclass", F.lit('"'))
-    opening = F.concat(F.lit("<"), "feature", kind, F.lit(" xmi:id="), _quoted(F.col("id")), F.coalesce(F.concat(F.lit(" name="), _quoted(F.col("name"))), F.lit("")), F.coalesce(F.concat(F.lit(" kind="), _quoted(F.col("kind"))), F.lit("")))
-    full = full.select("id", "parent_id", "feature", F.concat(part("ord"), F.lit(":"), "id").alias("step"), opening.alias("opening"), F.concat(F.coalesce("atts", none), F.coalesce("rels", none)).alias("inner"))
-    full = cut(full)
+    opening = F.concat(F.lit("<"), "feature", kind, F.lit(" xmi:id="), _quoted(F.col("id")), F.coalesce(F.concat(F.lit(" name="), _quoted(F.col("name"))), F.lit("")), F.coalesce(F.concat(F.lit(" kind="), _quoted(F.col("kind"))), F.lit("")), F.coalesce("refs", F.lit("")))
+    full = cut(full.select("id", "parent_id", "feature", F.concat(part("ord"), F.lit(":"), "id").alias("step"), opening.alias("opening"), F.concat(F.coalesce("atts", none), F.coalesce("rels", none)).alias("inner")))
     level = full.where("parent_id is null").withColumn("path", F.col("step")).withColumn("depth", F.lit(0))
-    out = level
-    rest = full.where("parent_id is not null")
-    for d in range(1, depth):
+    out, rest, d = level, full.where("parent_id is not null"), 0
+    while not level.isEmpty():
+        d += 1
         above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = rest.join(above, "parent_id").withColumn("path", F.concat_ws("/", "above", "step")).withColumn("depth", F.lit(d)).select(*out.columns)
-        level = cut(level)
-        if level.isEmpty():
-            break
+        level = cut(rest.join(above, "parent_id").withColumn("path", F.concat_ws("/", "above", "step")).withColumn("depth", F.lit(d)).select(*out.columns))
         out = out.unionByName(level)
+        if d % 16 == 0:
+            out = cut(out)
     return out.select("path", "depth", "feature", "opening", "inner").orderBy("path")
 
 
@@ -69,11 +83,23 @@ def write_file(node: DataFrame, relation: DataFrame, attribute: DataFrame, path:
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(metaclass, n) of an XMI text, by its type attributes; relations count by their type."""
+    """(metaclass, n) of an XMI text, by its type attributes; relations count by their type, references by their name."""
     text = spark.read.text(path)
     kinds = F.regexp_extract_all("value", F.lit(r'xsi:type="(?:\w+:)?(\w+)"'), F.lit(1))
-    rels = F.regexp_extract_all("value", F.lit(r'<relation type="(\w+)"'), F.lit(1))
-    return text.select(F.explode(F.concat(kinds, rels)).alias("metaclass")).groupBy("metaclass").agg(F.count("*").alias("n"))
+    return text.select(F.explode(kinds).alias("metaclass")).groupBy("metaclass").agg(F.count("*").alias("n"))
+
+
+def _value(c, name: str):
+    raw = F.regexp_extract(c, rf'\s{name}="([^"]*)"', 1)
+    for a, b in (("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
+        raw = F.replace(raw, F.lit(a), F.lit(b))
+    return F.when(F.col(c).rlike(rf'\s{name}="'), raw)
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(id, metaclass, feature, name, kind) of the elements of an XMI text written by write_file."""
+    rows = spark.read.text(path).where(F.col("value").contains(" xmi:id="))
+    return rows.select(_value("value", "xmi:id").alias("id"), F.regexp_extract("value", r'xsi:type="(?:\w+:)?(\w+)"', 1).alias("metaclass"), F.regexp_extract("value", r"<(\w+)\s", 1).alias("feature"), _value("value", "name").alias("name"), _value("value", "kind").alias("kind"))
 
 
 def ecore_metaclasses(spark: SparkSession, path: str) -> DataFrame:

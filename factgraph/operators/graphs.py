@@ -8,33 +8,41 @@ from pyspark.sql import functions as F
 from factgraph.operators.lineage import cut
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = 32) -> DataFrame:
-    """(node, ancestor, depth): every ancestor at its least depth. Cycles end because a pair that is known is not added again.
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, ancestor, depth): every ancestor at its least depth, however deep. Cycles end because a pair that is known is not
+    added again.
 
-    Semi-naive: each round joins only the pairs that the last one found. The loop runs on the driver, but only a count of new
-    pairs comes back. A graph with pairs more than `depth` edges apart raises an error: no pair is left out."""
+    Semi-naive: each round joins only the pairs that the last one found, until there are none. The loop runs on the driver, but
+    only whether a round found pairs comes back."""
     step = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct()
+    step = cut(step)
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__next"))
-    new = cut(step.withColumn("depth", F.lit(1)))
-    known = new
-    for d in range(2, depth + 2):
+    known = new = step.withColumn("depth", F.lit(1))
+    d = 1
+    while not new.isEmpty():
+        d += 1
         found = new.select("node", "ancestor").join(up, "ancestor").select("node", F.col("__next").alias("ancestor")).distinct()
-        new = found.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(d))
-        new = cut(new)
-        if new.isEmpty():
-            break
-        if d > depth:
-            raise RuntimeError(f"closure is not complete at depth {depth}")
+        new = cut(found.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(d)))
         known = known.unionByName(new)
+        if d % 16 == 0:  # deep graphs: one table instead of a union of many
+            known = cut(known)
     return known
 
 
-def levels(edges: DataFrame, roots: DataFrame, root: str, child: str = "child", parent: str = "parent", depth: int = 32) -> DataFrame:
-    """(node, level): breadth-first level from the roots; the first visit wins."""
-    down = closure(edges, child, parent, depth)
-    start = roots.select(F.col(root).alias("ancestor")).distinct()
-    reached = down.join(start, "ancestor").select("node", F.col("depth").alias("level"))
-    return reached.unionByName(start.select(F.col("ancestor").alias("node"), F.lit(0).alias("level"))).groupBy("node").agg(F.min("level").alias("level"))
+def levels(edges: DataFrame, roots: DataFrame, root: str, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, level): breadth-first level from the roots; the first visit wins. Each round joins the last level only, and only
+    nodes that no round has visited go on."""
+    down = cut(edges.select(F.col(parent).alias("node"), F.col(child).alias("__next")).where("node is not null and __next is not null").distinct())
+    known = new = cut(roots.select(F.col(root).alias("node"), F.lit(0).alias("level")).where("node is not null").distinct())
+    d = 0
+    while not new.isEmpty():
+        d += 1
+        found = new.join(down, "node").select(F.col("__next").alias("node")).distinct()
+        new = cut(found.join(known.select("node"), "node", "left_anti").withColumn("level", F.lit(d)))
+        known = known.unionByName(new)
+        if d % 16 == 0:
+            known = cut(known)
+    return known
 
 
 def prefixes(df: DataFrame, column: str, separator: str = ".", name: str = "prefix") -> DataFrame:

@@ -46,12 +46,41 @@ def finding(rule: str, level: str, df: DataFrame, element: str, message: Column)
     return df.select(F.lit(rule).alias("rule_id"), F.lit(level).alias("level"), F.col(element).cast("string").alias("element"), message.alias("message"))
 
 
-def apply_overrides(base: DataFrame, overrides: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """A merge by key: fields take the override's non-null values, and overrides of unknown keys are added."""
-    new = overrides.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in fields))
+def apply_overrides(base: DataFrame, overrides: DataFrame, key: str, fields: list[str], order: list[str] = ()) -> DataFrame:
+    """A merge by key: fields take the override's non-null values, and overrides of unknown keys are added.
+
+    Several overrides of one key are reduced to one first: of each field the last non-null value in `order` (columns of overrides;
+    ties and no order: the largest value). A null key overrides nothing."""
+    known = overrides.where(F.col(key).isNotNull())
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("__v"))))["__v"].alias(c) for c in overrides.columns if c != key and c not in order]
+    one = known.groupBy(key).agg(*last) if last else known.select(key).distinct()
+    new = one.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in fields))
     merged = base.join(new, F.col(key) == F.col("__key"), "left").select(
         *(F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns), F.when(F.col("__key").isNotNull(), "reviewed").otherwise("unchanged").alias("review_status")
     )
-    added = overrides.join(base.select(key), key, "left_anti")
-    added = added.select(*(F.col(c) if c in overrides.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns), F.lit("added").alias("review_status"))
+    added = one.join(base.select(key).distinct(), key, "left_anti")
+    added = added.select(*(F.col(c) if c in one.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns), F.lit("added").alias("review_status"))
     return merged.unionByName(added)
+
+
+def apply_decisions(base: DataFrame, overrides: DataFrame, key: str, fields: list[str], promote: bool = False) -> DataFrame:
+    """Reviewers' decisions on rows (key, materialize, review_status, ...): overrides have key, decision, `fields` and, with promote,
+    promote_to_architectural.
+
+    accepted and rejected set materialize; a field that is given replaces the row's; promotion keeps the former
+    relationship_level as source_level and makes the relationship architectural. Of these the last one names review_status.
+    Overrides of unknown keys change nothing."""
+    names = ["decision", *fields, *(["promote_to_architectural"] if promote else [])]
+    one = overrides.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.max(c).alias(f"__{c}") for c in names)).withColumnRenamed(key, "__key")
+    rows = base.join(one, F.col(key) == F.col("__key"), "left")
+    given = F.lit(False)
+    for c in fields:
+        given = given | F.col(f"__{c}").isNotNull()
+    up = F.coalesce(F.col("__promote_to_architectural"), F.lit(False)) if promote else F.lit(False)
+    live = F.when(up, True).when(F.col("__decision") == "accepted", True).when(F.col("__decision") == "rejected", False).otherwise(F.col("materialize"))
+    status = F.when(up, "user_promoted").when(given, "user_modified").when(F.col("__decision") == "accepted", "user_accepted").when(F.col("__decision") == "rejected", "user_rejected").otherwise(F.col("review_status"))
+    new = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in fields} | {"materialize": live, "review_status": status}
+    if promote:
+        level = new.get("relationship_level", F.col("relationship_level"))
+        new |= {"source_level": F.when(up, F.coalesce(level, F.lit("technical"))).otherwise(F.col("source_level")), "relationship_level": F.when(up, "architectural").otherwise(level)}
+    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in base.columns))

@@ -38,13 +38,28 @@ def merge_fields(df: DataFrame, key: str, order: str, first: list[str], least: l
 
 
 def merge_sets(df: DataFrame, key: str, score: str, evidence: str) -> DataFrame:
-    """Rows of one key merged: largest score, sorted union of evidence, row count. A null key never merges."""
+    """Rows of one key merged: largest score, sorted union of evidence, row count. A null key never merges.
+
+    Evidence is exploded and made distinct before it is gathered, so what meets for a key is its distinct evidence only."""
     keyed = df.where(F.col(key).isNotNull())
-    merged = keyed.groupBy(key).agg(F.max(score).alias(score), F.array_sort(F.array_distinct(F.flatten(F.collect_list(evidence)))).alias(evidence), F.count("*").alias("n_merged"))
-    alone = df.where(F.col(key).isNull()).select(key, score, F.array_sort(F.array_distinct(evidence)).alias(evidence), F.lit(1).cast("long").alias("n_merged"))
+    sizes = keyed.groupBy(key).agg(F.max(score).alias(score), F.count("*").alias("n_merged"))
+    items = keyed.select(key, F.explode(evidence).alias("__item")).groupBy(key).agg(F.array_sort(F.collect_set("__item")).alias("__items"))
+    none = F.array().cast(df.schema[evidence].dataType)
+    merged = sizes.join(items, key, "left").select(key, score, F.coalesce("__items", none).alias(evidence), "n_merged")
+    alone = df.where(F.col(key).isNull()).select(key, score, F.array_sort(F.array_distinct(F.coalesce(F.col(evidence), none))).alias(evidence), F.lit(1).cast("long").alias("n_merged"))
     return merged.unionByName(alone)
 
 
+def merge_suggestions(df: DataFrame, key: str = "semantic_key") -> DataFrame:
+    """Suggestions (id, semantic_key, source, confidence, evidence, ...) merged by key: the row of a deterministic source stays before
+    one of a language model, then that of more confidence, then least id; it takes the largest confidence and all evidence."""
+    rows = df.withColumn("__llm", F.col("source").contains("llm").cast("int"))
+    first = keep_first(rows.withColumn("__low", -F.col("confidence")).where(F.col(key).isNotNull()), [key], ["__llm", "__low", "id"])
+    merged = merge_sets(df, key, "confidence", "evidence").where(F.col(key).isNotNull()).withColumnRenamed("confidence", "__most").withColumnRenamed("evidence", "__all").drop("n_merged")
+    whole = first.join(merged, key).withColumns({"confidence": F.col("__most"), "evidence": F.col("__all")}).select(*df.columns)
+    return whole.unionByName(df.where(F.col(key).isNull()))
+
+
 def top_k(df: DataFrame, keys: list[str], k: int, count: str = "n") -> DataFrame:
     """The k most frequent keys; ties go to the least key."""
     return df.groupBy(*keys).agg(F.count("*").alias(count)).orderBy(F.desc(count), *keys).limit(k)
@@ -56,9 +71,11 @@ def add_new(existing: DataFrame, incoming: DataFrame, keys: list[str], order: li
 
 
 def disambiguate(df: DataFrame, id_col: str, name: str, role: str) -> DataFrame:
-    """Display names: the plain name if unique, else name_role, else that with a counter from the second on (by id)."""
-    plain = F.count("*").over(Window.partitionBy(name))
-    both = Window.partitionBy(name, role)
-    nth = F.row_number().over(both.orderBy(id_col))
+    """Display names: the plain name if unique, else name_role if that is, else that with the id's last segment, and if even those
+    are equal, with a counter from the second on (by id)."""
     named = F.concat_ws("_", name, role)
-    return df.withColumn("display_name", F.when(plain == 1, F.col(name)).when(nth == 1, named).otherwise(F.concat(named, F.lit("_"), nth.cast("string"))))
+    tail = F.concat_ws("_", named, F.regexp_extract(F.col(id_col).cast("string"), "[^:._]+$", 0))
+    plain, by_role, by_tail = (F.count("*").over(Window.partitionBy(c)) for c in (F.col(name), named, tail))
+    nth = F.row_number().over(Window.partitionBy(tail).orderBy(id_col))
+    numbered = F.when((by_tail == 1) | (nth == 1), tail).otherwise(F.concat(tail, F.lit("_"), nth.cast("string")))
+    return df.withColumn("display_name", F.when(plain == 1, F.col(name)).when(by_role == 1, named).otherwise(numbered))

@@ -44,7 +44,7 @@ def class_roles(classes: DataFrame, methods: DataFrame, calls: DataFrame | None
     per_rule = [F.count_if(scoring.any_term(F.lower("name"), m)).alias(f"m{i}") for i, (_, _, m, _) in enumerate(R.ROLE_RULES)]
     rows = classes.join(methods.groupBy("class_id").agg(*per_rule), "class_id", "left")
     if calls is not None:
-        hint = [F.bool_or(scoring.any_term(F.lower("name"), [*n, *m])).alias(f"c{i}") for i, (_, n, m, _) in enumerate(R.ROLE_RULES)]
+        hint = [F.bool_or(scoring.any_term(F.lower("name"), R.HINT_TERMS.get(role, []))).alias(f"c{i}") for i, (role, _, _, _) in enumerate(R.ROLE_RULES)]
         rows = rows.join(calls.groupBy("class_id").agg(*hint), "class_id", "left")
     scored = []
     for i, (role, terms, _, _) in enumerate(R.ROLE_RULES):
@@ -64,16 +64,18 @@ def decorator_roles(callables: DataFrame) -> DataFrame:
     last = F.regexp_replace(F.element_at(F.split("d", r"\."), -1), r"\(.*$", "")
     rows = rows.withColumn("role", F.try_element_at(table, F.lower(last))).where("role is not null")
     rows = rows.withColumn("loop_hint", F.when(F.col("d").contains("."), F.substring_index("d", ".", 1)))
-    first = selection.keep_first(rows.select("callable_id", "ord", "name", "role", "loop_hint"), ["callable_id", "role"], ["ord"])
+    first = selection.keep_first(rows.select("callable_id", "ord", "name", "role", "loop_hint"), ["callable_id"], ["ord"])
     return first.select("callable_id", "name", "role", F.lit(R.DECORATOR_CONFIDENCE).alias("confidence"), F.lit("auto_accepted").alias("status"), "loop_hint")
 
 
 def registration_roles(calls: DataFrame) -> DataFrame:
-    """(callable_id, role, confidence, loop_hint) from registering calls such as loop.plan(...)."""
-    table = F.create_map(*(F.lit(x) for kv in R.REGISTRATION_ROLES.items() for x in kv))
-    two = F.lower(names.suffix(F.col("name"), 2))
-    rows = calls.withColumn("role", F.try_element_at(table, two)).where("role is not null")
-    return rows.select("callable_id", "role", F.lit(R.REGISTRATION_CONFIDENCE).alias("confidence"), F.substring_index("name", ".", 1).alias("loop_hint")).distinct()
+    """(callable_id, role, confidence, status, loop_hint) from registering calls such as loop.plan(...): the first call of a callable
+    (callable_id, ord, name) that names one."""
+    name = F.lower("name")
+    role = F.coalesce(*(F.when(name.contains(term), F.lit(r)) for term, r in R.REGISTRATION_ROLES.items()))
+    rows = calls.withColumn("role", role).where("role is not null").withColumn("loop_hint", F.when(F.col("name").contains("."), F.substring_index("name", ".", 1)))
+    first = selection.keep_first(rows.select("callable_id", "ord", "role", "loop_hint"), ["callable_id"], ["ord"])
+    return first.select("callable_id", "role", F.lit(R.REGISTRATION_CONFIDENCE).alias("confidence"), F.lit("auto_accepted").alias("status"), "loop_hint")
 
 
 def promoted(roles: DataFrame) -> DataFrame:
@@ -82,24 +84,24 @@ def promoted(roles: DataFrame) -> DataFrame:
 
 
 def name_tokens(c: Column) -> Column:
-    """Lower-case words of a name in snake_case or camelCase."""
-    spaced = F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")
-    return F.filter(F.split(F.lower(F.trim(spaced)), " +"), lambda t: t != "")
+    """Lower-case words of a name: runs of letters and digits."""
+    return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
 
 
 def control_io(elements: DataFrame) -> DataFrame:
-    """(id, name, role, confidence) of control inputs and outputs among elements (id, name, kind, path), capped per role.
+    """(id, name, role, confidence) of control inputs and outputs among elements (id, name, kind, qualified_name and, if there,
+    decorators), capped per role.
 
-    kind is class, function, method or variable; reference inputs and measured outputs are looked for among variables
-    only, sensors and effectors among the others. The first rule in order of precedence wins; caps keep the most confident,
-    ties by id."""
+    The words of the name and of the decorators are looked up; CONTROL_KINDS says among which kinds. The first rule in order of
+    precedence wins; caps keep the most confident, ties by id. Excluded are elements whose name (its words) or part of whose
+    qualified name is listed."""
     tokens = name_tokens(F.col("name"))
-    rows = elements.withColumn("__t", tokens).where(~F.lower("name").isin(*R.CONTROL_EXCLUDED_NAMES) & ~F.col("name").startswith("_"))
-    rows = rows.where(~scoring.any_term(F.lower("path"), R.CONTROL_EXCLUDED_PATHS))
+    more = F.flatten(F.transform(F.coalesce("decorators", F.array().cast("array<string>")), name_tokens)) if "decorators" in elements.columns else F.array().cast("array<string>")
+    rows = elements.withColumn("__t", F.array_union(tokens, more)).where(~F.array_join(tokens, " ").isin(*R.CONTROL_EXCLUDED_NAMES))
+    rows = rows.where(~scoring.any_term(F.lower(F.coalesce("qualified_name", F.col("id"))), R.CONTROL_EXCLUDED_PATHS))
     choice = F.lit(None).cast("struct<role:string,confidence:double>")
     for role, confidence, terms in reversed(R.CONTROL_RULES):
-        kind = F.col("kind") == "variable"
-        on = kind if role in R.CONTROL_ON_VARIABLES else ~kind
+        on = F.col("kind").isin(*R.CONTROL_KINDS[role])
         choice = F.when(on & F.arrays_overlap("__t", F.array(*map(F.lit, terms))), F.struct(F.lit(role).alias("role"), F.lit(confidence).alias("confidence"))).otherwise(choice)
     rows = rows.withColumn("__c", choice).where("__c is not null").select("id", "name", F.col("__c.role").alias("role"), F.col("__c.confidence").alias("confidence"))
     return selection.cap_per_group(rows, ["role"], "confidence", ["id"], R.CONTROL_CAPS, "role")

@@ -2,28 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.functions import names
-from factgraph.operators.cascade import Tier, resolve_cascade
+from factgraph.operators.cascade import candidates
+
+
+def normalised(name: Column) -> Column:
+    """A runtime name in the form of qualified names: - as _, slashes as dots."""
+    return F.translate(name, "-/\\", "_..")
 
 
 def resolve_endpoints(seen: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
-    """seen (name) with target_id: exact, then a unique last two segments, then a unique last segment, else null.
-
-    known (id, qn). A suffix test becomes an equi-join on the suffix, and several matches leave the name unresolved."""
-    rows = seen.withColumn("__two", names.suffix(F.col(name), 2)).withColumn("__one", names.last_segment(F.col(name)))
-    by = lambda k, c: known.select(c.alias(f"key_{k}"), F.col("id").alias(f"id_{k}"))
-    out = resolve_cascade(
-        rows,
-        [
-            Tier("exact", by("exact", F.col("qn")), {name: "key_exact"}, "id_exact", "exact", "ambiguous"),
-            Tier("two", by("two", names.suffix(F.col("qn"), 2)), {"__two": "key_two"}, "id_two", "suffix", "ambiguous", when=F.col(name).contains(".")),
-            Tier("one", by("one", names.last_segment(F.col("qn"))), {"__one": "key_one"}, "id_one", "suffix", "ambiguous"),
-        ],
-    )
-    return out.drop("__two", "__one", "candidates", "tier")
+    """seen (name) with target_id, classification and tier: exact, then the normalised name, then a unique element that ends in the
+    whole name, then one that ends in its last two segments, else null.
+
+    known (id, qn). Every proper suffix of a known name is a key, so a suffix test is an equi-join; several matches leave the
+    name to the next tier."""
+    norm = normalised(F.col("qn"))
+    parts = F.split(norm, r"\.")
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    whole = known.select(F.lit("exact").alias("space"), F.col("qn").alias("key"), "id").unionByName(known.select(F.lit("normal").alias("space"), norm.alias("key"), "id"))
+    dimension = whole.unionByName(known.where(F.size(parts) > 1).select(F.lit("suffix").alias("space"), F.explode(tails).alias("key"), "id"))
+    dim = candidates(dimension, ["space", "key"], "id")
+    dim = dim.withColumn("first", F.col("first").cast("string")).where("space <> 'suffix' or n = 1")  # an exact name takes the least id
+    names_ = seen.select(F.col(name).alias("__name")).distinct()
+    n = normalised(F.col("__name"))
+    asked = [("exact", "exact", F.col("__name")), ("normal", "normal", n), ("suffix", "suffix", n), ("two", "suffix", F.when(n.contains("."), names.suffix(n, 2)))]
+    rows = names_.select("__name", F.explode(F.array(*(F.struct(F.lit(k).alias("tier"), F.lit(space).alias("space"), key.alias("key"), F.lit(label).alias("label")) for k, (label, space, key) in enumerate(asked)))).alias("a")).select("__name", "a.*")
+    hit = rows.join(dim, ["space", "key"]).groupBy("__name").agg(F.min(F.struct("tier", "label", "first")).alias("h"))
+    out = seen.join(hit, F.col(name) == F.col("__name"), "left")
+    return out.select(*seen.columns, F.coalesce("h.label", F.lit("unresolved")).alias("classification"), F.col("h.first").alias("target_id"))
+
+
+def component_names(seen: DataFrame, implemented: DataFrame, name: str = "name") -> DataFrame:
+    """(name, component) of runtime names: the components whose reference is the name; if there are none, all whose normalised
+    reference equals the name, is a dotted tail of it, has it as a tail, or shares its last two segments.
+
+    implemented (reference, component). Tails are exploded on both sides, so every test is an equi-join."""
+
+    def keyed(df: DataFrame, text: Column, *more: str) -> DataFrame:
+        parts = F.split(normalised(text), r"\.")
+        tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.struct(F.lit("tail").alias("how"), F.array_join(F.slice(parts, k, F.size(parts)), ".").alias("key")))
+        two = F.when(F.size(parts) >= 2, F.struct(F.lit("two").alias("how"), F.array_join(F.slice(parts, -2, 2), ".").alias("key")))
+        whole = F.struct(F.lit("whole").alias("how"), F.array_join(parts, ".").alias("key"))
+        keys = F.concat(F.array_compact(F.array(whole, two)), F.when(F.size(parts) >= 2, tails).otherwise(F.array().cast("array<struct<how:string,key:string>>")))
+        return df.select(*more, F.explode(keys).alias("k")).select(*more, "k.how", "k.key")
+
+    asked = seen.select(F.col(name).alias("name")).where("name is not null").distinct()
+    exact = asked.join(implemented.select(F.col("reference").alias("name"), "component"), "name").distinct()
+    a = keyed(asked.join(exact.select("name").distinct(), "name", "left_anti"), F.col("name"), "name").withColumnRenamed("how", "a")
+    b = keyed(implemented, F.col("reference"), "component").withColumnRenamed("how", "b")
+    fits = "(a = 'whole' and b = 'whole') or (a = 'tail' and b = 'whole') or (a = 'whole' and b = 'tail') or (a = 'two' and b = 'two')"
+    return exact.unionByName(a.join(b, "key").where(fits).select("name", "component")).distinct()
 
 
 def runtime_call_actions(edges: DataFrame, known: DataFrame, static: DataFrame) -> DataFrame:

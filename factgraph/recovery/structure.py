@@ -10,30 +10,42 @@ from factgraph.operators import matching, scoring, selection
 from factgraph.rules import tables as R
 
 MAIN_LOOP = "main_candidate_loop"
+SPREAD = 32
 
 
 def loop_members(components: DataFrame) -> DataFrame:
     """(loop, component_id, role, confidence, ord): components by loop_hint; those without one join every hinted loop.
 
     components (id, role, loop_hint, confidence, ord), only roles that a loop may hold. Without any hint there is one main loop.
-    Hints are few (one per loop), so joining unhinted members to all of them is bounded by loops times shared members."""
+    The result is by definition loops times shared members; the hints meet the shared members in an equi-join on a constant
+    bucket of each, so that it is spread over tasks instead of one."""
     rows = components.where(F.col("role").isin(*R.LOOP_ROLES)).select(F.col("id").alias("component_id"), "role", "loop_hint", "confidence", "ord")
     hints = rows.where("loop_hint is not null").select(F.col("loop_hint").alias("loop")).distinct()
-    shared = rows.where("loop_hint is null").join(F.broadcast(hints) if hints.limit(1001).count() <= 1000 else hints, F.lit(True), "left")
-    shared = shared.withColumn("loop", F.coalesce("loop", F.lit(MAIN_LOOP)))
+    free = rows.where("loop_hint is null")
+    # every hint is in all SPREAD buckets, a shared member in one
+    buckets = hints.select("loop", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("__bucket"))
+    shared = free.withColumn("__bucket", F.pmod(F.xxhash64("component_id"), F.lit(SPREAD)).cast("int")).join(buckets, "__bucket").drop("__bucket")
+    any_hint = hints.agg(F.count("*").alias("__hints"))  # one row
+    alone = free.crossJoin(any_hint).where("__hints = 0").withColumn("loop", F.lit(MAIN_LOOP)).drop("__hints")
+    shared = shared.unionByName(alone)
     own = rows.where("loop_hint is not null").withColumn("loop", F.col("loop_hint"))
     return own.unionByName(shared).select("loop", "component_id", "role", "confidence", "ord")
 
 
 def control_loops(members: DataFrame) -> DataFrame:
-    """(loop_id, name, n_members, roles, missing_roles, completeness, confidence) of loops with at least two core roles."""
+    """(loop_id, name, n_members, roles, role_counts, missing_roles, completeness, confidence, status) of loops that hold at least
+    two of the core roles and Knowledge. Completeness counts the core roles alone: all, at least two, fewer (weak)."""
     core = F.array(*map(F.lit, R.CORE_ROLES))
-    loops = members.groupBy("loop").agg(F.count("*").alias("n_members"), F.array_sort(F.collect_set("role")).alias("roles"), scoring.mean_confidence("confidence").alias("confidence"))
+    counted = members.groupBy("loop", "role").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.count("confidence").alias("k"))
+    loops = counted.groupBy("loop").agg(
+        F.sum("n").alias("n_members"), F.array_sort(F.collect_set("role")).alias("roles"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n")))).alias("role_counts"),
+        F.coalesce(F.round(F.sum("c") / F.sum("k"), 2), F.lit(0.0)).alias("confidence"))
     have = F.size(F.array_intersect("roles", core))
-    loops = loops.withColumn("__have", have).where("__have >= 2")
+    loops = loops.withColumn("__have", have).where(F.col("__have") + F.array_contains("roles", "Knowledge").cast("int") >= 2)
     missing = F.array_sort(F.array_except(core, "roles"))
-    state = F.when(F.col("__have") == len(R.CORE_ROLES), "complete").otherwise("partial")
-    return loops.select(F.concat(F.lit("control_loop:"), names.slug(F.col("loop"))).alias("loop_id"), F.col("loop").alias("name"), "n_members", "roles", missing.alias("missing_roles"), state.alias("completeness"), "confidence")
+    state = F.when(F.col("__have") == len(R.CORE_ROLES), "complete").when(F.col("__have") >= 2, "partial").otherwise("weak")
+    status = F.when(F.col("confidence") >= R.STATUS_BANDS[0][0], "auto_accepted").otherwise("needs_review")
+    return loops.select(F.concat(F.lit("control_loop:"), names.slug(F.col("loop"))).alias("loop_id"), F.col("loop").alias("name"), "n_members", "roles", "role_counts", missing.alias("missing_roles"), state.alias("completeness"), "confidence", status.alias("status"))
 
 
 def _edge(df: DataFrame, kind: str, confidence) -> DataFrame:
@@ -88,7 +100,8 @@ def subsystems(components: DataFrame) -> DataFrame:
 
 
 def containment(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Allowed contains edges and CONTAIN-FORBIDDEN findings for candidates (source, source_role, target, target_role, has_loop_manager)."""
+    """Allowed contains edges, and a CONTAIN-OK or CONTAIN-FORBIDDEN finding for each of the candidates (source, source_role, target,
+    target_role, has_loop_manager)."""
     s, t = F.col("source_role"), F.col("target_role")
     allowed = F.coalesce(
         F.when(s == "Managing Subsystem", (t == "CL Manager") | ((t == "Control Loop") & ~F.col("has_loop_manager")))
@@ -97,8 +110,8 @@ def containment(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     rows = candidates.withColumn("__ok", allowed)
     edges = _edge(rows.where("__ok").select("source", "target").distinct(), "contains", R.CONTAINS_CONFIDENCE)
-    message = F.concat(s, F.lit(" cannot directly contain "), t)
-    return edges, matching.finding("CONTAIN-FORBIDDEN", "blocked", rows.where("not __ok"), "target", message)
+    good = matching.finding("CONTAIN-OK", "ok", rows.where("__ok"), "target", F.concat(s, F.lit(" contains "), t))
+    return edges, good.unionByName(matching.finding("CONTAIN-FORBIDDEN", "blocked", rows.where("not __ok"), "target", F.concat(s, F.lit(" cannot directly contain "), t)))
 
 
 def construction_warnings(loops: DataFrame, components: DataFrame) -> DataFrame:
@@ -120,18 +133,54 @@ def statistics(components: DataFrame, loops: DataFrame, edges: DataFrame) -> Dat
     return by_status.crossJoin(sizes).crossJoin(edges.agg(F.count("*").alias("n_relationships")))  # three single rows
 
 
+def dynamic_relations(components: DataFrame, runtime_pairs: DataFrame) -> DataFrame:
+    """(source, target, type, scenario) of runtime calls between components whose roles may relate. runtime_pairs (source, target:
+    component ids, scenario)."""
+    role = components.select("id", "role").distinct()
+    pairs = runtime_pairs.join(role.select(F.col("id").alias("source"), F.col("role").alias("a")), "source").join(role.select(F.col("id").alias("target"), F.col("role").alias("b")), "target")
+    kind = F.create_map(*(F.lit(x) for a, b, k in R.DYNAMIC_PAIRS for x in (f"{a}>{b}", k)))
+    return pairs.withColumn("type", F.try_element_at(kind, F.concat_ws(">", "a", "b"))).where("type is not null").select("source", "target", "type", "scenario").distinct()
+
+
 def suggestions(components: DataFrame, loops: DataFrame, runtime_pairs: DataFrame) -> DataFrame:
     """Deterministic review suggestions: (id, suggestion_type, confidence, affected, message).
 
-    components (id, role, implemented_by array), loops of control_loops(), runtime_pairs (source, target: component ids)."""
-    role = components.select("id", "role")
-    pairs = runtime_pairs.join(role.select(F.col("id").alias("source"), F.col("role").alias("a")), "source").join(role.select(F.col("id").alias("target"), F.col("role").alias("b")), "target")
-    known = [*R.STANDARD_FLOW, ("Executor", "Effector"), ("Monitor", "Sensor")]
-    seen = pairs.where(F.concat_ws(">", "a", "b").isin([f"{a}>{b}" for a, b in known])).select("source", "target").distinct()
-    dynamic = seen.select(F.lit("dynamic_relation").alias("suggestion_type"), F.lit(0.90).alias("confidence"), F.array("source", "target").alias("affected"), F.lit("seen at run time").alias("message"))
-    per_code = components.select("role", "id", F.explode("implemented_by").alias("code")).groupBy("code").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.array_sort(F.collect_set("id")).alias("affected"))
-    doubled = per_code.where("size(roles) > 1").select(F.lit("role_disambiguation").alias("suggestion_type"), F.lit(0.75).alias("confidence"), "affected", F.concat(F.lit("one code element, several roles: "), F.array_join("roles", ", ")).alias("message"))
+    components (id, role, implemented_by array), loops of control_loops(), runtime_pairs (source, target: component ids, scenario)."""
+    seen = dynamic_relations(components, runtime_pairs)
+    text = F.concat(F.lit("seen at run time in "), F.coalesce("scenario", F.lit("unknown_scenario")), F.lit(": "), F.col("type"))
+    dynamic = seen.select(F.lit("dynamic_relation").alias("suggestion_type"), F.lit(0.90).alias("confidence"), F.array("source", "target").alias("affected"), text.alias("message"))
+    per_code = multi_role_implementations(components)
+    doubled = per_code.select(F.lit("role_disambiguation").alias("suggestion_type"), F.lit(0.75).alias("confidence"), "affected", F.concat(F.lit("one code element, several roles: "), F.array_join("roles", ", ")).alias("message"))
     partial = loops.where("completeness = 'partial'").select(F.lit("partial_control_loop").alias("suggestion_type"), F.lit(0.70).alias("confidence"), F.array("loop_id").alias("affected"), F.concat(F.lit("missing: "), F.array_join("missing_roles", ", ")).alias("message"))
     absent = loops.where(~F.array_contains("roles", "Knowledge")).select(F.lit("missing_abstraction").alias("suggestion_type"), F.lit(0.70).alias("confidence"), F.array("loop_id").alias("affected"), F.lit("no Knowledge component").alias("message"))
     out = dynamic.unionByName(doubled).unionByName(partial).unionByName(absent)
     return out.select(names.stable_id("ai_suggestion", F.col("suggestion_type"), F.array_join("affected", "|"), F.col("message")).alias("id"), *out.columns)
+
+
+def multi_role_implementations(components: DataFrame) -> DataFrame:
+    """(code, roles, affected) of code elements that implement components of more than one role."""
+    each = components.select("role", "id", F.explode("implemented_by").alias("code"))
+    return each.groupBy("code").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.array_sort(F.collect_set("id")).alias("affected")).where("size(roles) > 1")
+
+
+def implementation_refs(components: DataFrame, known_code: DataFrame) -> DataFrame:
+    """(id, reference, code_id) of every implemented_by entry, code_id null where no code element (id) has it; a component without
+    entries keeps one row with a null reference."""
+    rows = components.select("id", F.explode_outer("implemented_by").alias("reference"))
+    return rows.join(known_code.select(F.col("id").alias("code_id")).distinct(), F.col("reference") == F.col("code_id"), "left").select("id", "reference", "code_id")
+
+
+def apply_suggestions(edges: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted changes (operation, source, target, relationship_type) as new relationships, and a finding for each operation that
+    is not supported. add_relationship adds an edge that is not there yet."""
+    add = accepted.where("operation = 'add_relationship'").select("source", "target", F.col("relationship_type").alias("type")).where("source is not null and target is not null and type is not null").distinct()
+    new = add.join(edges.select("source", "target", "type").distinct(), ["source", "target", "type"], "left_anti")
+    id_ = F.concat(F.lit("relationship:"), names.slug(F.col("source")), F.lit("__"), F.col("type"), F.lit("__"), names.slug(F.col("target")))
+    new = new.select(id_.alias("id"), "source", "target", "type", F.lit(True).alias("materialize"), F.lit("user_added").alias("review_status"))
+    odd = accepted.where("operation is null or operation not in ('add_relationship', 'optional_add_component')")
+    return new, matching.finding("APPLY-UNSUPPORTED", "warning", odd.withColumn("__op", F.coalesce("operation", F.lit("none"))), "__op", F.lit("this operation is not applied"))
+
+
+def loop_role_counts(members: DataFrame) -> DataFrame:
+    """(loop, role, n): members of each role in each loop."""
+    return members.groupBy("loop", "role").agg(F.count("*").alias("n"))

@@ -41,7 +41,7 @@ def component_findings(components: DataFrame, known_code: DataFrame | None = Non
 
 def edge_findings(edges: DataFrame, components: DataFrame) -> DataFrame:
     """ARV-F-03 to F-05, F-07, F-08, F-10, W-05, W-06, W-07, OK-04. Of the forbidding rules only the first that fails speaks."""
-    node = components.groupBy("id").agg(F.first("role").alias("role"), F.bool_or(F.coalesce("materialize", F.lit(True))).alias("live"))
+    node = components.groupBy("id").agg(F.min("role").alias("role"), F.bool_or(F.coalesce("materialize", F.lit(True))).alias("live"))
     s = node.select(F.col("id").alias("source"), F.col("role").alias("s_role"), F.col("live").alias("s_live"))
     t = node.select(F.col("id").alias("target"), F.col("role").alias("t_role"), F.col("live").alias("t_live"))
     rows = _live(edges).join(s, "source", "left").join(t, "target", "left")
@@ -70,7 +70,7 @@ def edge_findings(edges: DataFrame, components: DataFrame) -> DataFrame:
 def loop_findings(loops: DataFrame, members: DataFrame, components: DataFrame) -> DataFrame:
     """ARV-F-06, F-09, W-01, W-09, W-10, W-11 over loops (id, level, materialize) and members (loop_id, component_id)."""
     live = _live(loops).select(F.col("id").alias("loop_id"), "level")
-    node = components.groupBy("id").agg(F.first("role").alias("role"), F.bool_or(F.coalesce("materialize", F.lit(True))).alias("live")).withColumnRenamed("id", "component_id")
+    node = components.groupBy("id").agg(F.min("role").alias("role"), F.bool_or(F.coalesce("materialize", F.lit(True))).alias("live")).withColumnRenamed("id", "component_id")
     rows = live.join(members.select("loop_id", "component_id").distinct(), "loop_id").join(node, "component_id")
     kept = rows.where("live")
     per_loop = live.join(kept.groupBy("loop_id").agg(F.collect_set("role").alias("roles")), "loop_id", "left")

@@ -25,6 +25,12 @@ ROLE_RULES = [
     ("Alternative", ["alternative", "strategy", "plan"], ["strategy", "alternative", "plan"], ["alternative", "strategy"]),
     ("LoopManager", ["loop", "coordinator", "manager"], ["run_loop", "coordinate", "orchestrate", "adapt"], ["loop"]),
 ]
+#: Terms in the names of called functions that hint at the caller's role.
+HINT_TERMS = {
+    "Monitor": ["analyze", "analyser", "analyzer", "knowledge", "sensor"], "Analyzer": ["plan", "planner", "knowledge", "symptom"], "Planner": ["execute", "executor", "alternative", "strategy"],
+    "Executor": ["effector", "actuator", "apply", "reconfigure"], "Knowledge": ["monitor", "analyzer", "planner", "executor"], "Sensor": ["monitor"], "Effector": ["executor"],
+    "LoopManager": ["monitor", "analyzer", "planner", "executor"],
+}
 DECORATOR_ROLES = {"monitor": "Monitor", "analyze": "Analyzer", "analyse": "Analyzer", "plan": "Planner", "execute": "Executor"}
 REGISTRATION_ROLES = {"loop.monitor": "Monitor", "loop.analyze": "Analyzer", "loop.analyse": "Analyzer", "loop.plan": "Planner", "loop.execute": "Executor"}
 NAME_WEIGHT, PATH_WEIGHT, METHOD_WEIGHT, METHOD_MOST, CALL_WEIGHT = 0.45, 0.20, 0.10, 0.25, 0.10
@@ -40,7 +46,11 @@ CONTROL_RULES = [
     ("Sensor", 0.85, ["sensor", "read", "measure", "capture", "observe", "sample", "tachometer", "proximity", "camera", "gps"]),
     ("Effector", 0.85, ["effector", "actuator", "actuate", "apply", "execute", "brake", "gas", "accelerate", "steer", "wheel", "motor", "servo", "siren", "hazard", "light"]),
 ]
-CONTROL_ON_VARIABLES = ("ReferenceInput", "MeasuredOutput")
+#: Kinds of elements among which each role is looked for.
+CONTROL_KINDS = {
+    "ReferenceInput": ["variable", "attribute", "parameter"], "MeasuredOutput": ["variable", "attribute", "parameter"],
+    "Sensor": ["class", "method", "function", "variable", "attribute"], "Effector": ["class", "method", "function", "variable", "attribute"],
+}
 CONTROL_CAPS = {"ReferenceInput": 8, "MeasuredOutput": 10, "Sensor": 10, "Effector": 10}
 CONTROL_EXCLUDED_NAMES = [
     "__init__", "__del__", "__getattr__", "__getitem__", "__iter__", "__call__", "__setattr__", "init", "del", "getattr", "getitem", "iter", "call", "repr", "create", "setup", "load", "get", "set",
@@ -66,7 +76,18 @@ BOUNDARY_PAIRS = [
     ("Executor", "Effector", "acts_through"), ("Monitor", "Sensor", "observes_through"), ("Sensor", "MeasuredOutput", "produces_measurement"),
     ("Planner", "ReferenceInput", "uses_reference_input"), ("Analyzer", "ReferenceInput", "uses_reference_input"), ("Analyzer", "MeasuredOutput", "evaluates_measured_output"),
 ]
+#: Roles between which a runtime call suggests a relationship.
+DYNAMIC_PAIRS = [
+    ("Executor", "Effector", "acts_through"), ("Monitor", "Sensor", "observes_through"), ("Monitor", "MeasuredOutput", "observes"), ("Sensor", "MeasuredOutput", "produces_measurement"),
+    ("Analyzer", "ReferenceInput", "uses_reference_input"), ("Planner", "ReferenceInput", "uses_reference_input"),
+    ("Analyzer", "MeasuredOutput", "evaluates_measured_output"), ("Planner", "MeasuredOutput", "evaluates_measured_output"),
+]
 FLOW_CONFIDENCE, KNOWLEDGE_CONFIDENCE, CONTAINS_CONFIDENCE, SUBSCRIBE_CONFIDENCE = 0.75, 0.80, 0.90, 0.85
+#: Stereotypes of the family "Adaptive System Domain" by role.
+STEREOTYPES = {
+    "Monitor": "Monitor", "Analyzer": "Analyzer", "Planner": "Planner", "Executor": "Executor", "Knowledge": "Knowledge", "LoopManager": "Control Loop Manager", "Loop": "Control Loop", "ReferenceInput": "Reference Input",
+    "MeasuredOutput": "Measured Output", "Sensor": "Sensor", "Effector": "Effector", "ManagedElement": "Managed Element", "Alternative": "Alternative",
+}
 SINGLE_ROLES = ["Analyzer", "Planner", "Knowledge"]
 
 # Builtin and external types: methods with their return types (unknown: not followed), and factories.

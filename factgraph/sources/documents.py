@@ -14,14 +14,53 @@ TRACE_SCHEMA = (
 
 
 def read_model(spark: SparkSession, path: str) -> DataFrame:
-    """Project documents; a document that lacks a required field, or whose files are no list, fails with its name."""
-    docs = spark.read.option("multiLine", True).json(path)
-    missing = [c for c in REQUIRED if c not in docs.columns]
-    if missing:
-        raise ValueError(f"missing required fields: {', '.join(missing)}")
-    if not docs.schema["files"].dataType.typeName() == "array":
-        raise ValueError("files must be a list")
-    return docs
+    """Project documents, one row each, with their file's name; any document that lacks a required field, or whose files are no
+    list, fails with its file's name. Each document is judged by its own text, not by the schema that all share."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    kinds = text.select("file", F.get_json_object("value", "$").isNull().alias("bad"), *(F.get_json_object("value", f"$.{c}").alias(c) for c in REQUIRED))
+    lost = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED)))
+    why = F.when(F.col("bad"), "no JSON").when(F.size(lost) > 0, F.concat(F.lit("missing required fields: "), F.array_join(lost, ", "))).when(~F.col("files").startswith("["), "files must be a list")
+    wrong = kinds.select("file", why.alias("why")).where("why is not null").orderBy("file").first()
+    if wrong:
+        raise ValueError(f"{wrong.file}: {wrong.why}")
+    return spark.read.option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+
+
+def read_config(spark: SparkSession, path: str) -> dict[str, object]:
+    """A pipeline's configuration: one small JSON document as a dictionary (nested objects stay as dictionaries)."""
+    import json
+
+    text = spark.read.text(path, wholetext=True).limit(1).first()
+    if text is None:
+        raise ValueError(f"{path}: no configuration")
+    found = json.loads(text.value)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path}: a configuration must be an object")
+    return found
+
+
+def selected_inputs(spark: SparkSession, folder: str, included: tuple[str, ...] = (".json",), excluded: tuple[str, ...] = ()) -> DataFrame:
+    """(path, length) of the files of a folder whose names have an included ending and no excluded part, sorted by path. Only names
+    and sizes are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    good = F.lit(False)
+    for x in included:
+        good = good | F.col("path").endswith(x)
+    for x in excluded:
+        good = good & ~F.col("path").contains(x)
+    return files.where(good).orderBy("path")
+
+
+def artifact_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, files, bytes) of what a run has left in a folder, by file ending."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    kind = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
+    return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    """Each row as a JSON document of its own, one file for each; nulls are kept. For results of a few rows, such as models."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false", "pretty": "true"}).alias("value")).repartition(max(1, df.count()), F.monotonically_increasing_id()).write.text(path)
 
 
 def read_trace(spark: SparkSession, path: str, max_events: int = 20_000) -> DataFrame:

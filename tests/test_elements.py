@@ -66,8 +66,12 @@ def test_locations_and_traces(spark, t):
 
 def test_runtime_evidence(spark):
     known = spark.createDataFrame([("1", "p.a.C.run"), ("2", "p.a.D.run"), ("3", "p.b.stop"), ("4", "p.c.E.go")], "id string, qn string")
-    seen = spark.createDataFrame([("p.a.C.run",), ("x.D.run",), ("y.stop",), ("z.run",), ("none",)], "name string")
-    assert {r.name: r.target_id for r in runtime.resolve_endpoints(seen, known).collect()} == {"p.a.C.run": "1", "x.D.run": "2", "y.stop": "3", "z.run": None, "none": None}
+    seen = spark.createDataFrame([("p.a.C.run",), ("x.D.run",), ("y.stop",), ("z.run",), ("none",), ("stop",), ("run",), ("p/a.C.run",), ("E.go",)], "name string")
+    want = {"p.a.C.run": "1", "x.D.run": "2", "y.stop": None, "z.run": None, "none": None, "stop": "3", "run": None, "p/a.C.run": "1", "E.go": "4"}
+    assert {r.name: r.target_id for r in runtime.resolve_endpoints(seen, known).collect()} == want
+    implemented = spark.createDataFrame([("p.a.C.run", "k1"), ("C.run", "k2"), ("z.C.run", "k3"), ("p.q.other", "k4")], "reference string, component string")
+    asked = spark.createDataFrame([("C.run",), ("x.C.run",), ("other",), ("no.such",)], "name string")
+    assert {(r.name, r.component) for r in runtime.component_names(asked, implemented).collect()} == {("C.run", "k2"), ("x.C.run", "k1"), ("x.C.run", "k2"), ("x.C.run", "k3"), ("other", "k4")}
     edges = spark.createDataFrame([("C.run", "stop", "s"), ("C.run", "stop", "s"), ("stop", "E.go", "t"), ("lost", "stop", "t")], "source string, target string, scenario string")
     static = spark.createDataFrame([("3", "4")], "source string, target string")
     assert [(r.source_id, r.target_id) for r in runtime.runtime_call_actions(edges, known, static).collect()] == [("1", "3")]

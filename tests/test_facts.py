@@ -114,16 +114,16 @@ def test_calls(resolved):
     for (name, _), v in sorted(got.items(), key=lambda x: x[0][1]):
         by_name.setdefault(name, v)
     assert by_name["self.save"] == ("internal", "method:proj.base.Base.save")
-    assert by_name["self.parts.append"] == ("builtin_type_method", "append")
-    assert by_name["self.log.info"] == ("external_type_method", "info")
-    assert by_name["item.strip"] == ("builtin_type_method", "strip")
+    assert by_name["self.parts.append"] == ("builtin_type_method", "builtin_type:list.append")
+    assert by_name["self.log.info"] == ("external_type_method", "external_type:logging.Logger.info")
+    assert by_name["item.strip"] == ("builtin_type_method", "builtin_type:str.strip")
     assert by_name["os.remove"] == ("external", None)
     assert by_name["helper"] == ("internal", "function:proj.app.util.helper")
     assert by_name["Base"] == ("constructor", "class:proj.base.Base")
     assert by_name["x.reset"] == ("internal", "method:proj.base.Base.reset")
     assert by_name["super.reset"] == ("internal", "method:proj.base.Base.reset")
     assert by_name["self.nothing"] == ("unresolved_method_on_parameter", None)
-    assert by_name["print"] == ("builtin", "print")
+    assert by_name["print"] == ("builtin", "builtin:print")
     assert by_name["unknown_name"] == ("unresolved", None)
 
 

@@ -44,8 +44,9 @@ def built(spark):
     imports = local(resolution.resolve_imports(t, "p"))
     cols = ["callable_id", "ord", "name", "line", "classification", "target_id", "module_id"]
     calls = local(resolution.resolve_function_calls(t, imports).select(*cols).unionByName(resolution.resolve_method_calls(t, imports).select(*cols)))
-    node = local(model.nodes(t, "p").unionByName(model.external_nodes(calls, imports)))
-    relation = local(model.relations(t, imports, calls, local(resolution.synchronised(t, calls))))
+    more, related = model.detail(t, imports)
+    node = local(model.nodes(t, "p").unionByName(model.external_nodes(calls, imports)).unionByName(more))
+    relation = local(model.relations(t, imports, calls, local(resolution.synchronised(t, calls))).unionByName(related))
     return t, node, relation, local(model.attributes(t)), local(model.regions(t))
 
 
@@ -79,6 +80,9 @@ def test_xmi_round_trip(spark, built, tmp_path):
     ids = [e.get("{http://www.omg.org/XMI}id") for e in tree.iter() if e.get("{http://www.omg.org/XMI}id")]
     assert len(ids) == node.count() == len(set(ids))
     assert {r.metaclass: r.n for r in xmi.read_counts(spark, path).collect()} == {r.metaclass: r.n for r in model.metaclass_counts(node, relation).collect()}
+    cols = ["id", "metaclass", "feature", "name", "kind"]
+    assert sorted(map(tuple, xmi.read_nodes(spark, path).select(*cols).collect()), key=repr) == sorted(map(tuple, node.select(*cols).collect()), key=repr)
+    assert tree.find(".//actionRelation[@{http://www.w3.org/2001/XMLSchema-instance}type='action:Throws']") is None  # a bare raise throws nothing
     again = str(tmp_path / "again.xmi")
     xmi.write_file(node.repartition(7), relation, attribute, again)
     assert open(path).read() == open(again).read()
@@ -104,12 +108,12 @@ def test_role_scores(spark):
 
 
 def test_control_io_caps_and_exclusions(spark):
-    rows = [(f"v{k:02d}", f"target_{k}", "variable", "a/b.py") for k in range(12)] + [("s1", "readSensor", "function", "a.py"), ("s2", "readSensor", "function", "app/utils/x.py"), ("s3", "_read", "function", "a.py"), ("e1", "brake", "method", "a.py")]
-    got = roles.control_io(spark.createDataFrame(rows, "id string, name string, kind string, path string")).collect()
+    rows = [(f"v{k:02d}", f"target_{k}", "variable", "a/b.py") for k in range(12)] + [("s1", "read_sensor", "function", "a.b"), ("s2", "read_sensor", "function", "app.utils.x"), ("s3", "_read", "variable", "a.b"), ("e1", "brake", "method", "a.c"), ("g1", "get", "method", "a.sensor")]
+    got = roles.control_io(spark.createDataFrame(rows, "id string, name string, kind string, qualified_name string")).collect()
     by_role = {}
     for r in got:
         by_role.setdefault(r.role, []).append(r.id)
-    assert sorted(by_role["ReferenceInput"]) == [f"v{k:02d}" for k in range(8)] and by_role["Sensor"] == ["s1"] and by_role["Effector"] == ["e1"]
+    assert sorted(by_role["ReferenceInput"]) == [f"v{k:02d}" for k in range(8)] and sorted(by_role["Sensor"]) == ["s1", "s3"] and by_role["Effector"] == ["e1"]
 
 
 COMPONENT = "id string, name string, role string, loop_hint string, confidence double, status string, ord int, tokens array<string>, implemented_by array<string>, materialize boolean, review_status string"
@@ -126,19 +130,19 @@ def components(spark):
 def test_loops_and_edges(spark, components):
     members = local(structure.loop_members(components))
     loops = {r.name: r for r in structure.control_loops(members).collect()}
-    assert list(loops) == ["L"] and loops["L"].completeness == "complete" and loops["L"].n_members == 5
+    assert sorted(loops) == ["L", "one"] and loops["L"].completeness == "complete" and loops["L"].n_members == 5 and loops["one"].completeness == "weak"
     assert {(r.source, r.target) for r in structure.flow_edges(members).collect()} == {("c1", "c2"), ("c2", "c3"), ("c3", "c4")}
     assert {(r.source, r.target) for r in structure.knowledge_edges(members).collect()} == {(f"c{k}", "c5") for k in (1, 2, 3, 4, 6)}
     edge = structure.boundary_edges(components).collect()
     assert [(r.source, r.target, r.type, r.confidence) for r in edge] == [("c4", "c7", "acts_through", 0.85)]
     assert {r.subsystem_id: r.n_components for r in structure.subsystems(components).collect()} == {"subsystem:managing_subsystem": 6, "subsystem:managed_subsystem": 2}
     warned = {r.rule_id for r in structure.construction_warnings(structure.control_loops(members), components).collect()}
-    assert warned == {"LOOP-OK01", "CTRL-W01", "CTRL-W02"}
-    said = structure.suggestions(components, structure.control_loops(members), spark.createDataFrame([("c1", "c2"), ("c2", "c1")], "source string, target string")).collect()
+    assert warned == {"LOOP-OK01", "LOOP-W01", "CTRL-W01", "CTRL-W02"}
+    said = structure.suggestions(components, structure.control_loops(members), spark.createDataFrame([("c1", "c8", "s"), ("c2", "c1", "s")], "source string, target string, scenario string")).collect()
     assert sorted(r.suggestion_type for r in said) == ["dynamic_relation", "role_disambiguation"]
     pairs = spark.createDataFrame([("s", "Managing Subsystem", "l", "Control Loop", True), ("m", "CL Manager", "l", "Control Loop", True), ("l", "Control Loop", "x", "Sensor", True)], "source string, source_role string, target string, target_role string, has_loop_manager boolean")
     ok, blocked = structure.containment(pairs)
-    assert [(r.source, r.target) for r in ok.collect()] == [("m", "l")] and blocked.count() == 2
+    assert [(r.source, r.target) for r in ok.collect()] == [("m", "l")] and sorted(r.rule_id for r in blocked.collect()) == ["CONTAIN-FORBIDDEN", "CONTAIN-FORBIDDEN", "CONTAIN-OK"]
 
 
 def test_review_rules(spark, components):
@@ -205,7 +209,7 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"projectName": "p", "language": "python", "files": []}')
     assert documents.read_model(spark, str(tmp_path / "m.json")).first().projectName == "p"
     (tmp_path / "bad.json").write_text('{"projectName": "p"}')
-    with pytest.raises(ValueError, match="language, files"):
+    with pytest.raises(ValueError, match="bad.json: missing required fields: language, files"):
         documents.read_model(spark, str(tmp_path / "bad.json"))
     (tmp_path / "t.json").write_text('{"version": "1", "type": "runtime_trace", "events": [{"type": "call", "timestamp": 1.5, "qualified_name": "a"}, {"type": "return"}, {"type": "call"}]}')
     rows = documents.read_trace(spark, str(tmp_path / "t.json"), max_events=2).orderBy("ord").collect()
@@ -215,8 +219,90 @@ def test_json_sources(spark, tmp_path):
     assert sorted((r.element, r.message.split(" ")[0]) for r in found) == [("a", "role"), ("b", "confidence"), ("b", "role")]
 
 
-def test_closure_is_whole_or_an_error(spark):
-    chain = spark.createDataFrame([(k, k + 1) for k in range(6)], "child int, parent int")
-    assert graphs.closure(chain, depth=6).count() == 21
-    with pytest.raises(RuntimeError):
-        graphs.closure(chain, depth=5)
+def test_closure_and_levels_have_no_depth(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(3, 0)], "child int, parent int").coalesce(1)
+    up = graphs.closure(chain)
+    assert up.agg(F.max("depth")).first()[0] == 100 and up.where("node = 0").count() == 101 - 0
+    down = graphs.levels(chain, spark.createDataFrame([(100,)], "root int"), "root")
+    assert {r.node: r.level for r in down.collect()} == {k: 100 - k for k in range(101)}
+
+
+def test_overrides_come_one_for_each_key(spark):
+    from factgraph.operators import matching
+
+    base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, None, "z")], "id int, role string, name string")
+    over = spark.createDataFrame([(1, "c", 1), (1, "d", 2), (1, None, 3), (9, "n", 1), (9, "m", 2), (None, "q", 1)], "id int, role string, at int")
+    got = sorted((r.id, r.role, r.name, r.review_status) for r in matching.apply_overrides(base, over, "id", ["role"], ["at"]).collect())
+    assert got == [(1, "d", "x", "reviewed"), (2, "b", "y", "unchanged"), (3, None, "z", "unchanged"), (9, "m", None, "added")]
+    edges = spark.createDataFrame([("e1", "t", "technical", None, None, None), ("e2", "t", None, None, True, None), ("e3", "t", None, None, None, None)], "id string, type string, relationship_level string, source_level string, materialize boolean, review_status string")
+    said = spark.createDataFrame([("e1", None, None, True), ("e2", "rejected", None, None), ("e3", "accepted", "depends_on", None), ("e4", "accepted", None, None)], "id string, decision string, type string, promote_to_architectural boolean")
+    got = {r.id: tuple(r)[1:] for r in matching.apply_decisions(edges, said, "id", ["type"], promote=True).collect()}
+    assert got == {"e1": ("t", "architectural", "technical", True, "user_promoted"), "e2": ("t", None, None, False, "user_rejected"), "e3": ("depends_on", None, None, True, "user_modified")}
+
+
+def test_suggestions_merge_with_the_deterministic_one_first(spark):
+    from factgraph.operators import selection
+
+    rows = [("a", "k", "llm:x", 0.95, ["p"]), ("b", "k", "dynamic_evidence", 0.9, ["q", "p"]), ("c", None, "llm:x", 0.1, None), ("d", None, "llm:x", 0.2, ["z"])]
+    out = selection.merge_suggestions(spark.createDataFrame(rows, "id string, semantic_key string, source string, confidence double, evidence array<string>")).collect()
+    assert sorted((r.id, r.confidence, r.evidence) for r in out) == [("b", 0.95, ["p", "q"]), ("c", 0.1, None), ("d", 0.2, ["z"])]
+
+
+def test_weak_loops_and_applied_suggestions(spark):
+    members = spark.createDataFrame([("w", "c1", "Monitor", 0.9, 1), ("w", "c2", "Knowledge", 0.9, 2), ("x", "c3", "Monitor", 0.9, 1), ("x", "c4", "ReferenceInput", 0.9, 1)], "loop string, component_id string, role string, confidence double, ord int")
+    loops = structure.control_loops(members).collect()
+    assert [(r.name, r.completeness, r.role_counts, r.missing_roles) for r in loops] == [("w", "weak", {"Knowledge": 1, "Monitor": 1}, ["Analyzer", "Executor", "Planner"])]
+    edges = spark.createDataFrame([("a", "b", "observes")], "source string, target string, type string")
+    wanted = spark.createDataFrame([("add_relationship", "a", "b", "observes"), ("add_relationship", "a", "c", "observes"), ("rename", "a", None, None)], "operation string, source string, target string, relationship_type string")
+    new, odd = structure.apply_suggestions(edges, wanted)
+    assert [(r.source, r.target) for r in new.collect()] == [("a", "c")] and [r.element for r in odd.collect()] == ["rename"]
+
+
+def test_detail_of_returns_raises_types_and_values(spark):
+    code = "class Odd(Exception):\n    pass\n\nclass Box(Thing):\n    def __init__(self, size: int, other: 'Box', path: pathlib.Path):\n        self.size = 3\n        self.names = []\n    def go(self):\n        if self.size:\n            raise Odd('x')\n        raise ValueError('y')\n    def stop(self):\n        return True\n    def all(self):\n        return self.names\n    def none(self):\n        return\n"
+    files = local(python_source.parsed(spark.createDataFrame([("m.py", bytearray(code.encode()))], "path string, content binary"), "p"))
+    t = {k: local(v) for k, v in python_source.tables(files).items()}
+    imports = local(resolution.resolve_imports(t, "p"))
+    node, relation = map(local, model.detail(t, imports))
+    name = {r.id: (r.metaclass, r.name) for r in node.collect()} | {f"class:p.m.{c}": ("ClassUnit", c) for c in ("Odd", "Box")}
+    got = sorted((r.type, name[r.target_id]) for r in relation.collect())
+    assert got == sorted([
+        ("HasType", ("IntegerType", "int")), ("HasType", ("IntegerType", "int")), ("HasType", ("ClassUnit", "Box")), ("HasType", ("ClassUnit", "pathlib.Path")), ("HasType", ("Datatype", "list")),
+        ("HasType", ("ClassUnit", "Odd")), ("HasType", ("ClassUnit", "ValueError")), ("Throws", ("StorableUnit", "Odd")), ("Throws", ("StorableUnit", "ValueError")),
+        ("Reads", ("StorableUnit", "return")), ("Reads", ("StorableUnit", "return")), ("HasValue", ("Value", "True")), ("HasValue", ("Value", "3"))])
+    extends = {(r.owner_id, name[r.target_id][1]) for r in model.extended(t).collect()}
+    assert extends == {("class:p.m.Odd", "Exception"), ("class:p.m.Box", "Thing")}
+    assert {(r.callable_id.rpartition(".")[2], r.start_line, r.end_line) for r in model.body_spans(t).collect()} >= {("go", 9, 11), ("none", 17, 17)}
+
+
+def test_actions_merge(spark):
+    node = spark.createDataFrame([("b", None, "f", 0, "BlockUnit", "body", None), ("x", "b", "f", 1, "ActionElement", "call", "call"), ("y", "b", "f", 2, "ActionElement", "call", "call"), ("z", "y", "f", 3, "ActionElement", "call", "call")], "id string, parent_id string, feature string, ord long, metaclass string, name string, kind string")
+    relation = spark.createDataFrame([("x", "Calls", "m"), ("y", "Reads", "v"), ("y", "Calls", "m")], "owner_id string, type string, target_id string")
+    region = spark.createDataFrame([("x", "p", 1, 1), ("y", "p", 1, 1), ("z", "p", 1, 1)], "owner_id string, path string, start_line int, end_line int")
+    nodes, relations = model.merge_actions(node, relation, region)
+    assert {(r.id, r.parent_id) for r in nodes.collect()} == {("b", None), ("x", "b"), ("z", "x")}
+    assert {tuple(r) for r in relations.collect()} == {("x", "Calls", "m"), ("x", "Reads", "v")}
+    assert model.cycles(node).count() == 0 and model.cycles(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string")).count() == 2
+
+
+def test_structure_model(spark, components):
+    members = local(structure.loop_members(components))
+    loops = local(structure.control_loops(members))
+    edges = local(structure.flow_edges(members))
+    code = spark.createDataFrame([(f"code{k}",) for k in range(1, 5)], "id string")
+    node, relation, attribute = (local(x) for x in model.structure_model(components, loops, members, edges, code))
+    parent = {r.id: r.parent_id for r in node.collect()}
+    assert parent["c1"] == "control_loop:l" and parent["c7"] == "subsystem:managed_subsystem" and parent["control_loop:l"] == "subsystem:managing_subsystem"
+    assert set(parent.values()) - set(parent) == {"segment"} and model.cycles(node).count() == 0
+    assert relation.where("type = 'implementation'").count() >= 4 and attribute.where("tag = 'implemented_by'").count() >= 1
+    assert ("c1", "stereotype", "Monitor") in {tuple(r) for r in attribute.collect()}
+    counts = {r.metaclass: r.n for r in node.groupBy("metaclass").agg(F.count("*").alias("n")).collect()}
+    assert counts["AggregatedRelationship"] == edges.count() and counts["Subsystem"] == 2
+
+
+def test_configuration_and_folders(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"project": {"name": "p"}, "steps": [1]}')
+    (tmp_path / "x.xmi").write_text("<a/>")
+    assert documents.read_config(spark, str(tmp_path / "c.json")) == {"project": {"name": "p"}, "steps": [1]}
+    assert [r.path.rpartition("/")[2] for r in documents.selected_inputs(spark, str(tmp_path)).collect()] == ["c.json"]
+    assert {(r.kind, r.files, r.bytes) for r in documents.artifact_summary(spark, str(tmp_path)).collect()} == {("json", 1, 40), ("xmi", 1, 4)}
