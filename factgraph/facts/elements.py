@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.functions import names
@@ -60,7 +60,7 @@ def data_edges(t: Tables) -> DataFrame:
     both = both.join(known, ["class_id", "field"], "left")
     target = F.when(F.col("known"), F.concat(F.regexp_replace("class_id", "^class:", ""), F.lit("."), "field")).otherwise(F.concat(F.lit("local_or_unresolved:"), "field"))
     out = both.select("type", F.col("callable_id").alias("source"), target.alias("target"), "line")
-    classes = t["class_fact"].select(F.col("name").alias("callee"), F.col("qn").alias("target")).dropDuplicates(["callee"])
+    classes = t["class_fact"].groupBy(F.col("name").alias("callee")).agg(F.min("qn").alias("target"))
     made = b.where("value_kind = 'call_result'").select("callable_id", names.last_segment(F.col("value")).alias("callee"), "line").join(classes, "callee")
     thrown = b.where("statement_type = 'raise' and exception is not null").select(F.lit("throws").alias("type"), F.col("callable_id").alias("source"), F.col("exception").alias("target"), "line")
     typed = t["parameter"].where(names.is_valid_type(F.col("annotation"))).select(F.lit("uses_type").alias("type"), F.col("callable_id").alias("source"), F.col("annotation").alias("target"), "line")
@@ -91,17 +91,46 @@ def external_types(t: Tables, data: DataFrame) -> DataFrame:
 
 
 def located(edges: DataFrame, index: DataFrame) -> DataFrame:
-    """edges whose missing line comes from the location (id, line) of their source, else of their target."""
-    at = index.groupBy("id").agg(F.min("line").alias("at"))
-    out = edges.join(at.select(F.col("id").alias("source"), F.col("at").alias("__s")), "source", "left").join(at.select(F.col("id").alias("target"), F.col("at").alias("__t")), "target", "left")
-    return out.withColumn("line", F.coalesce("line", "__s", "__t")).select(*edges.columns)
-
-
-def traced(edges: DataFrame, runtime: DataFrame, element: str, most_edges: int = 30, most_runtime: int = 20) -> DataFrame:
-    """What touches one element: up to 30 static edges and 20 runtime edges whose names contain each other, in a stable order."""
+    """edges whose missing line comes from the location (id, line) of their source, by id or by id without its prefix, else of their
+    target in the same way."""
+    bare = lambda c: F.regexp_replace(c, "^[a-z_]+:", "")
+    exact = index.groupBy("id").agg(F.min("line").alias("at"))
+    loose = index.groupBy(bare(F.col("id")).alias("id")).agg(F.min("line").alias("at"))
+    out = edges
+    for k, end in enumerate(("source", "target")):
+        out = out.join(exact.select(F.col("id").alias(end), F.col("at").alias(f"__e{k}")), end, "left")
+        out = out.withColumn("__bare", bare(F.col(end))).join(loose.select(F.col("id").alias("__bare"), F.col("at").alias(f"__l{k}")), "__bare", "left").drop("__bare")
+    return out.withColumn("line", F.coalesce("line", "__e0", "__l0", "__e1", "__l1")).select(*edges.columns)
+
+
+def traced(edges: DataFrame, runtime: DataFrame, element: str, most_edges: int = 30, most_runtime: int = 20, suggestions: DataFrame | None = None) -> DataFrame:
+    """What touches one element: up to 30 static edges and 20 runtime edges whose names contain each other, in a stable order, and
+    the suggestions (id, affected, message) that name it."""
     static = edges.where((F.col("source") == element) | (F.col("target") == element)).orderBy("type", "source", "target").limit(most_edges)
     name = F.lit(element.partition(":")[2] or element)
     near = lambda c: F.col(c).contains(name) | name.contains(F.col(c))
     seen = runtime.where(near("source") | near("target")).orderBy("source", "target").limit(most_runtime)
     pick = lambda df, kind: df.select(F.lit(kind).alias("kind"), "source", "target")
-    return pick(static, "static").unionByName(pick(seen, "runtime"))
+    out = pick(static, "static").unionByName(pick(seen, "runtime"))
+    if suggestions is not None:
+        named = suggestions.where(F.array_contains("affected", element) | F.col("message").contains(element))
+        out = out.unionByName(named.select(F.lit("suggestion").alias("kind"), F.col("id").alias("source"), F.lit(element).alias("target")))
+    return out
+
+
+def architectural(edges: DataFrame) -> DataFrame:
+    """Relationships of the architectural level: those that say so, or name no level and are materialised."""
+    level = F.col("relationship_level")
+    return edges.where((level == "architectural") | (level.isNull() & F.coalesce("materialize", F.lit(True))))
+
+
+def reference_like(c) -> Column:
+    """Whether a value's text is a name or dotted name, and no literal or keyword."""
+    return c.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*$") & ~c.isin("True", "False", "None")
+
+
+def external_calls(calls: DataFrame, imports: DataFrame) -> DataFrame:
+    """Calls that a model stubs as external: those classified so whose library an import of their module names, and no builtin."""
+    seen = imports.where("classification = 'external'").select("module_id", F.coalesce("alias", F.when(F.col("import_type") == "from_import", F.col("name")), F.substring_index("module", ".", 1)).alias("root")).distinct()
+    rows = calls.where("classification = 'external'").withColumn("root", F.substring_index("name", ".", 1))
+    return rows.join(seen, ["module_id", "root"], "left_semi").drop("root")

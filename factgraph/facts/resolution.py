@@ -48,6 +48,7 @@ def resolve_imports(t: Tables, project: str) -> DataFrame:
     best = hits.unionByName(whole).groupBy("module_id", "ord").agg(F.min(F.struct("pos", "rank", "id", "kind")).alias("b"))
     best = best.select("module_id", "ord", F.col("b.id").alias("target_id"), F.col("b.kind").alias("target_type"))
     out = rows.join(best, ["module_id", "ord"], "left")
+    out = out.withColumn("target_type", F.when((F.col("name") == "*") & F.col("target_id").isNotNull(), "wildcard").otherwise(F.col("target_type")))
     return out.withColumn("classification", F.when(F.col("target_id").isNotNull(), "internal").otherwise("external"))
 
 

@@ -1,59 +1,283 @@
 """Queries of extraction, resolution and model building over source text that is composed from the part table.
 
-Each brand becomes a module, each kind of part in it a class, each part a method that calls itself through self; so the facts,
-resolutions and model elements to expect follow from the table by plain SQL.
+Each brand becomes a module, each kind of part in it a class, each part a method whose body is one of CASES; two fixed modules
+hold what they import and inherit. Facts, resolutions, edges and model elements to expect follow from the table by plain SQL,
+which is composed from the same CASES.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.facts import resolution
-from factgraph.kdm import model
+from factgraph.facts import elements, resolution
+from factgraph.kdm import model, validation
 from factgraph.operators.lineage import cut
 from factgraph.plans.registry import Tables, query
 from factgraph.sources import python_source
 
+BASE = """from typing import Protocol
+
+class Base:
+    def save(self):
+        return True
+
+    def common(self):
+        pass
+
+class Lone:
+    def go(self):
+        super().go()
+
+    def common(self):
+        pass
+
+class Dup:
+    pass
+
+class Face(Protocol):
+    def show(self):
+        ...
+
+def helper(x):
+    return x
+"""
+OTHER = "class Dup:\n    pass\n"
+HEAD = "import os\nfrom base import Base, helper\n\n"
+OPENING = "(Base):\n    def __init__(self):\n        self.items = []\n        self.mystery = make()\n        self.blank = 1 + 2\n"
+SAVE, METHOD = "method:shop.base.Base.save", "method:{m}.{c}.m_{k}"
+
+
+@dataclass(frozen=True)
+class Case:
+    """The body of a method, and what follows from it: its calls (name, classification, target, candidates), the labels of its
+    statements, and how many Reads, Writes, Throws, HasType, HasValue and Flow relations it adds."""
+
+    lines: tuple[str, ...]
+    calls: tuple[tuple[str, str, str | None, int], ...] = ()
+    labels: tuple[str, ...] = ("expression",)
+    reads: int = 0
+    writes: int = 0
+    throws: int = 0
+    typed: int = 0
+    values: int = 0
+    flows: int = 0
+    contexts: int = 0
+
+
+CASES = (
+    Case(("self.m_{k}(size)",), (("self.m_{k}", "internal", METHOD, 0),)),
+    Case(("self.save()",), (("self.save", "internal", SAVE, 0),)),
+    Case(("super().save()",), (("super.save", "internal", SAVE, 0), ("super", "builtin", "builtin:super", 0))),
+    Case(("super().nothing()",), (("super.nothing", "unresolved_super_method", None, 0), ("super", "builtin", "builtin:super", 0))),
+    Case(("self.items.append(size)",), (("self.items.append", "builtin_type_method", "builtin_type:list.append", 0),), reads=1),
+    Case(("self.mystery.run()",), (("self.mystery.run", "unresolved_method_on_attribute", None, 0),), reads=1),
+    Case(("self.blank.run()",), (("self.blank.run", "unresolved_attribute_type", None, 0),), reads=1),
+    Case(("size.strip().title()",), (("size.strip.title", "builtin_type_method", "builtin_type:str.title", 0), ("size.strip", "builtin_type_method", "builtin_type:str.strip", 0))),
+    Case(("other.save()",), (("other.save", "internal", SAVE, 0),)),
+    Case(("other.fly()",), (("other.fly", "unresolved_method_on_parameter", None, 0),)),
+    Case(("thing.walk()",), (("thing.walk", "unresolved", None, 0),)),
+    Case(("with open(size) as f:", "    f.read()"), (("open", "builtin", "builtin:open", 0), ("f.read", "external_type_method", "external_type:io.TextIOWrapper.read", 0)), ("with", "expression"), contexts=1),
+    Case(("with size as g:", "    g.read()"), (("g.read", "unresolved_method_on_context_variable", None, 0),), ("with", "expression"), contexts=1),
+    Case(("os.remove(size)",), (("os.remove", "external", None, 0),)),
+    Case(("x = Base()", "x.save()"), (("Base", "constructor", "class:shop.base.Base", 0), ("x.save", "internal", SAVE, 0)), ("assignment", "expression"), reads=1, writes=1, typed=1, flows=1),
+    Case(("z.m_{k}()",), (("z.m_{k}", "internal_candidate", None, 0),)),
+    Case(("z.common()",), (("z.common", "internal_ambiguous", None, 2),)),
+    Case(("helper(size)",), (("helper", "internal", "function:shop.base.helper", 0),)),
+    Case(("unknown_fn(size)",), (("unknown_fn", "unresolved", None, 0),)),
+    Case(("print(size)",), (("print", "builtin", "builtin:print", 0),)),
+    Case(("Dup(size)",), (("Dup", "constructor_ambiguous", None, 2),)),
+    Case(("raise ValueError(size)",), (("ValueError", "builtin", "builtin:ValueError", 0),), ("raise",), throws=1, typed=1),
+    Case(("return True",), (), ("return",), reads=1, values=1),
+    Case(("Base.save(other)",), (("Base.save", "internal", SAVE, 0),)),
+)
+_N = len(CASES)
+_PART = "SELECT p_partkey AS k, 'shop.' || replace(lower(p_brand), '#', '_') AS m, 'C_' || p_type AS c FROM part"
+_SIZES = "SELECT count(DISTINCT p_brand) AS nb, count(DISTINCT p_brand || p_type) AS nc, count(*) AS np FROM part"
+_GOOD = ("internal", "builtin", "builtin_type_method", "external_type_method")
+
+
+def _sum(of) -> str:
+    """SQL of the sum of of(case) over all parts."""
+    some = [(k, of(c)) for k, c in enumerate(CASES) if of(c)]
+    return "coalesce((SELECT sum(CASE p_partkey % %d %s ELSE 0 END) FROM part), 0)::BIGINT".replace("% %d", f"% {_N}").replace("%s", " ".join(f"WHEN {k} THEN {n}" for k, n in some) or "WHEN -1 THEN 0")
+
+
+def _calls(*kinds: str):
+    return lambda case: sum(c[1] in kinds for c in case.calls)
+
 
 def sources(t: Tables) -> DataFrame:
-    """(path, content) of one file per brand."""
+    """(path, content) of one file per brand, and of the two fixed ones."""
     key = F.col("p_partkey").cast("string")
-    method = F.concat(F.lit("    def m_"), key, F.lit("(self, size):\n        self.m_"), key, F.lit("(size)\n        return size\n"))
+    bodies = F.array(*(F.lit("".join(f"        {x}\n" for x in c.lines)) for c in CASES))
+    body = F.replace(F.get(bodies, (F.col("p_partkey") % _N).cast("int")), F.lit("{k}"), key)
+    method = F.concat(F.lit("    def m_"), key, F.lit("(self, size: str, other: Base, thing):\n"), body)
     classes = t.part.groupBy("p_brand", "p_type").agg(F.array_join(F.array_sort(F.collect_list(method)), "").alias("methods"))
-    text = F.concat(F.lit("class C_"), "p_type", F.lit(":\n"), "methods")
+    text = F.concat(F.lit("class C_"), "p_type", F.lit(OPENING), "methods")
     files = classes.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("content"))
-    return files.select(F.concat(F.translate(F.lower("p_brand"), "#", "_"), F.lit(".py")).alias("path"), F.encode("content", "utf-8").alias("content"))
+    files = files.select(F.concat(F.translate(F.lower("p_brand"), "#", "_"), F.lit(".py")).alias("path"), F.concat(F.lit(HEAD), "content").alias("content"))
+    one = files.sparkSession.range(1)
+    for path, content in (("base.py", BASE), ("other.py", OTHER)):
+        files = files.unionByName(one.select(F.lit(path).alias("path"), F.lit(content).alias("content")))
+    return files.select("path", F.encode("content", "utf-8").alias("content"))
 
 
 def facts(t: Tables) -> dict[str, DataFrame]:
     return python_source.tables(cut(python_source.parsed(sources(t), "shop")))
 
 
-@query("""
-SELECT 'shop.' || replace(lower(p_brand), '#', '_') AS module, count(DISTINCT p_type) AS n_classes, count(*) AS n_methods, 2 * count(*) AS n_parameters, count(*) AS n_calls, 2 * count(*) AS n_statements
-FROM part GROUP BY p_brand""")
+def _all_calls(f: dict[str, DataFrame], imports: DataFrame) -> DataFrame:
+    columns = [*f["call_fact"].columns, "classification", "target_id", "n_candidates"]
+    return cut(resolution.resolve_function_calls(f, imports).select(*columns).unionByName(resolution.resolve_method_calls(f, imports).select(*columns)))
+
+
+def _resolved(t: Tables) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    f = facts(t)
+    imports = cut(resolution.resolve_imports(f, "shop"))
+    return f, imports, _all_calls(f, imports)
+
+
+@query(f"""
+SELECT m AS module, count(DISTINCT c) AS n_classes, count(*) + count(DISTINCT c) AS n_methods, 4 * count(*) + count(DISTINCT c) AS n_parameters,
+  (sum(CASE k % {_N} {" ".join(f"WHEN {k} THEN {len(c.calls)}" for k, c in enumerate(CASES))} END) + count(DISTINCT c))::BIGINT AS n_calls,
+  (sum(CASE k % {_N} {" ".join(f"WHEN {k} THEN {len(c.labels)}" for k, c in enumerate(CASES))} END) + 3 * count(DISTINCT c))::BIGINT AS n_statements
+FROM ({_PART}) GROUP BY m UNION ALL SELECT 'shop.base', 4, 6, 6, 2, 6 UNION ALL SELECT 'shop.other', 1, 0, 0, 0, 0""")
 def extracted_facts(t: Tables) -> DataFrame:
     f = facts(t)
     name = F.regexp_replace("module_id", "^module:", "").alias("module")
-    n = lambda table, label: f[table].groupBy(name).agg(F.count("*").alias(label))
-    out = n("class_fact", "n_classes")
-    for table, label in (("callable_fact", "n_methods"), ("parameter", "n_parameters"), ("call_fact", "n_calls"), ("body_node", "n_statements")):
-        out = out.join(n(table, label), "module")
-    return out
+    out = f["module"].select(name)
+    for table, label in (("class_fact", "n_classes"), ("callable_fact", "n_methods"), ("parameter", "n_parameters"), ("call_fact", "n_calls"), ("body_node", "n_statements")):
+        out = out.join(f[table].groupBy(name).agg(F.count("*").alias(label)), "module", "left")
+    return out.fillna(0)
+
+
+_CALLS = ", ".join(f"({k}, '{n}', '{label}', {'NULL' if target is None else repr(target)}, {many})" for k, c in enumerate(CASES) for n, label, target, many in c.calls)
+_EACH_CALL = f"""
+WITH p AS ({_PART}), f(i, name, classification, target, n) AS (VALUES {_CALLS})
+SELECT 'method:' || m || '.' || c || '.m_' || k AS callable_id, replace(name, '{{k}}', k::VARCHAR) AS name, classification, replace(replace(replace(target, '{{k}}', k::VARCHAR), '{{m}}', m), '{{c}}', c) AS target_id, n::BIGINT AS n_candidates FROM p JOIN f ON k % {_N} = i
+UNION ALL SELECT DISTINCT 'method:' || m || '.' || c || '.__init__', 'make', 'unresolved', NULL, 0 FROM p
+UNION ALL VALUES ('method:shop.base.Lone.go', 'super.go', 'unresolved_super_call', NULL, 0), ('method:shop.base.Lone.go', 'super', 'builtin', 'builtin:super', 0)"""
 
 
-@query("""
-SELECT 'self.m_' || p_partkey AS name, 'internal' AS classification, 'method:shop.' || replace(lower(p_brand), '#', '_') || '.C_' || p_type || '.m_' || p_partkey AS target_id FROM part""")
+@query(_EACH_CALL)
+def call_resolution(t: Tables) -> DataFrame:
+    """All outcome labels of calls, each in the bodies that lead to it."""
+    return _resolved(t)[2].select("callable_id", "name", "classification", "target_id", F.col("n_candidates").cast("long").alias("n_candidates"))
+
+
+@query(f"SELECT name, classification, target_id FROM ({_EACH_CALL}) WHERE contains(name, '.')")
 def resolved_method_calls(t: Tables) -> DataFrame:
-    f = {k: cut(v) for k, v in facts(t).items()}
+    f = facts(t)
     imports = cut(resolution.resolve_imports(f, "shop"))
     return resolution.resolve_method_calls(f, imports).select("name", "classification", "target_id")
 
 
-@query("""
-SELECT metaclass, n FROM (SELECT count(DISTINCT p_brand) AS b, count(DISTINCT p_brand || p_type) AS c, count(*) AS m FROM part),
-LATERAL (SELECT unnest(['Segment', 'InventoryModel', 'CodeModel', 'SourceFile', 'CompilationUnit', 'ClassUnit', 'MethodUnit', 'ParameterUnit', 'BlockUnit', 'ActionElement']) AS metaclass, unnest([1, 1, 1, b, b, c, m, 2 * m, m, 2 * m]) AS n)""")
+@query(f"""
+SELECT 'module:' || m AS module_id, unnest(['os', 'base', 'base']) AS module, unnest([NULL, 'Base', 'helper']) AS name, unnest(['external', 'internal', 'internal']) AS classification,
+  unnest([NULL, 'class:shop.base.Base', 'function:shop.base.helper']) AS target_id, unnest([NULL, 'class', 'function']) AS target_type FROM (SELECT DISTINCT m FROM ({_PART}))
+UNION ALL SELECT 'module:shop.base', 'typing', 'Protocol', 'external', NULL, NULL""")
+def import_resolution(t: Tables) -> DataFrame:
+    return resolution.resolve_imports(facts(t), "shop").select("module_id", "module", "name", "classification", "target_id", "target_type")
+
+
+@query(f"""
+SELECT nb + 2 AS files, 0::BIGINT AS parse_errors, nc + 5 AS classes, 1::BIGINT AS functions, np + nc + 5 AS methods, nc AS constructors, 4 * np + nc + 6 AS parameters, 3 * nc AS instance_attributes,
+  {_sum(lambda c: len(c.labels))} + 3 * nc + 6 AS body_nodes, {_sum(lambda c: c.contexts)} AS withs, {_sum(lambda c: c.throws)} AS raises, {_sum(lambda c: len(c.calls))} + nc + 2 AS calls,
+  {_sum(_calls("constructor", *_GOOD))} + 1 AS resolved_calls, {_sum(_calls("external"))} AS external_calls FROM ({_SIZES})""")
+def extraction_summary(t: Tables) -> DataFrame:
+    f, _, calls = _resolved(t)
+    names = "files parse_errors classes functions methods constructors parameters instance_attributes body_nodes withs raises calls resolved_calls external_calls"
+    return resolution.summary(f, calls).select(*names.split())
+
+
+@query(f"""
+SELECT type, n FROM ({_SIZES}), LATERAL (SELECT unnest(['contains', 'imports', 'inherits', 'uses', 'instantiates', 'calls', 'calls_unresolved', 'instantiates_unresolved']) AS type, unnest([
+  nb + 2 + nc + 5 + np + nc + 6 + {_sum(lambda c: len(c.labels))} + 3 * nc + 6, 3 * nb + 1, nc + 1, 2 * nc, 2 * nc + {_sum(_calls("constructor"))}, {_sum(_calls("constructor", "external", *_GOOD))} + 1,
+  {_sum(lambda c: sum(x[1] not in ("constructor", "constructor_ambiguous", "external", *_GOOD) for x in c.calls))} + nc + 1, {_sum(_calls("constructor_ambiguous"))}]) AS n) WHERE n > 0""")
+def code_edges(t: Tables) -> DataFrame:
+    f, imports, calls = _resolved(t)
+    return resolution.edges(f, imports, calls, "shop").groupBy("type").agg(F.count("*").alias("n"))
+
+
+_LABELS = sorted({x for c in CASES for x in c.labels})
+
+
+@query(f"""
+SELECT kind, n FROM ({_SIZES}), LATERAL (SELECT unnest(['project', 'module', 'class', 'function', 'method', 'attribute', 'context_variable', 'pass', {", ".join(map(repr, _LABELS))}]) AS kind, unnest([
+  1, nb + 2, nc + 5, 1, np + nc + 5, 3 * nc, {_sum(lambda c: c.contexts)}, 2, {", ".join(_sum(lambda c, x=x: c.labels.count(x)) + {"assignment": " + 3 * nc", "expression": " + 2", "return": " + 2"}.get(x, "") for x in _LABELS)}]) AS n) WHERE n > 0""")
+def flat_elements(t: Tables) -> DataFrame:
+    return elements.elements(facts(t), "shop").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT 'class:' || m || '.' || c AS class_id, false AS is_interface FROM (SELECT DISTINCT m, c FROM ({_PART})) UNION ALL VALUES ('class:shop.base.Base', false), ('class:shop.base.Lone', false), ('class:shop.base.Dup', false), ('class:shop.base.Face', true), ('class:shop.other.Dup', false)")
+def interface_detection(t: Tables) -> DataFrame:
+    return elements.interfaces(facts(t)).select("class_id", "is_interface")
+
+
+@query(f"""
+SELECT type, n FROM ({_SIZES}), LATERAL (SELECT unnest(['uses_type', 'throws', 'creates']) AS type, unnest([2 * np, {_sum(lambda c: c.throws)}, {_sum(lambda c: sum(x[0] in ("Base", "Dup") for x in c.calls))}]) AS n) WHERE n > 0""")
+def data_edges(t: Tables) -> DataFrame:
+    return elements.data_edges(facts(t)).where("type in ('uses_type', 'throws', 'creates')").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT name, n_mentions FROM (SELECT 'ValueError' AS name, {_sum(lambda c: c.throws)} AS n_mentions UNION ALL SELECT 'Protocol', 1) WHERE n_mentions > 0")
+def external_type_catalogue(t: Tables) -> DataFrame:
+    f = facts(t)
+    return elements.external_types(f, cut(elements.data_edges(f)))
+
+
+@query("SELECT 'shop' AS prefix, NULL::VARCHAR AS parent")
+def package_prefixes(t: Tables) -> DataFrame:
+    f = facts(t)
+    return elements.packages(f, resolution.resolve_imports(f, "shop"))
+
+
+@query(f"SELECT classification IS NOT NULL AS matched, classification AS call_classification, count(*) AS n FROM ({_EACH_CALL}) GROUP BY ALL")
+def body_call_matching(t: Tables) -> DataFrame:
+    f, _, calls = _resolved(t)
+    return resolution.synchronised(f, calls).groupBy("matched", "call_classification").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT metaclass, n FROM ({_SIZES}), LATERAL (SELECT unnest(['Segment', 'InventoryModel', 'CodeModel', 'SourceFile', 'CompilationUnit', 'ClassUnit', 'MethodUnit', 'CallableUnit', 'ParameterUnit', 'StorableUnit', 'BlockUnit', 'ActionElement']) AS metaclass,
+  unnest([1, 1, 1, nb + 2, nb + 2, nc + 5, np + nc + 5, 1, 4 * np + nc + 6, 3 * nc + {_sum(lambda c: c.writes)}, np + nc + 6, {_sum(lambda c: len(c.labels))} + 3 * nc + 6]) AS n)""")
 def model_metaclass_counts(t: Tables) -> DataFrame:
     nodes = model.nodes(facts(t), "shop")
     return nodes.groupBy("metaclass").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT 'sourcefile:' || substr(sha1(x), 1, 12) AS file_id, x AS name FROM (SELECT replace(lower(p_brand), '#', '_') || '.py' AS x FROM part UNION ALL VALUES ('base.py'), ('other.py'))")
+def inventory(t: Tables) -> DataFrame:
+    return model.nodes(facts(t), "shop").where("metaclass = 'SourceFile'").select(F.col("id").alias("file_id"), "name")
+
+
+@query(f"""
+SELECT type, n FROM ({_SIZES}), LATERAL (SELECT unnest(['Calls', 'Creates', 'Imports', 'Extends', 'Reads', 'Writes', 'Throws', 'HasType', 'HasValue', 'Flow']) AS type, unnest([
+  {_sum(_calls("external", *_GOOD))} + 1, {_sum(_calls("constructor"))}, 3 * nb + 1, nc + 1, {_sum(lambda c: c.reads)} + 2, 3 * nc + {_sum(lambda c: c.writes)}, {_sum(lambda c: c.throws)},
+  2 * np + nc + {_sum(lambda c: c.typed)}, {_sum(lambda c: c.values)} + 1, 2 * nc + {_sum(lambda c: c.flows)}]) AS n) WHERE n > 0""")
+def model_relations(t: Tables) -> DataFrame:
+    f, imports, calls = _resolved(t)
+    _, more = model.detail(f, imports)
+    relations = model.relations(f, imports, calls, cut(resolution.synchronised(f, calls))).unionByName(more)
+    return relations.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('KDM-BLOCK-01', 'warning', 0)) AS x(rule_id, level, n) WHERE n > 0")
+def model_findings(t: Tables) -> DataFrame:
+    """The validators over the whole model: it has no error."""
+    f, imports, calls = _resolved(t)
+    nodes, more = model.detail(f, imports)
+    nodes = cut(model.nodes(f, "shop").unionByName(model.external_nodes(calls, imports)).unionByName(nodes))
+    relations = cut(model.relations(f, imports, calls, cut(resolution.synchronised(f, calls))).unionByName(more))
+    found = validation.validate(nodes, relations, model.attributes(f), model.regions(f)).where("rule_id <> 'KDM-REL-01'")
+    return found.groupBy("rule_id", "level").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"""
+SELECT 'method:' || m || '.' || c || '.m_' || k AS callable_id, CASE k % {_N} {" ".join(f"WHEN {k} THEN {len(c.lines) - 1}" for k, c in enumerate(CASES))} END AS lines FROM ({_PART})""")
+def body_spans(t: Tables) -> DataFrame:
+    spans = model.body_spans(facts(t)).where("callable_id like '%.m\\_%'")
+    return spans.select("callable_id", (F.col("end_line") - F.col("start_line")).alias("lines"))

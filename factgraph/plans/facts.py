@@ -5,25 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.facts import elements
 from factgraph.functions import names
+from factgraph.kdm import model
 from factgraph.operators import selection
 from factgraph.plans.registry import Tables, query
-
-
-@query("""
-SELECT count(*) AS n_facts, count(*) FILTER (l_returnflag = 'R') AS n_returned, count(*) FILTER (l_returnflag = 'A') AS n_accepted, count(*) FILTER (l_returnflag = 'N') AS n_new,
-  count(*) FILTER (l_linestatus = 'O') AS n_open, count(*) FILTER (l_discount > 0.05) AS n_discounted, count(DISTINCT l_orderkey) AS n_owners, max(l_linenumber)::BIGINT AS max_ordinal FROM lineitem""")
-def extraction_summary(t: Tables) -> DataFrame:
-    flag = F.col("l_returnflag")
-    return t.lineitem.agg(
-        F.count("*").alias("n_facts"), F.count_if(flag == "R").alias("n_returned"), F.count_if(flag == "A").alias("n_accepted"), F.count_if(flag == "N").alias("n_new"),
-        F.count_if(F.col("l_linestatus") == "O").alias("n_open"), F.count_if(F.col("l_discount") > 0.05).alias("n_discounted"), F.countDistinct("l_orderkey").alias("n_owners"), F.max("l_linenumber").cast("long").alias("max_ordinal"),
-    )
-
-
-@query("SELECT o_orderpriority AS kind, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1")
-def count_by_kind(t: Tables) -> DataFrame:
-    return t.orders.groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n")).orderBy("kind")
+from factgraph.streaming import trace
 
 
 @query("SELECT c_nationkey, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1")
@@ -68,13 +55,6 @@ def suggestion_merge(t: Tables) -> DataFrame:
     return selection.merge_sets(rows, "key", "score", "evidence").withColumn("evidence", F.array_join("evidence", ","))
 
 
-@query("""
-WITH n AS (SELECT p_partkey, p_name, p_type, count(*) OVER (PARTITION BY p_name) AS plain, row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) AS nth FROM part)
-SELECT p_partkey, CASE WHEN plain = 1 THEN p_name WHEN nth = 1 THEN p_name || '_' || p_type ELSE p_name || '_' || p_type || '_' || nth END AS display_name FROM n""")
-def display_names(t: Tables) -> DataFrame:
-    return selection.disambiguate(t.part.select("p_partkey", "p_name", "p_type"), "p_partkey", "p_name", "p_type").select("p_partkey", "display_name")
-
-
 @query("""
 SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_totalprice) = 1""")
@@ -129,49 +109,53 @@ def literal_types(t: Tables) -> DataFrame:
     return t.events.select(names.literal_type(x).alias("type"), names.is_literal(x).alias("is_literal")).groupBy("type", "is_literal").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'sourcefile:' || substr(sha1(url), 1, 12) AS file_id, url AS path, regexp_extract(url, '[^/]*$') AS name, count(*) AS n_units FROM pages GROUP BY url")
-def inventory(t: Tables) -> DataFrame:
-    path = F.col("url")
-    return t.pages.groupBy("url").agg(F.count("*").alias("n_units")).select(names.stable_id("sourcefile", path).alias("file_id"), path.alias("path"), names.last_segment(path, "/").alias("name"), "n_units")
+@query("""
+WITH n AS (SELECT unnest(['int', 'os.Path', 'ValueError', 'a:b', '<locals>', 'function', 'typing.List', 'lower', 'HTTP_ERROR', 'mod.CamelCase']) AS name)
+SELECT name || p_type AS name, name NOT IN ('', 'function') AND NOT contains(name, ':') AND NOT regexp_full_match(name || p_type, '<.*>') AS valid,
+  regexp_matches(name || p_type, '^(builtins|typing)\\.') OR regexp_matches(regexp_extract(name || p_type, '[^.]*$'), '(Error|Exception)$|^[A-Z][A-Za-z0-9]*$|^[A-Z][A-Z0-9_]+$') AS plausible
+FROM n, (SELECT DISTINCT CASE WHEN p_size > 25 THEN '' ELSE p_type END AS p_type FROM part) p WHERE p_type <> '' OR name <> 'function'""".replace("\\\\", "\\"))
+def external_types(t: Tables) -> DataFrame:
+    given = F.explode(F.array(*map(F.lit, ("int", "os.Path", "ValueError", "a:b", "<locals>", "function", "typing.List", "lower", "HTTP_ERROR", "mod.CamelCase"))))
+    kinds = t.part.select(F.when(F.col("p_size") > 25, "").otherwise(F.col("p_type")).alias("kind")).distinct()
+    rows = kinds.select("kind", given.alias("stem")).where("kind <> '' or stem <> 'function'").withColumn("name", F.concat("stem", "kind"))
+    return rows.select("name", (names.is_valid_type(F.col("name")) & (F.col("stem") != "function")).alias("valid"), names.is_plausible_external(F.col("name")).alias("plausible"))
 
 
 @query("""
-WITH e AS (
-  SELECT 'nation:' || n_name AS id, 'nation' AS kind, 1 AS walk, n_nationkey::BIGINT AS ord FROM nation
-  UNION ALL SELECT 'customer:' || c_mktsegment, 'segment', 2, c_custkey FROM customer
-  UNION ALL SELECT 'nation:NATION_' || s_nationkey, 'supplier', 3, s_suppkey FROM supplier)
-SELECT id, kind, ord FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY walk, ord) = 1""")
-def flat_elements(t: Tables) -> DataFrame:
-    part = lambda df, id_, kind, walk, ord_: df.select(id_.alias("id"), F.lit(kind).alias("kind"), F.lit(walk).alias("walk"), F.col(ord_).cast("long").alias("ord"))
-    rows = part(t.nation, F.concat(F.lit("nation:"), "n_name"), "nation", 1, "n_nationkey").unionByName(part(t.customer, F.concat(F.lit("customer:"), "c_mktsegment"), "segment", 2, "c_custkey"))
-    rows = rows.unionByName(part(t.supplier, F.concat(F.lit("nation:NATION_"), F.col("s_nationkey").cast("string")), "supplier", 3, "s_suppkey"))
-    return selection.keep_first(rows, ["id"], ["walk", "ord"]).select("id", "kind", "ord")
+WITH n AS (SELECT p_partkey, p_name, p_type, p_name || '_' || p_type AS r FROM part),
+c AS (SELECT *, count(*) OVER (PARTITION BY p_name) AS plain, count(*) OVER (PARTITION BY r) AS by_role, r || '_' || p_partkey AS tail FROM n)
+SELECT p_partkey, CASE WHEN plain = 1 THEN p_name WHEN by_role = 1 THEN r ELSE tail END AS display_name FROM c""")
+def display_names(t: Tables) -> DataFrame:
+    return selection.disambiguate(t.part.select("p_partkey", "p_name", "p_type"), "p_partkey", "p_name", "p_type").select("p_partkey", "display_name")
 
 
-@query("""
-SELECT l.l_orderkey, l.l_linenumber, coalesce(a.d, b.d) AS located, CASE WHEN a.d IS NOT NULL THEN 'source' WHEN b.d IS NOT NULL THEN 'target' ELSE 'none' END AS how FROM lineitem l
-LEFT JOIN (SELECT o_orderkey AS k, min(o_orderdate) AS d FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a ON a.k = l.l_orderkey
-LEFT JOIN (SELECT o_orderkey AS k, min(o_orderdate) AS d FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) b ON b.k = l.l_partkey""")
-def edge_locations(t: Tables) -> DataFrame:
-    at = lambda status, key, name: t.orders.where(F.col("o_orderstatus") == status).groupBy(F.col("o_orderkey").alias(key)).agg(F.min("o_orderdate").alias(name))
-    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber").join(at("F", "l_orderkey", "a"), "l_orderkey", "left").join(at("P", "l_partkey", "b"), "l_partkey", "left")
-    return rows.select("l_orderkey", "l_linenumber", F.coalesce("a", "b").alias("located"), F.when(F.col("a").isNotNull(), "source").when(F.col("b").isNotNull(), "target").otherwise("none").alias("how"))
+@query("SELECT c_mktsegment AS metaclass, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*) FROM orders GROUP BY 1")
+def count_by_kind(t: Tables) -> DataFrame:
+    return model.metaclass_counts(t.customer.select(F.col("c_mktsegment").alias("metaclass")), t.orders.select(F.col("o_orderpriority").alias("type")))
 
 
 @query("""
-SELECT user_id, count(*) AS n_events, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS observed_types, count(DISTINCT event_type) AS n_types FROM events GROUP BY 1""")
-def observed_types(t: Tables) -> DataFrame:
-    seen = F.array_sort(F.collect_set("event_type"))
-    return t.events.groupBy("user_id").agg(F.count("*").alias("n_events"), F.array_join(seen, ",").alias("observed_types"), F.countDistinct("event_type").alias("n_types"))
+WITH e AS (SELECT 'a:' || l_orderkey AS source, 'b:' || l_partkey AS target, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_suppkey END AS line FROM lineitem),
+i AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'a:' ELSE 'b:' END AS p, o_orderkey AS k, o_custkey AS line FROM orders WHERE o_orderstatus <> 'O'),
+x AS (SELECT p || k AS id, k, min(line) AS line FROM i GROUP BY ALL)
+SELECT e.source, e.target, e.l_linenumber AS nth, coalesce(e.line, s.line, s2.line, t.line, t2.line)::INT AS line FROM e
+LEFT JOIN x s ON s.id = e.source LEFT JOIN x s2 ON s2.k::VARCHAR = substr(e.source, 3) LEFT JOIN x t ON t.id = e.target LEFT JOIN x t2 ON t2.k::VARCHAR = substr(e.target, 3)""")
+def edge_locations(t: Tables) -> DataFrame:
+    line = F.when(F.col("l_linenumber") == 1, F.col("l_suppkey").cast("int"))
+    edges = t.lineitem.select(F.concat(F.lit("a:"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("b:"), F.col("l_partkey").cast("string")).alias("target"), F.col("l_linenumber").alias("nth"), line.alias("line"))
+    id_ = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "a:").otherwise("b:"), F.col("o_orderkey").cast("string"))
+    index = t.orders.where("o_orderstatus <> 'O'").select(id_.alias("id"), F.col("o_custkey").cast("int").alias("line"))
+    return elements.located(edges, index)
 
 
 @query("""
-WITH n AS (SELECT unnest(['int', 'os.Path', 'ValueError', 'a:b', '<locals>', 'function', 'typing.List', 'lower', 'HTTP_ERROR', 'mod.CamelCase']) AS name)
-SELECT name || p_type AS name, name NOT IN ('', 'function') AND NOT contains(name, ':') AND NOT regexp_full_match(name || p_type, '<.*>') AS valid,
-  regexp_matches(name || p_type, '^(builtins|typing)\\.') OR regexp_matches(regexp_extract(name || p_type, '[^.]*$'), '(Error|Exception)$|^[A-Z][A-Za-z0-9]*$|^[A-Z][A-Z0-9_]+$') AS plausible
-FROM n, (SELECT DISTINCT CASE WHEN p_size > 25 THEN '' ELSE p_type END AS p_type FROM part) p WHERE p_type <> '' OR name <> 'function'""".replace("\\\\", "\\"))
-def external_types(t: Tables) -> DataFrame:
-    given = F.explode(F.array(*map(F.lit, ("int", "os.Path", "ValueError", "a:b", "<locals>", "function", "typing.List", "lower", "HTTP_ERROR", "mod.CamelCase"))))
-    kinds = t.part.select(F.when(F.col("p_size") > 25, "").otherwise(F.col("p_type")).alias("kind")).distinct()
-    rows = kinds.select("kind", given.alias("stem")).where("kind <> '' or stem <> 'function'").withColumn("name", F.concat("stem", "kind"))
-    return rows.select("name", (names.is_valid_type(F.col("name")) & (F.col("stem") != "function")).alias("valid"), names.is_plausible_external(F.col("name")).alias("plausible"))
+WITH e AS (SELECT 'f.' || (user_id % 40) AS qualified_name, event_type, event_id FROM events)
+SELECT qualified_name, what, array_to_string(list_sort(list(DISTINCT t)), ',') AS types FROM (
+  SELECT qualified_name, 'argument a' AS what, event_type AS t FROM e UNION ALL SELECT qualified_name, 'return', 'r' || (event_id % 3) FROM e WHERE event_id % 2 = 0 UNION ALL SELECT qualified_name, 'exception', event_type || 'Error' FROM e WHERE event_id % 5 = 0) GROUP BY ALL""")
+def observed_types(t: Tables) -> DataFrame:
+    k, kind = F.col("event_id"), F.col("event_type")
+    none = F.lit(None).cast("string")
+    events = t.events.select(
+        F.concat(F.lit("f."), (F.col("user_id") % 40).cast("string")).alias("qualified_name"), F.create_map(F.lit("a"), kind).alias("arg_types"), none.alias("receiver_type"),
+        F.when(k % 2 == 0, F.concat(F.lit("r"), (k % 3).cast("string"))).alias("return_type"), F.when(k % 5 == 0, F.concat(kind, F.lit("Error"))).alias("exception_type"))
+    return trace.type_observations(events).withColumn("types", F.array_join("types", ","))

@@ -9,6 +9,8 @@ from factgraph.functions import names
 from factgraph.operators import graphs, matching, selection
 from factgraph.operators.cascade import Tier, candidates, first_candidate, resolve_cascade
 from factgraph.plans.registry import Tables, query
+from factgraph.recovery import runtime, structure
+from factgraph.streaming import trace
 
 _PAIRS = "SELECT user_id, event_id, ts, event_type AS target, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS source FROM events"
 
@@ -41,25 +43,6 @@ def call_stack_edges(t: Tables) -> DataFrame:
     return graphs.call_pairs(trace, ["user_id"], "event_id").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type AS scenario, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_events, count(DISTINCT user_id) AS n_threads FROM events GROUP BY ALL")
-def runtime_by_scenario(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.col("event_type").alias("scenario"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_threads"))
-
-
-@query("""
-WITH e AS (SELECT event_type, event_type IN ('error') AS dropped, starts_with(event_type, 'v') OR starts_with(event_type, 'c') OR starts_with(event_type, 'p') AS wanted FROM events)
-SELECT count(*) AS n_raw, count(*) FILTER (NOT dropped AND wanted) AS n_kept, count(*) FILTER (dropped OR NOT wanted) AS n_filtered, count(DISTINCT event_type) FILTER (NOT dropped AND wanted) AS n_kinds FROM e""")
-def relevance_filter(t: Tables) -> DataFrame:
-    kept = ~F.col("event_type").isin("error") & F.exists(F.array(*map(F.lit, ("v", "c", "p"))), lambda p: F.col("event_type").startswith(p))
-    return t.events.agg(F.count("*").alias("n_raw"), F.count_if(kept).alias("n_kept"), F.count_if(~kept).alias("n_filtered"), F.countDistinct(F.when(kept, F.col("event_type"))).alias("n_kinds"))
-
-
-@query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 20")
-def trace_cap(t: Tables) -> DataFrame:
-    first = matching.occurrence(t.events.select("event_id", "user_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"])
-    return first.where("occurrence < 20").select("event_id", "user_id", "event_type")
-
-
 @query("""
 WITH i AS (SELECT p_brand, p_type, count(DISTINCT p_partkey) AS n FROM part GROUP BY ALL)
 SELECT CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS classification, count(*) AS n_symbols, sum(n)::BIGINT AS n_targets FROM i GROUP BY ALL""")
@@ -84,7 +67,7 @@ def resolve_cascade_parts(t: Tables) -> DataFrame:
         Tier("customer", t.customer, {"p_retailprice": "c_acctbal"}, "c_custkey", "constructor", "constructor_ambiguous"),
     ]
     out = resolve_cascade(t.part, tiers)
-    return out.select("p_partkey", "classification", F.when(F.col("classification") != "external", F.col("target_id")).alias("target_id"), F.when(F.col("classification") == "external", 0).otherwise(F.size("candidates")).cast("long").alias("n_candidates"))
+    return out.select("p_partkey", "classification", F.when(F.col("classification") != "external", F.col("target_id")).alias("target_id"), F.when(F.col("classification") == "external", 0).otherwise(F.col("n_candidates")).cast("long").alias("n_candidates"))
 
 
 @query("""
@@ -161,23 +144,6 @@ def aggregated_relationship(t: Tables) -> DataFrame:
     return out.select(F.col("c_nationkey").alias("source"), F.col("s_nationkey").alias("target"), F.array_join("relations", ",").alias("relations"), "density")
 
 
-@query("""
-WITH o AS (SELECT conv_id, turn, role AS source, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations)
-SELECT source, target, count(*) AS n, count(DISTINCT conv_id) AS n_loops FROM o WHERE target IS NOT NULL AND source <> target GROUP BY ALL""")
-def role_order_flow(t: Tables) -> DataFrame:
-    flow = graphs.consecutive(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "role")
-    return flow.groupBy("source", "target").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_loops"))
-
-
-@query("""
-SELECT a.o_orderkey AS source, b.o_orderkey AS target, a.o_custkey AS loop_id FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey
-WHERE a.o_orderpriority <> '1-URGENT' AND b.o_orderpriority = '1-URGENT'""")
-def knowledge_edges(t: Tables) -> DataFrame:
-    known = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("loop_id"), F.col("o_orderkey").alias("target"))
-    users = t.orders.where("o_orderpriority <> '1-URGENT'").select(F.col("o_custkey").alias("loop_id"), F.col("o_orderkey").alias("source"))
-    return users.join(known, "loop_id").select("source", "target", "loop_id")
-
-
 @query("""
 SELECT DISTINCT unnest(list_transform(range(1, len(string_split(url, '/')) + 1), lambda n: array_to_string(string_split(url, '/')[1:n], '/'))) AS prefix,
   unnest(list_transform(range(1, len(string_split(url, '/')) + 1), lambda n: CASE WHEN n > 1 THEN array_to_string(string_split(url, '/')[1:n - 1], '/') END)) AS parent FROM pages""")
@@ -185,33 +151,137 @@ def prefix_expansion(t: Tables) -> DataFrame:
     return graphs.prefixes(t.pages.select("url"), "url", "/")
 
 
-@query("""
-WITH dim AS (SELECT string_split(p_name, ' ')[-1] AS k, count(*) AS n, min(p_name) AS id FROM (SELECT DISTINCT p_name FROM part) GROUP BY 1)
-SELECT c.name, CASE WHEN e.p_name IS NOT NULL THEN e.p_name WHEN dim.n = 1 THEN dim.id END AS resolved,
-  CASE WHEN e.p_name IS NOT NULL THEN 'exact' WHEN dim.n = 1 THEN 'suffix' WHEN dim.n > 1 THEN 'ambiguous' ELSE 'missing' END AS how
-FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_size < 10 UNION SELECT DISTINCT 'x ' || string_split(p_name, ' ')[-1] FROM part UNION SELECT DISTINCT p_brand FROM part) c
-LEFT JOIN (SELECT DISTINCT p_name FROM part) e ON e.p_name = c.name LEFT JOIN dim ON dim.k = string_split(c.name, ' ')[-1]""")
+_EDGES = "SELECT 'u' || (user_id % 60) AS source, event_type AS target, strftime(ts, '%Y-%m') AS scenario, event_id, ts FROM events"
+
+
+def _runtime_edges(t: Tables) -> DataFrame:
+    return t.events.select(F.concat(F.lit("u"), (F.col("user_id") % 60).cast("string")).alias("source"), F.col("event_type").alias("target"), F.date_format("ts", "yyyy-MM").alias("scenario"), "event_id", "ts")
+
+
+@query(f"""
+WITH e AS ({_EDGES}), o AS (SELECT *, CASE WHEN substr(source, 2)::INT % 2 = 0 THEN 'k' || (substr(source, 2)::INT % 5) END AS a, CASE WHEN target <> 'error' THEN 't_' || target END AS b FROM e)
+SELECT 'scenario' AS part, scenario AS name, count(*) AS n FROM o GROUP BY scenario
+UNION ALL (SELECT 'source', source, count(*) AS n FROM o GROUP BY source ORDER BY n DESC, source LIMIT 20) UNION ALL (SELECT 'target', target, count(*) AS n FROM o GROUP BY target ORDER BY n DESC, target LIMIT 20)
+UNION ALL (SELECT 'pair', a || '>' || b, count(*) AS n FROM o WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY a, b ORDER BY n DESC, a, b LIMIT 25) UNION ALL SELECT 'unmapped', '', count(*) FROM o WHERE a IS NULL OR b IS NULL""")
+def runtime_by_scenario(t: Tables) -> DataFrame:
+    edges = _runtime_edges(t)
+    k = F.col("user_id") % 60
+    owner = t.events.where(k % 2 == 0).select(F.concat(F.lit("u"), k.cast("string")).alias("name"), F.concat(F.lit("k"), (k % 5).cast("string")).alias("component")).distinct()
+    owner = owner.unionByName(edges.where("target <> 'error'").select(F.col("target").alias("name"), F.concat(F.lit("t_"), "target").alias("component")).distinct())
+    s = runtime.summary(edges, owner)
+    part = lambda name, df, c: df.select(F.lit(name).alias("part"), c.alias("name"), "n")
+    out = part("scenario", s["by_scenario"], F.col("scenario")).unionByName(part("source", s["sources"], F.col("source"))).unionByName(part("target", s["targets"], F.col("target")))
+    return out.unionByName(part("pair", s["pairs"], F.concat_ws(">", "source_component", "target_component"))).unionByName(part("unmapped", s["unmapped"].withColumnRenamed("n_unmapped", "n"), F.lit("")))
+
+
+def _events(t: Tables) -> DataFrame:
+    kind = F.when(F.col("event_id") % 9 == 0, "line").when(F.col("event_id") % 3 == 0, "return").otherwise("call")
+    return t.events.select(F.concat(F.lit("t"), (F.col("user_id") % 30).cast("string")).alias("trace_id"), F.col("event_id").alias("ord"), kind.alias("type"), F.concat_ws(".", "event_type", F.when(F.col("event_id") % 11 == 0, "<module>").otherwise((F.col("event_id") % 5).cast("string"))).alias("qualified_name"), "ts")
+
+
+_TRACE = """SELECT 't' || (user_id % 30) AS trace_id, event_id AS ord, CASE WHEN event_id % 9 = 0 THEN 'line' WHEN event_id % 3 = 0 THEN 'return' ELSE 'call' END AS type,
+  event_type || '.' || CASE WHEN event_id % 11 = 0 THEN '<module>' ELSE (event_id % 5)::VARCHAR END AS qualified_name, ts FROM events"""
+
+
+@query(f"SELECT trace_id, ord, type, qualified_name FROM ({_TRACE}) WHERE type <> 'line' AND NOT ends_with(qualified_name, '.<module>') AND NOT contains(qualified_name, 'sea') AND (starts_with(qualified_name, 'v') OR starts_with(qualified_name, 'c') OR starts_with(qualified_name, 'p'))")
+def relevance_filter(t: Tables) -> DataFrame:
+    return trace.relevant(_events(t), ["v", "c", "p"], ["sea"]).select("trace_id", "ord", "type", "qualified_name")
+
+
+@query(f"SELECT trace_id, ord, type FROM ({_TRACE}) QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY ord) <= 20")
+def trace_cap(t: Tables) -> DataFrame:
+    return trace.capped(_events(t), 20).select("trace_id", "ord", "type")
+
+
+@query(f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, type, count(*) AS n FROM ({_TRACE}) GROUP BY ALL")
+def windowed_trace_counts(t: Tables) -> DataFrame:
+    return trace.windowed_counts(_events(t), "1 hour", "1 hour")
+
+
+@query(f"SELECT DISTINCT source, target, 'calls' AS type FROM ({_EDGES})")
+def first_seen_edges(t: Tables) -> DataFrame:
+    return trace.first_seen(_runtime_edges(t))
+
+
+@query(f"""
+WITH e AS ({_EDGES}), d AS (SELECT DISTINCT source, target FROM e WHERE target <> 'error')
+SELECT (SELECT count(*) FROM e) AS raw_events, (SELECT count(*) FROM e WHERE target <> 'error') AS kept_events, (SELECT count(*) FROM d) AS observed_edges,
+  (SELECT count(*) FROM d WHERE NOT (target = 'view' AND source IN (SELECT 'u' || n_nationkey FROM nation))) AS added_edges, (SELECT count(*) FROM e WHERE target = 'error') AS filtered_events""")
+def enrichment_summary(t: Tables) -> DataFrame:
+    raw = _runtime_edges(t)
+    kept = raw.where("target <> 'error'")
+    known = t.nation.select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("source"), F.lit("view").alias("target"))
+    return trace.enrichment_summary(raw, kept, kept, known)
+
+
+@query(f"""
+WITH e AS ({_EDGES}), r AS (SELECT source, target, scenario, row_number() OVER (PARTITION BY source, target ORDER BY scenario) AS k FROM e),
+s AS (SELECT * FROM r WHERE k = 1 AND NOT (target = 'view' AND source IN (SELECT 'u' || n_nationkey FROM nation)))
+SELECT source, target, 'calls' AS type, scenario FROM s UNION ALL SELECT 'u' || n_nationkey, 'view', 'calls', NULL FROM nation""")
+def scenario_accumulation(t: Tables) -> DataFrame:
+    edges = _runtime_edges(t).withColumn("type", F.lit("calls"))
+    known = t.nation.select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("source"), F.lit("view").alias("target"), F.lit("calls").alias("type"))
+    return trace.accumulated(known, [edges])
+
+
+_QN = "SELECT 'shop.' || lower(p_type) || '.P' || p_partkey || '.run' AS qn, p_partkey AS k FROM part"
+_ASKED = """SELECT CASE p_partkey % 6 WHEN 0 THEN 'shop.' || lower(p_type) || '.P' || p_partkey || '.run' WHEN 1 THEN 'shop/' || lower(p_type) || '/P' || p_partkey || '.run' WHEN 2 THEN lower(p_type) || '.P' || p_partkey || '.run'
+  WHEN 3 THEN 'elsewhere.P' || p_partkey || '.run' WHEN 4 THEN 'run' ELSE 'P' || p_partkey END AS name, p_partkey AS k, p_partkey % 6 AS how FROM part"""
+
+
+@query(f"""
+SELECT DISTINCT name, CASE how WHEN 0 THEN 'exact' WHEN 1 THEN 'normal' WHEN 2 THEN 'suffix' WHEN 3 THEN 'two' ELSE CASE WHEN how = 4 AND (SELECT count(*) FROM part) = 1 THEN 'suffix' ELSE 'unresolved' END END AS classification, CASE WHEN how < 4 THEN 'm' || k END AS target_id FROM ({_ASKED})""")
 def runtime_endpoint_resolution(t: Tables) -> DataFrame:
-    known = t.part.select("p_name").distinct()
-    asked = t.part.where("p_size < 10").select(F.col("p_name").alias("name")).union(t.part.select(F.concat(F.lit("x "), names.last_segment(F.col("p_name"), " ")))).union(t.part.select("p_brand")).distinct()
-    asked = asked.withColumn("tail", names.last_segment(F.col("name"), " "))
-    tiers = [
-        Tier("exact", known, {"name": "p_name"}, "p_name", "exact", "ambiguous"),
-        Tier("suffix", known.withColumn("tail_key", names.last_segment(F.col("p_name"), " ")), {"tail": "tail_key"}, "p_name", "suffix", "ambiguous"),
-    ]
-    return resolve_cascade(asked, tiers, "missing").select("name", F.col("target_id").alias("resolved"), F.col("classification").alias("how"))
+    key = F.col("p_partkey").cast("string")
+    kind, unit = F.lower("p_type"), F.concat(F.lit("P"), key)
+    known = t.part.select(F.concat(F.lit("m"), key).alias("id"), F.concat_ws(".", F.lit("shop"), kind, unit, F.lit("run")).alias("qn"))
+    how = F.col("p_partkey") % 6
+    name = F.when(how == 0, F.concat_ws(".", F.lit("shop"), kind, unit, F.lit("run"))).when(how == 1, F.concat(F.concat_ws("/", F.lit("shop"), kind, unit), F.lit(".run"))).when(how == 2, F.concat_ws(".", kind, unit, F.lit("run")))
+    name = name.when(how == 3, F.concat_ws(".", F.lit("elsewhere"), unit, F.lit("run"))).when(how == 4, "run").otherwise(unit)
+    return runtime.resolve_endpoints(t.part.select(name.alias("name")).distinct(), known)
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT name FROM ({_ASKED})), i AS (SELECT CASE WHEN k % 2 = 0 THEN qn ELSE 'P' || k || '.run' END AS r, 'c' || k AS component FROM ({_QN})),
+n AS (SELECT a.name, replace(a.name, '/', '.') AS x FROM a),
+e AS (SELECT n.name, component FROM n JOIN i ON n.name = i.r),
+two AS (SELECT name, array_to_string(string_split(x, '.')[-2:], '.') AS w, len(string_split(x, '.')) AS z, x FROM n WHERE name NOT IN (SELECT name FROM e)),
+o AS (SELECT two.name, component FROM two JOIN i ON two.x = i.r OR ends_with(two.x, '.' || i.r) OR ends_with(i.r, '.' || two.x) OR (z >= 2 AND len(string_split(i.r, '.')) >= 2 AND w = array_to_string(string_split(i.r, '.')[-2:], '.')))
+SELECT * FROM e UNION SELECT * FROM o""")
+def runtime_components(t: Tables) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    kind, unit = F.lower("p_type"), F.concat(F.lit("P"), key)
+    qn = F.concat_ws(".", F.lit("shop"), kind, unit, F.lit("run"))
+    implemented = t.part.select(F.when(F.col("p_partkey") % 2 == 0, qn).otherwise(F.concat(unit, F.lit(".run"))).alias("reference"), F.concat(F.lit("c"), key).alias("component"))
+    how = F.col("p_partkey") % 6
+    name = F.when(how == 0, qn).when(how == 1, F.concat(F.concat_ws("/", F.lit("shop"), kind, unit), F.lit(".run"))).when(how == 2, F.concat_ws(".", kind, unit, F.lit("run"))).when(how == 3, F.concat_ws(".", F.lit("elsewhere"), unit, F.lit("run"))).when(how == 4, "run").otherwise(unit)
+    return runtime.component_names(t.part.select(name.alias("name")).distinct(), implemented)
+
+
+@query("""
+SELECT DISTINCT 'm' || l_partkey AS source_id, 'm' || l_suppkey AS target_id FROM lineitem WHERE l_partkey % 3 = 0 AND l_suppkey IN (SELECT p_partkey FROM part) AND NOT (l_partkey % 2 = 0 AND l_suppkey % 2 = 0)""")
+def runtime_call_actions(t: Tables) -> DataFrame:
+    named = lambda c: F.concat(F.lit("shop.P"), F.col(c).cast("string"), F.lit(".run"))
+    known = t.part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("id"), named("p_partkey").alias("qn"))
+    seen = t.lineitem.where("l_partkey % 3 = 0").select(named("l_partkey").alias("source"), named("l_suppkey").alias("target"))
+    static = t.lineitem.where("l_partkey % 2 = 0 and l_suppkey % 2 = 0").select(F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("target"))
+    return runtime.runtime_call_actions(seen, known, static)
 
 
 @query("""
-SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
+SELECT 'q.o' || o_orderkey AS source, 'x.s' || (o_custkey % 50) AS target FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey % 50 = o_custkey % 50)""")
 def unexplained_calls(t: Tables) -> DataFrame:
-    seen = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return t.orders.select("o_orderkey").join(seen, "o_orderkey", "left_anti")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    calls = t.orders.select(text("q.o", F.col("o_orderkey")).alias("source"), text("x.s", F.col("o_custkey") % 50).alias("target"))
+    return runtime.unexplained(calls, t.lineitem.select(text("run.time.o", F.col("l_orderkey")).alias("source"), text("s", F.col("l_suppkey") % 50).alias("target")))
 
 
 @query("""
-SELECT o.o_orderkey AS source, p.o_orderkey AS target FROM orders o JOIN orders p ON p.o_custkey = o.o_custkey AND p.o_orderkey <> o.o_orderkey
-WHERE o.o_orderstatus = 'P' AND p.o_orderstatus = 'F' AND p.o_orderpriority = o.o_orderpriority""")
+SELECT DISTINCT 'c' || a.c_custkey AS source, 'c' || b.c_custkey AS target FROM orders JOIN customer a ON o_custkey = a.c_custkey JOIN customer b ON b.c_custkey = o_orderkey % 100 WHERE o_orderpriority = '1-URGENT' AND a.c_custkey <> b.c_custkey""")
 def subscription_edges(t: Tables) -> DataFrame:
-    keyed = lambda status, name: t.orders.where(F.col("o_orderstatus") == status).select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias(name))
-    return keyed("P", "source").join(keyed("F", "target"), ["o_custkey", "o_orderpriority"]).where("source <> target").select("source", "target")
+    cust = lambda c: F.concat(F.lit("Cust"), c.cast("string"))
+    item = F.array(F.struct(F.concat(F.lit("app."), cust(F.col("o_orderkey") % 100)).alias("value")))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    calls = t.orders.select(F.when(urgent, F.concat(F.lit("app."), cust(F.col("o_custkey")), F.lit(".subscribe"))).otherwise(F.concat(cust(F.col("o_custkey")), F.lit(".publish"))).alias("name"), item.alias("arguments"))
+    components = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), cust(F.col("c_custkey")).alias("name"))
+    return structure.subscription_edges(calls, components).select("source", "target")
