@@ -8,9 +8,11 @@ control strings only as markers and the texts can be read back exactly. DataFram
 The turns of a conversation meet in one row, since its formatted text is one value; they are gathered with map-side
 combination and sorted by (turn, role, text), which also settles ties and repeated rows (each is a turn of its own).
 
-Nulls: a null text is empty, a null role is the empty role, a null turn sorts first. Rows with a null conversation id form one
-conversation. A conversation whose order the machine rejects is formatted all the same; `valid` is false and `broken_at` is the
-index of the first turn without a transition (or the number of turns, if it ends in a state that is not final).
+Nulls: a null text is empty, a null role is the empty role, a null turn sorts first. A row without a conversation id belongs to no
+other row: it is a conversation of one turn, with a null id. A conversation whose order the machine rejects is formatted all
+the same; `valid` is false and `broken_at` is the index of the first turn without a transition (or the number of turns, if it
+ends in a state that is not final). Very long texts are formatted whole, an empty table gives no rows, and columns other than the
+four named ones play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -96,24 +98,25 @@ def formatted(turns: DataFrame, template: Template = INSTRUCT, conv: str = "conv
     """One row per conversation: conv_id, formatted, segments array<struct<text, loss>>, valid, broken_at."""
     t = template
     key = F.col(conv).alias("conv_id")
+    alone = F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("alone")
     empty = F.lit("")
-    rows = turns.select(key, F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    rows = turns.select(key, alone, F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text")).alias("t"))
+    whole = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     whole = whole.withColumn("broken_at", _machine(F.col("turns"), t)).withColumn("segments", F.flatten(F.transform("turns", lambda x: _segments(x, t))))
     return whole.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", F.col("broken_at").isNull().alias("valid"), "broken_at")
 
 
 def read_back(text: Column, t: Template) -> Column:
-    """array<struct<role, text>> parsed from formatted text alone."""
+    """array<struct<role, text, loss>> parsed from formatted text alone: the template says which turns carry loss."""
     pairs = [(r.open, r.close) for r in t.roles.values()] + [(t.other.open, t.other.close)]
     one = "|".join(f"{_class(a)}.*?{_class(b)}" for a, b in pairs)
 
     def parsed(raw: Column) -> Column:
         cut = lambda a, b: raw.substr(F.lit(len(a) + 1), F.length(raw) - len(a) - len(b))
         inner = cut(t.other.open, t.other.close)
-        out = F.struct(unescaped(F.substring_index(inner, t.other_text, 1), t).alias("role"), unescaped(F.substring_index(inner, t.other_text, -1), t).alias("text"))
+        out = F.struct(unescaped(F.substring_index(inner, t.other_text, 1), t).alias("role"), unescaped(F.substring_index(inner, t.other_text, -1), t).alias("text"), F.lit(t.other.loss).alias("loss"))
         for name, r in t.roles.items():
-            out = F.when(raw.startswith(r.open), F.struct(F.lit(name).alias("role"), unescaped(cut(r.open, r.close), t).alias("text"))).otherwise(out)
+            out = F.when(raw.startswith(r.open), F.struct(F.lit(name).alias("role"), unescaped(cut(r.open, r.close), t).alias("text"), F.lit(r.loss).alias("loss"))).otherwise(out)
         return out
 
     return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?:{one})"), F.lit(0)), parsed)
@@ -121,9 +124,10 @@ def read_back(text: Column, t: Template) -> Column:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], turns.schema)
+    id_ = F.col("id")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), id_.alias("turn"), F.when(id_ == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     out = formatted(turns.unionByName(probe)).withColumn("turns", read_back(F.col("formatted"), INSTRUCT))
-    loss = unescaped(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), ""), INSTRUCT)
+    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: x["text"]), "")
     spoken = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     out = out.withColumn("loss", loss)
     return out.select(
@@ -150,17 +154,18 @@ def oracle(t: Template = INSTRUCT) -> str:
 WITH RECURSIVE t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
+g AS (SELECT *, coalesce(conv_id::VARCHAR, 'row ' || row_number() OVER ()) AS own FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY turn NULLS FIRST, role, text) AS k FROM g),
 machine AS (
-  SELECT conv_id, 0::BIGINT AS k, 'start' AS state FROM (SELECT DISTINCT conv_id FROM o)
-  UNION ALL SELECT m.conv_id, o.k, CASE m.state || chr(10) || o.role {arcs} END FROM machine m JOIN o ON o.conv_id IS NOT DISTINCT FROM m.conv_id AND o.k = m.k + 1),
-ends AS (SELECT conv_id, bool_and(state IS NOT NULL) AND arg_max(state, k) IN ({final}) AS ok FROM machine GROUP BY conv_id)
+  SELECT own, 0::BIGINT AS k, 'start' AS state FROM (SELECT DISTINCT own FROM o)
+  UNION ALL SELECT m.own, o.k, CASE m.state || chr(10) || o.role {arcs} END FROM machine m JOIN o ON o.own = m.own AND o.k = m.k + 1),
+ends AS (SELECT own, bool_and(state IS NOT NULL) AND arg_max(state, k) IN ({final}) AS ok FROM machine GROUP BY own)
 SELECT o.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role IN ({losses})), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role IN ({losses})), '')) AS loss_sha256,
   sum(CASE role {marks} ELSE {len(t.other.open + t.other.close + t.other_text)} + {extra("role")} END + {extra("text")})::BIGINT AS formatted_chars,
   coalesce(any_value(ok), false) AS valid
-FROM o JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id GROUP BY o.conv_id
+FROM o JOIN ends e ON o.own = e.own GROUP BY o.own, o.conv_id
 """
 
 

@@ -21,9 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a single machine (tests) takes a folder
+    of its own; a cluster has none that all its executors see, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='factgraph-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/factgraph-{spark.sparkContext.applicationId}"

@@ -11,7 +11,8 @@ that keep everything are left out, and so are documents that lose nothing.
 
 Nulls: a null or empty text is one empty line. A row with a null doc_id belongs to no document: its lines neither count nor
 go. Repeated rows of a document count once and lose the same lines; rows that share a doc_id but not their text are parts of
-one document, told apart by a hash of their text.
+one document, told apart by a hash of their text. Lines of very long texts are all looked at, an empty table gives no rows, and
+columns other than the id and the text return as they are (names that begin with two underscores are kept for inner use).
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from factgraph.llm import common
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BUCKETS = 1 << 16
-#: A hash with more rows than total / HOT_PARTS (and at least HOT_LEAST) is hot, so at most HOT_PARTS hashes are.
+#: A hash with more rows than total / HOT_PARTS (and at least HOT_LEAST) is hot, so at most HOT_PARTS hashes are; where there are
+#: more ranges than a quarter of HOT_PARTS, four for each range, so that a hash that is not hot fits well into one.
 HOT_PARTS, HOT_LEAST = 2000, 1000
 
 
@@ -51,14 +53,14 @@ def hot_hashes(lines: DataFrame) -> DataFrame:
     bucket = F.pmod(F.col("h1"), F.lit(BUCKETS))
     counts = lines.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).cache()
     total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(HOT_LEAST, total // HOT_PARTS)
-    heavy = [r.b for r in counts.where(F.col("n") > limit).select("b").collect()]  # fewer than HOT_PARTS buckets
+    limit = max(HOT_LEAST, total // max(HOT_PARTS, 4 * common.partitions(lines)))
+    heavy = [r.b for r in counts.where(F.col("n") > limit).select("b").collect()]  # fewer buckets than hot hashes may be
     counts.unpersist()
     if not heavy:
         return lines.sparkSession.createDataFrame([], "h1 long, h2 long, keeper long, n_docs long")
     inside = lines.where(bucket.isin(heavy))
     hot = inside.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("h1", "h2")
-    hot = inside.join(F.broadcast(hot), ["h1", "h2"])  # both broadcasts: at most HOT_PARTS rows
+    hot = inside.join(F.broadcast(hot), ["h1", "h2"])  # both broadcasts: at most HOT_PARTS rows, or four for each range
     return hot.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count("*").alias("n_docs"))
 
 

@@ -12,7 +12,7 @@ keys in ever finer ranges, so no sort of all rows and no large collect is needed
 
 Nulls: a null or empty text has no features and log weight 0; a null doc_id is never a label's document. Repeated rows have
 equal weights and keys; ties at the k-th key are broken by doc_id, then at random but among equal rows only. Without good
-labels all weights are 0; an empty table gives no rows.
+labels all weights are 0; an empty table gives no rows. Very long texts count whole; columns other than id and text play no part.
 """
 
 from __future__ import annotations

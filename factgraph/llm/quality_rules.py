@@ -9,7 +9,8 @@ one primitive sort finds the equal ones; neighbours are then compared as words,
 their hashes agree is counted again by sorting the windows themselves. The result is exact for texts below 2**31 words.
 
 Nulls and empty texts have no words: every count is 0, base_failed is true, kept is false. Rows are judged one by one, so
-repeated rows get equal results, and other columns play no part.
+repeated rows get equal results, and other columns play no part. Very long texts are judged whole; an empty table gives no rows.
+A column named like the result is replaced.
 """
 
 from __future__ import annotations

@@ -135,7 +135,7 @@ def test_chat_format(spark):
     bad = ["</s>[INST] ok [/INST]", "\\", "\\<s>", "<|turn|>a<|text|>", "[\\INST]", "<<SYS>>\n", "", None, "a" * 50_000, "[INST", "é<", "<|end|>\\\\"]
     rows = [(1, 0, "system", bad[0]), (1, 1, "user", bad[1]), (1, 2, "assistant", bad[2])]
     rows += [(2, k, role, x) for k, (role, x) in enumerate(zip(["user", "assistant", "weird\n<s>", None, "", "tool"] * 2, bad))]
-    rows += [(3, 0, "assistant", "first"), (4, 0, "user", "x"), (4, 0, "user", "x"), (None, None, "user", "q"), (5, 1, "user", "u"), (5, 0, "system", "s")]
+    rows += [(3, 0, "assistant", "first"), (4, 0, "user", "x"), (4, 0, "user", "x"), (5, 1, "user", "u"), (5, 0, "system", "s")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = {r.conv_id: r for r in chat_format.formatted(frame).withColumn("back", chat_format.read_back(F.col("formatted"), t)).collect()}
     for conv in {r[0] for r in rows}:
@@ -145,7 +145,11 @@ def test_chat_format(spark):
     assert (out[1].valid, out[1].broken_at) == (True, None)
     assert (out[3].valid, out[3].broken_at) == (False, 0) and (out[4].valid, out[4].broken_at) == (False, 1) and (out[5].valid, out[5].broken_at) == (False, 2)
     assert [s.loss for s in out[1].segments] == [False] * 7 + [True, False]
+    assert [[x.loss for x in out[c].back] for c in (1, 3)] == [[False, False, True], [True]]
     assert chat_format.formatted(frame.limit(0)).count() == 0
+    lost = spark.createDataFrame([(None, 0, "user", "a", 1), (None, 0, "user", "a", 2), (None, None, None, None, 3), (7, 0, "user", "a", 4)], "conv_id long, turn long, role string, text string, formatted int").withColumn("segments", F.lit(1)).withColumn("alone", F.lit(2))
+    got = chat_format.formatted(lost).withColumn("back", chat_format.read_back(F.col("formatted"), t)).collect()
+    assert by_row((r.conv_id, [(b.role, b.text) for b in r.back]) for r in got) == by_row([(None, [("user", "a")]), (None, [("user", "a")]), (None, [("", "")]), (7, [("user", "a")])])
 
 
 def pages(spark):
@@ -254,7 +258,8 @@ def test_lm_log_prob_against_brute_force():
     f = [rng.integers(0, 1 << 62, 50).astype(np.uint64) for _ in range(3)]
     at = rng.integers(-1, 100, 50)
     for k, got in enumerate(m.log_prob(at, f)):
-        leaf, want = at[k] if at[k] >= 0 else 100, 0.0
+        leaf = at[k] if at[k] >= 0 else 100
+        want = float(m.rest[leaf])
         for j in range(m.ptr[leaf], m.ptr[leaf + 1]):
             node = int(m.node[j])
             rows = [int(mix(np.array([(int(x[k]) + node * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]) >> 52 for x in f]
@@ -268,7 +273,9 @@ def test_lm_model_grows_with_the_corpus():
 
     assert [lm_scoring.row_bits(n) for n in (0, 1 << 20, 1 << 22, 1 << 24, 1 << 40)] == [12, 12, 14, 16, 18]
     mass = 1 / np.arange(1, 200_001)
-    ptr, _, _, share = lm_scoring.class_tree(mass / mass.sum())
+    ptr, node, slot, share = lm_scoring.class_tree(mass / mass.sum())
+    each = np.add.reduceat(share[node, slot].astype(float), ptr[:-1])  # the product of shares down a path is the leaf's mass
+    assert np.exp(each) == pytest.approx(mass / mass.sum(), rel=1e-3)
     depth = np.diff(ptr)
     assert (depth * mass).sum() / mass.sum() < 3.6 and len(share) < 200_000 / 15 + 2
 
@@ -499,3 +506,70 @@ def test_clean_documents_stay_in_the_mix(spark):
     good = common.table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("x")).where("q = 1 and x = 0")
     of = docs.join(good, "doc_id")
     assert of.join(kept, "doc_id", "left_semi").count() >= 0.95 * of.count()
+
+
+def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master, applicationId = "local-cluster[2,1,1024]", "a"  # noqa: N815
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_weights_of_resampling_against_brute_force(docs, labels):
+    """Log ratios of hashed words and pairs, in plain Python."""
+    from factgraph.llm.textkernel import mix
+
+    import numpy as np
+    import xxhash
+
+    def buckets(text):
+        h = [int(mix(np.array([xxhash.xxh64_intdigest(w.encode(), 1)], np.uint64))[0]) for w in brute.words((text or "").translate(brute.LOW))]
+        pairs = [int(mix(np.array([(3 * a + b) % 2**64], np.uint64))[0]) for a, b in zip(h, h[1:])]
+        return [x >> 49 for x in [*h, *pairs]]
+
+    good = {8, 9}
+    raw, target = Counter(), Counter()
+    for d, text in edge_rows():
+        raw.update(buckets(text))
+        if d in good:
+            target.update(buckets(text))
+    q = quality_classifier
+    r = lambda b: (raw[b] + q.SMOOTH) / (sum(raw.values()) + q.SMOOTH * q.BUCKETS)
+    ratio = lambda b: math.log((target[b] + q.PRIOR * r(b)) / (sum(target.values()) + q.PRIOR) / r(b))
+    want = by_row((d, len(buckets(t)), round(sum(map(ratio, buckets(t))), 6) + 0.0) for d, t in edge_rows())
+    table = q.log_ratio(q.model_counts(docs, labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()))
+    assert by_row((r.doc_id, r.n_features, round(r.log_weight, 6) + 0.0) for r in q.weighted(docs, table).collect()) == want
+
+
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, __row string, __text string, part string, mix_rate double, words int"
+
+
+def edge_table(spark, folder, rows):
+    spark.createDataFrame(rows, EDGE).repartition(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"bench{k}" for k in range(12))), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_runs_on_nulls_repeats_and_clashing_names(spark, tmp_path):
+    """Rows without an id, null texts, repeated rows, one id for several texts, and columns named like inner ones."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    prose = lambda: " ".join(["the of and to"] + [word() for _ in range(80)])
+    row = lambda d, t: (d, t, "en", "s", len(t or ""), "r", "t", "p", 0.5, 7)
+    texts = [prose() for _ in range(6)]
+    leak = prose() + " " + " ".join(f"bench{k}" for k in range(12))
+    rows = [row(1, texts[0]), row(1, texts[0]), row(1, texts[1]), row(None, texts[2]), row(None, texts[3]), row(2, texts[3]), row(3, None), row(None, None), row(4, ""), row(5, leak), row(6, texts[4] + " x"), row(7, texts[4])]
+    out = corpus_pipeline.run(spark, edge_table(spark, tmp_path / "a", rows))
+    got = by_row((r.doc_id, r.text) for r in out.collect())
+    assert got == by_row([(1, texts[0]), (1, texts[1]), (None, texts[2]), (2, texts[3]), (6, texts[4] + " x")])
+    assert {"doc_id", "text", "lang", "source", "n_chars", "part", "words", "mix_rate", "mix_copies"} <= set(out.columns)
+    assert corpus_pipeline.run(spark, edge_table(spark, tmp_path / "b", [])).count() == 0
