@@ -85,11 +85,16 @@ def type_methods(spark: SparkSession) -> DataFrame:
 
 
 def normal_annotation(c: Column) -> Column:
-    """The type that an annotation names: quotes, Optional[...] and `| None` are taken off, generics cut to their base."""
+    """The type that an annotation names: quotes, Optional[...], Union with None and `| None` are taken off, generics cut to their
+    base, and the aliases of builtins named as these. A union of several types stays as it is."""
     bare = F.regexp_replace(F.trim(c), "^['\"]|['\"]$", "")
     bare = F.regexp_replace(bare, r"^(?:typing\.)?Optional\[(.*)\]$", "$1")
-    bare = F.regexp_replace(bare, r"\s*\|\s*None$|^None\s*\|\s*", "")
-    return F.regexp_replace(bare, r"\[.*$", "")
+    parts = F.filter(names.split_arguments(F.regexp_extract(bare, r"^(?:typing\.)?Union\[(.*)\]$", 1)), lambda x: ~x.isin("None", "NoneType"))
+    bare = F.when(F.size(parts) == 1, parts[0]).otherwise(bare)
+    bare = F.regexp_replace(bare, r"\s*\|\s*(?:None|NoneType)$|^(?:None|NoneType)\s*\|\s*", "")
+    bare = F.regexp_replace(bare, r"\[.*$", "")
+    table = F.create_map(*(F.lit(x) for kv in names.TYPE_ALIASES.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, bare), bare)
 
 
 def resolve_types(mentions: DataFrame, column: str, t: Tables, imports: DataFrame) -> DataFrame:

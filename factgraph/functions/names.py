@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Endpoint prefixes that safe names keep, and pseudo types that are no types.
+PSEUDO_TYPES = [
+    "", "None", "NoneType", "Name", "Attribute", "Call", "Constant", "Subscript", "BinOp", "Compare", "BoolOp", "Lambda", "function", "method", "module", "class_attribute", "instance_attribute", "local_variable", "parameter",
+    "unknown",
+]
+TYPE_ALIASES = {"List": "list", "Dict": "dict", "Tuple": "tuple", "Set": "set", "typing.List": "list", "typing.Dict": "dict", "typing.Tuple": "tuple", "typing.Set": "set"}
 ENDPOINT_PREFIXES = ("project", "module", "class", "interface", "function", "method", "attribute", "variable", "body", "call", "external")
 
 
@@ -80,8 +85,7 @@ def literal_type(c: Column) -> Column:
 
 def is_valid_type(c: Column) -> Column:
     """Whether a type mention names a type at all: no null, pseudo type, path or internal kind."""
-    pseudo = ["", "None", "NoneType", "Name", "Attribute", "Call", "Constant", "Subscript", "BinOp", "Compare", "BoolOp", "Lambda", "function", "method", "module", "class_attribute", "instance_attribute", "local_variable", "parameter", "unknown"]
-    return F.coalesce(~c.isin(pseudo) & ~c.contains(":") & ~c.rlike("^<.*>$"), F.lit(False))
+    return F.coalesce(~c.isin(PSEUDO_TYPES) & ~c.contains(":") & ~c.rlike("^<.*>$"), F.lit(False))
 
 
 def is_plausible_external(c: Column) -> Column:
@@ -98,3 +102,37 @@ def receiver_prefix(c: Column) -> Column:
 def visible_name(alias: Column, module: Column, name: Column) -> Column:
     """The name under which an import is seen: alias, else imported name, else the module's first segment."""
     return F.coalesce(alias, name, F.substring_index(module, ".", 1))
+
+
+def split_arguments(c: Column) -> Column:
+    """The parts of a list at commas outside brackets, trimmed, empty ones left out: one fold over the characters, without user code."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), F.array().cast("array<string>").alias("done"))
+
+    def step(s: Column, ch: Column) -> Column:
+        depth = s["depth"] + F.when(ch.isin("[", "(", "{", "<"), 1).when(ch.isin("]", ")", "}", ">"), -1).otherwise(0)
+        cut = (ch == ",") & (s["depth"] == 0)
+        return F.struct(depth.alias("depth"), F.when(cut, "").otherwise(F.concat(s["part"], ch)).alias("part"), F.when(cut, F.array_append(s["done"], s["part"])).otherwise(s["done"]).alias("done"))
+
+    end = F.aggregate(F.split(c, ""), start, step, lambda s: F.array_append(s["done"], s["part"]))
+    return F.filter(F.transform(end, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def normal_type(c: Column) -> Column:
+    """A type mention in the common form: id prefixes and quotes off, aliases as builtins at the top and in the arguments."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), "^['\"]|['\"]$", ""), "^(?:builtin_type|builtin|class_or_external):", "")
+    table = F.create_map(*(F.lit(x) for kv in TYPE_ALIASES.items() for x in kv))
+    alias = lambda x: F.coalesce(F.try_element_at(table, x), x)
+    head, inside = F.regexp_extract(bare, r"^([A-Za-z_][A-Za-z0-9_.]*)\[", 1), F.regexp_extract(bare, r"^[A-Za-z_][A-Za-z0-9_.]*\[(.*)\]$", 1)
+    one = F.transform(split_arguments(inside), alias)
+    union = F.array_join(F.transform(F.split(bare, r"\s*\|\s*"), alias), " | ")
+    return F.when(bare == "", None).when(bare.contains("|") & ~bare.contains("["), union).when((head != "") & (inside != ""), F.concat(alias(head), F.lit("["), F.array_join(one, ", "), F.lit("]"))).otherwise(alias(bare))
+
+
+def raw_type(c: Column) -> Column:
+    """The type without arguments; of a union the first member."""
+    return F.regexp_extract(c, r"^(.*?)(?:\[|\s\|\s|$)", 1)
+
+
+def type_arguments(c: Column) -> Column:
+    inside = F.regexp_extract(c, r"^[^\[]*\[(.*)\]$", 1)
+    return F.when(inside != "", split_arguments(inside)).otherwise(F.array().cast("array<string>"))

@@ -158,6 +158,28 @@ def detail(t: dict[str, DataFrame], imports: DataFrame) -> tuple[DataFrame, Data
     return reduce(DataFrame.unionByName, nodes_).dropDuplicates(["id"]), reduce(DataFrame.unionByName, relations_).distinct()
 
 
+def annotations(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Annotation nodes of the decorators of classes and callables, and their attributes: name, arguments' presence, position."""
+    part = lambda df, id_: df.select(F.col(id_).alias("owner"), F.posexplode("decorators").alias("nth", "d"))
+    rows = part(t["class_fact"], "class_id").unionByName(part(t["callable_fact"], "callable_id")).dropDuplicates(["owner", "nth"])
+    id_ = F.concat(F.lit("annotation:"), "owner", F.lit("#"), F.col("nth").cast("string"))
+    node = _node(rows, id_, F.col("owner"), "annotation", "Annotation", F.col("d"), F.col("nth"))
+    tag = lambda name, value: rows.select(id_.alias("owner_id"), F.lit(name).alias("tag"), value.cast("string").alias("value"))
+    return node, tag("decorator", F.col("d")).unionByName(tag("decorator_position", F.col("nth"))).unionByName(tag("decorator_name", names.last_segment(F.col("d"))))
+
+
+def recovered_creates(t: dict[str, DataFrame], relation: DataFrame) -> DataFrame:
+    """Creates relations that calls alone did not give: from actions whose value or exception is a call of the name of exactly one
+    class, by qualified name, else by simple name."""
+    b = t["body_node"].where("value_kind = 'call_result'").select("node_id", F.col("value").alias("callee"))
+    b = b.unionByName(t["body_node"].where("statement_type = 'raise' and exception is not null").select("node_id", F.col("exception").alias("callee")))
+    c = t["class_fact"]
+    one = lambda key: c.groupBy(key.alias("key")).agg(F.countDistinct("class_id").alias("n"), F.min("class_id").alias("target_id")).where("n = 1").drop("n")
+    hit = b.join(one(F.col("qn")), F.col("callee") == F.col("key")).select("node_id", "target_id").unionByName(b.withColumn("short", names.last_segment(F.col("callee"))).join(one(F.col("name")), F.col("short") == F.col("key")).select("node_id", "target_id"))
+    new = hit.select(F.col("node_id").alias("owner_id"), F.lit("Creates").alias("type"), "target_id").distinct()
+    return new.join(relation.where("type = 'Creates'").select("owner_id", "target_id"), ["owner_id", "target_id"], "left_anti").select("owner_id", "type", "target_id")
+
+
 def merge_actions(node: DataFrame, relation: DataFrame, region: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Actions of one parent with equal metaclass, name, kind and first region become the first of them (ord, id); its relations
     are those of all, and children of the others hang on it."""

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factgraph.facts import elements, resolution
+from factgraph.facts import elements, normalised, resolution
 from factgraph.kdm import model, validation
 from factgraph.operators.lineage import cut
 from factgraph.plans.registry import Tables, query
@@ -212,6 +212,27 @@ def flat_elements(t: Tables) -> DataFrame:
     return elements.elements(facts(t), "shop").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query(f"""
+SELECT m || '.' || c || '.' || unnest(['items', 'mystery', 'blank']) AS qualified_name, unnest(['list', 'make', NULL]) AS resolved_type, unnest([3, 4, 5]) - 3 AS nth FROM (SELECT DISTINCT m, c FROM ({_PART}))""")
+def merged_fields(t: Tables) -> DataFrame:
+    f = normalised.fields(facts(t))
+    first = F.min("line_start").over(Window.partitionBy("class_id"))
+    return f.select("qualified_name", "resolved_type", (F.col("line_start") - first).alias("nth"))
+
+
+@query(f"""
+SELECT 'method:' || m || '.' || c || '.m_' || k AS callable_id, 'm_' || k || '(str,Base,thing)' AS signature FROM ({_PART}) UNION ALL SELECT DISTINCT 'method:' || m || '.' || c || '.__init__', '__init__()' FROM ({_PART})
+UNION ALL VALUES ('method:shop.base.Base.save', 'save()'), ('method:shop.base.Base.common', 'common()'), ('method:shop.base.Lone.go', 'go()'), ('method:shop.base.Lone.common', 'common()'), ('method:shop.base.Face.show', 'show()'), ('function:shop.base.helper', 'helper(x)')""")
+def callable_signatures(t: Tables) -> DataFrame:
+    return normalised.signatures(facts(t)).select("callable_id", "signature")
+
+
+@query(f"""
+SELECT 'class:' || m || '.' || c AS class_id, 'extends' AS relation, 'class:shop.base.Base' AS target FROM (SELECT DISTINCT m, c FROM ({_PART})) UNION ALL VALUES ('class:shop.base.Face', 'implements', 'external:Protocol')""")
+def class_relations(t: Tables) -> DataFrame:
+    return normalised.class_relations(elements.interfaces(facts(t)))
+
+
 @query(f"SELECT 'class:' || m || '.' || c AS class_id, false AS is_interface FROM (SELECT DISTINCT m, c FROM ({_PART})) UNION ALL VALUES ('class:shop.base.Base', false), ('class:shop.base.Lone', false), ('class:shop.base.Dup', false), ('class:shop.base.Face', true), ('class:shop.other.Dup', false)")
 def interface_detection(t: Tables) -> DataFrame:
     return elements.interfaces(facts(t)).select("class_id", "is_interface")

@@ -159,3 +159,16 @@ def observed_types(t: Tables) -> DataFrame:
         F.concat(F.lit("f."), (F.col("user_id") % 40).cast("string")).alias("qualified_name"), F.create_map(F.lit("a"), kind).alias("arg_types"), none.alias("receiver_type"),
         F.when(k % 2 == 0, F.concat(F.lit("r"), (k % 3).cast("string"))).alias("return_type"), F.when(k % 5 == 0, F.concat(kind, F.lit("Error"))).alias("exception_type"))
     return trace.type_observations(events).withColumn("types", F.array_join("types", ","))
+
+
+_TYPES = ["list[str]", "Dict[str, List[int]]", "'Box'", "Optional[Tuple[int, str]]", "int | None", "builtin_type:str", "", "Map<String, List<Integer>>"]
+
+
+@query("""
+WITH x(i, r, w, a) AS (VALUES (0, 'list[str]', 'list', 'str'), (1, 'dict[str, List[int]]', 'dict', 'str;List[int]'), (2, 'Box', 'Box', ''), (3, 'Optional[Tuple[int, str]]', 'Optional', 'Tuple[int, str]'), (4, 'int | None', 'int', ''), (5, 'str', 'str', ''), (6, NULL, NULL, NULL),
+  (7, 'Map<String, List<Integer>>', 'Map<String, List<Integer>>', ''))
+SELECT p_partkey, r AS resolved, w AS raw, coalesce(a, '') AS arguments FROM part JOIN x ON p_size % 8 = i""")
+def normal_types(t: Tables) -> DataFrame:
+    given = F.get(F.array(*map(F.lit, _TYPES)), F.col("p_size") % 8)
+    rows = t.part.select("p_partkey", names.normal_type(given).alias("resolved"))
+    return rows.select("p_partkey", "resolved", names.raw_type(F.col("resolved")).alias("raw"), F.coalesce(F.array_join(names.type_arguments(F.col("resolved")), ";"), F.lit("")).alias("arguments"))

@@ -114,3 +114,8 @@ def component_id(name: Column, role: Column, code_id: Column | None = None) -> C
     tail = F.array_join(F.slice(F.split(names.slug(code_id), "_"), -3, 3), "_")
     few = F.array_join(F.split(names.slug(code_id), "_"), "_")
     return F.concat_ws("_", base, F.when(F.size(F.split(names.slug(code_id), "_")) >= 3, tail).otherwise(few))
+
+
+def distinct_components(components: DataFrame) -> DataFrame:
+    """The first (ord) of the components with one role, name and implemented_by."""
+    return selection.keep_first(components, ["role", "name", "implemented_by"], ["ord"])

@@ -82,3 +82,24 @@ def schema_findings(df: DataFrame, id_col: str, required: list[str], enums: dict
     tests += [F.when(~F.col(c).between(low, high), F.lit(f"{c} is out of range")) for c, (low, high) in ranges.items()]
     rows = df.select(F.col(id_col).cast("string").alias("element"), F.explode(F.array_compact(F.array(*tests))).alias("message"))
     return rows.select(F.lit("SCHEMA").alias("rule_id"), F.lit("error").alias("level"), "element", "message")
+
+
+def document_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files of intermediate model documents (JSON, of any source language) as rows of python_source.SCHEMA with module_qn, so that
+    `python_source.tables` makes the same fact tables of them as of parsed source. One document is read by one task."""
+    from factgraph.sources import python_source
+
+    return python_source.from_documents(spark.read.text(path, wholetext=True))
+
+
+def project_findings(spark: SparkSession, config: dict[str, object], paths: tuple[str, ...] = ("source",), required: tuple[str, ...] = ("project",)) -> list[tuple[str, str, str]]:
+    """(rule, level, message) for a configuration that lacks a required entry or names a folder that is not there."""
+    out = [("SETUP-01", "error", f"{key} is required") for key in required if not config.get(key)]
+    for key in paths:
+        if not config.get(key):
+            out.append(("SETUP-02", "warning", f"{key} names no folder"))
+            continue
+        folder = spark._jvm.org.apache.hadoop.fs.Path(str(config[key]))
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            out.append(("SETUP-03", "error", f"{key}: {config[key]} does not exist"))
+    return out

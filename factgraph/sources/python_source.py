@@ -346,3 +346,88 @@ def tables(files: DataFrame) -> dict[str, DataFrame]:
         "body_node": own("body"),
         "body_call": own("body_calls"),
     }
+
+
+def _pick(row: dict, *keys: str):
+    """The first value that is there, for documents of extractors that name the same thing differently."""
+    return next((row[k] for k in keys if row.get(k) not in (None, "")), None)
+
+
+def document_rows(document: dict) -> Iterator[dict]:
+    """Rows of SCHEMA for the files of one intermediate model document: nested classes, callables and bodies are walked in order."""
+    for f in document.get("files") or []:
+        qn = _pick(f, "qualified_name", "qualifiedName", "name") or ""
+        row: dict = {"path": _pick(f, "path", "name"), "module_qn": qn, "parse_error": _pick(f, "error")} | {k: [] for k in ("imports", "classes", "callables", "parameters", "variables", "calls", "body", "body_calls")}
+        walk = [0]
+
+        def add(table: str, row=row, **fields: object) -> None:
+            row[table].append({"ord": len(row[table])} | fields)
+
+        for i in f.get("imports") or []:
+            add("imports", import_type=_pick(i, "import_type", "type") or "import", module=_pick(i, "module", "name"), name=i.get("name") if i.get("import_type") == "from_import" else None, alias=i.get("alias"), level=i.get("level") or 0, line=i.get("line"))
+
+        def body(nodes, owner: str, parent: str, branch: str, depth: int, add=add, walk=walk) -> None:
+            for k, n in enumerate(nodes or []):
+                id_ = _pick(n, "id") or f"body:{hashlib.sha1(f'{parent}|{branch}|{k}'.encode()).hexdigest()[:12]}"
+                value, targets = n.get("value"), n.get("targets") or [x for x in [n.get("target")] if x]
+                kind = n.get("value_kind") or (None if value is None else "literal" if str(value) in ("True", "False", "None") or str(value)[:1] in "0123456789'\"" else "expression")
+                fields = {k2: n.get(k2) for k2 in ("condition", "target", "iter", "exception", "statement_type", "control_type", "line_start", "line_end", "value_type")}
+                add("body", node_id=id_, callable_qn=owner, parent_id=parent, branch=branch, walk_ord=walk[0], depth=depth, type=_pick(n, "type") or "statement", value=value, value_kind=kind, targets=targets, **fields | {"ord": k})
+                walk[0] += 1
+                for key, value2 in n.items():
+                    if key.endswith("_calls") and isinstance(value2, list):
+                        for j, c in enumerate(value2):
+                            add("body_calls", node_id=id_, callable_qn=owner, role=key[:-6], walk_ord=walk[0], name=c.get("name") if isinstance(c, dict) else str(c), line=c.get("line") if isinstance(c, dict) else n.get("line_start"), **{"ord": j})
+                            walk[0] += 1
+                for key in ("body", "orelse", "finalbody", "handlers"):
+                    body(n.get(key), owner, id_, key, depth + 1)
+
+        def callable_(c: dict, cls: str | None, qn=qn, add=add) -> None:
+            own = _pick(c, "qualified_name", "qualifiedName") or f"{cls or qn}.{c.get('name')}"
+            add("callables", name=c.get("name"), qn=own, class_qn=cls, kind=_pick(c, "method_kind", "kind", "type") or ("method" if cls else "function"), is_async=bool(c.get("is_async")), decorators=[str(x) for x in c.get("decorators") or c.get("annotations") or []], return_annotation=_pick(c, "return_annotation", "returnType"), line_start=_pick(c, "line_start", "lineStart"), line_end=_pick(c, "line_end", "lineEnd"))
+            for k, p in enumerate(c.get("parameters") or []):
+                p = p if isinstance(p, dict) else {"name": str(p)}
+                add("parameters", callable_qn=own, idx=k, name=p.get("name"), annotation=_pick(p, "annotation", "type"), kind=p.get("kind") or "positional_or_keyword", default_value=_pick(p, "default_value", "default"), line=p.get("line"))
+            for v in c.get("local_variables") or []:
+                variable(v, own, "local")
+            for x in c.get("calls") or []:
+                name = str(x.get("name") or "")
+                add("calls", callable_qn=own, name=name, kind=x.get("kind") or ("method_call" if "." in name else "function_call"), receiver=x.get("receiver") or (name.rpartition(".")[0] or None), method=x.get("method") or (name.rpartition(".")[2] if "." in name else None), function=x.get("function") or (None if "." in name else name), line=x.get("line"), arguments=[], keyword_arguments=[])
+            body(c.get("body"), own, own, "body", 0)
+
+        def variable(v: dict, owner: str, scope: str, add=add) -> None:
+            add("variables", owner_qn=owner, scope=scope, name=v.get("name"), full_name=_pick(v, "full_name", "fullName", "name"), annotation=_pick(v, "annotation", "type"), assigned_value=v.get("assigned_value"), assigned_type=v.get("assigned_type"), value_kind=v.get("value_kind"), line=_pick(v, "line", "lineStart"))
+
+        for c in f.get("classes") or []:
+            own = _pick(c, "qualified_name", "qualifiedName") or f"{qn}.{c.get('name')}"
+            bases = [str(b) for key in ("bases", "extendsTypes", "implementsTypes") for b in c.get(key) or []]
+            add("classes", name=c.get("name"), qn=own, bases=list(dict.fromkeys(bases)), decorators=[str(x) for x in c.get("decorators") or c.get("annotations") or []], line_start=_pick(c, "line_start", "lineStart"), line_end=_pick(c, "line_end", "lineEnd"))
+            for key, scope in (("attributes", "class_attribute"), ("fields", "class_attribute"), ("instance_attributes", "instance_attribute")):
+                for v in c.get(key) or []:
+                    variable(v, own, scope)
+            for m in [*(c.get("constructors") or []), *(c.get("methods") or [])]:
+                callable_(m, own)
+        for c in f.get("functions") or []:
+            callable_(c, None)
+        yield row
+
+
+def from_documents(text: DataFrame) -> DataFrame:
+    """Rows of SCHEMA with module_qn for documents (value: JSON text). Text that is no JSON object fails with its beginning."""
+    import json
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = text.sparkSession.createDataFrame([], SCHEMA + ", module_qn string").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                document = json.loads(value)
+                if not isinstance(document, dict):
+                    raise ValueError(f"not a project document: {value[:60]!r}")
+                if rows := list(document_rows(document)):
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return text.select("value").mapInArrow(run, schema)

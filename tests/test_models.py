@@ -306,3 +306,34 @@ def test_configuration_and_folders(spark, tmp_path):
     assert documents.read_config(spark, str(tmp_path / "c.json")) == {"project": {"name": "p"}, "steps": [1]}
     assert [r.path.rpartition("/")[2] for r in documents.selected_inputs(spark, str(tmp_path)).collect()] == ["c.json"]
     assert {(r.kind, r.files, r.bytes) for r in documents.artifact_summary(spark, str(tmp_path)).collect()} == {("json", 1, 40), ("xmi", 1, 4)}
+
+
+DOCUMENT = """{"projectName": "p", "language": "java", "files": [{"name": "A.java", "path": "a/A.java", "qualifiedName": "a.A", "imports": [{"import_type": "import", "module": "java.util", "line": 1}],
+ "classes": [{"name": "A", "qualifiedName": "a.A", "extendsTypes": ["Base"], "implementsTypes": ["Face"], "annotations": ["Service"], "fields": [{"name": "n", "type": "int", "lineStart": 3}],
+  "methods": [{"name": "foo", "qualifiedName": "a.A.foo", "parameters": [{"name": "x", "type": "List<String>"}], "calls": [{"name": "this.bar", "line": 5}],
+   "body": [{"id": "b1", "type": "control_structure", "control_type": "try", "line_start": 4, "line_end": 9, "body": [{"id": "b2", "type": "statement", "statement_type": "raise", "exception": null, "exception_calls": [], "line_start": 5, "line_end": 5}],
+     "handlers": [{"id": "b3", "type": "exception_handler", "exception": "E", "line_start": 6, "line_end": 7, "body": [{"id": "b4", "type": "statement", "statement_type": "return", "value": "True", "line_start": 7, "line_end": 7}]}]}]}]}]}]}"""
+
+
+def test_documents_give_the_same_fact_tables(spark, tmp_path):
+    (tmp_path / "m.json").write_text(DOCUMENT)
+    t = {k: local(v) for k, v in python_source.tables(local(documents.document_files(spark, str(tmp_path / "m.json")))).items()}
+    assert [(r.class_id, list(r.bases), list(r.decorators)) for r in t["class_fact"].collect()] == [("class:a.A", ["Base", "Face"], ["Service"])]
+    assert [(r.callable_id, r.name) for r in t["callable_fact"].collect()] == [("method:a.A.foo", "foo")]
+    assert {(r.node_id, r.parent_id, r.branch, r.depth) for r in t["body_node"].collect()} == {("b1", "a.A.foo", "body", 0), ("b2", "b1", "body", 1), ("b3", "b1", "handlers", 1), ("b4", "b3", "body", 2)}
+    assert [(r.receiver, r.method) for r in t["call_fact"].collect()] == [("this", "bar")] and [r.annotation for r in t["parameter"].collect()] == ["List<String>"]
+    node, relation = model.detail(t, local(resolution.resolve_imports(t, "p")))
+    assert relation.where("type = 'HasValue'").count() == 1
+    assert {(r.tag, r.value) for r in model.attributes(t).where("tag like '%flow'").collect()} == {("exception_flow", "rethrow")}
+    notes, tags = model.annotations(t)
+    assert [(r.parent_id, r.name) for r in notes.collect()] == [("class:a.A", "Service")] and tags.count() == 3
+    assert documents.project_findings(spark, {"source": str(tmp_path / "no")}) == [("SETUP-01", "error", "project is required"), ("SETUP-03", "error", f"source: {tmp_path}/no does not exist")]
+    assert documents.project_findings(spark, {"source": str(tmp_path), "project": "p"}) == []
+
+
+def test_recovered_creates(spark):
+    code = "class Odd(Exception):\n    pass\n\ndef go():\n    x = Odd()\n    raise Odd('a')\n"
+    t = python_source.tables(local(python_source.parsed(spark.createDataFrame([("m.py", bytearray(code.encode()))], "path string, content binary"), "p")))
+    none = spark.createDataFrame([], "owner_id string, type string, target_id string")
+    found = model.recovered_creates(t, none)
+    assert found.count() == 2 and {r.target_id for r in found.collect()} == {"class:p.m.Odd"} and model.recovered_creates(t, local(found)).count() == 0
