@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.facts import elements, normalised, resolution
-from factgraph.kdm import model, validation
+from factgraph.kdm import model, validation, xmi
 from factgraph.operators.lineage import cut
 from factgraph.plans.registry import Tables, query
 from factgraph.sources import python_source
@@ -302,3 +302,52 @@ SELECT 'method:' || m || '.' || c || '.m_' || k AS callable_id, CASE k % {_N} {"
 def body_spans(t: Tables) -> DataFrame:
     spans = model.body_spans(facts(t)).where("callable_id like '%.m\\_%'")
     return spans.select("callable_id", (F.col("end_line") - F.col("start_line")).alias("lines"))
+
+
+@query(f"SELECT 'Creates' AS type, n FROM (SELECT {_sum(lambda c: sum(x[0] == 'Base' for x in c.calls))} AS n) WHERE n > 0")
+def recovered_constructors(t: Tables) -> DataFrame:
+    f = facts(t)
+    none = f["module"].limit(0).select(F.lit("").alias("owner_id"), F.lit("").alias("type"), F.lit("").alias("target_id"))
+    return model.recovered_creates(f, none).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT feature, n FROM ({_SIZES}), LATERAL (SELECT unnest(['segment', 'model', 'inventoryElement', 'parameterUnit', 'codeElement']) AS feature, unnest([1, 2, nb + 2, 4 * np + nc + 6,
+  nb + 2 + nc + 5 + np + nc + 6 + 3 * nc + {_sum(lambda c: c.writes)} + np + nc + 6 + {_sum(lambda c: len(c.labels))} + 3 * nc + 6]) AS n)""")
+def xmi_elements(t: Tables) -> DataFrame:
+    f = facts(t)
+    nodes = model.nodes(f, "shop")
+    none = nodes.limit(0).select(F.col("id").alias("owner_id"), F.lit("").alias("type"), F.lit("").alias("target_id"))
+    return xmi.lines(nodes, none, model.attributes(f)).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS f, min(l_linestatus) AS s FROM lineitem GROUP BY ALL)
+SELECT l_orderkey AS parent, count(DISTINCT f || s || (l_linenumber % 2)) AS n_left, count(*) - count(DISTINCT f || s || (l_linenumber % 2)) AS n_gone FROM l GROUP BY 1""")
+def merged_actions(t: Tables) -> DataFrame:
+    rows = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"))
+    id_, odd = F.concat_ws("#", "l_orderkey", "l_linenumber"), F.col("l_linenumber") % 2
+    node = rows.select(id_.alias("id"), F.col("l_orderkey").cast("string").alias("parent_id"), F.lit("codeElement").alias("feature"), F.col("l_linenumber").cast("long").alias("ord"), F.lit("ActionElement").alias("metaclass"), F.col("f").alias("name"), F.col("s").alias("kind"))
+    region = rows.select(id_.alias("owner_id"), F.lit("p").alias("path"), odd.alias("start_line"), odd.alias("end_line"))
+    relation = node.limit(0).select(F.col("id").alias("owner_id"), F.col("name").alias("type"), F.col("id").alias("target_id"))
+    left = model.merge_actions(node, relation, region)[0].groupBy(F.col("parent_id").cast("long").alias("parent")).agg(F.count("*").alias("n_left"))
+    whole = rows.groupBy(F.col("l_orderkey").alias("parent")).agg(F.count("*").alias("n"))
+    return whole.join(left, "parent").select("parent", "n_left", (F.col("n") - F.col("n_left")).alias("n_gone"))
+
+
+@query("SELECT 'class:' || p_partkey || '' AS owner, unnest(['loop.' || lower(p_type), 'cached']) AS name, unnest([0, 1]) AS nth FROM part WHERE p_size % 2 = 0")
+def annotation_nodes(t: Tables) -> DataFrame:
+    given = F.when(F.col("p_size") % 2 == 0, F.array(F.concat(F.lit("loop."), F.lower("p_type")), F.lit("cached"))).otherwise(F.array().cast("array<string>"))
+    classes = t.part.select(F.concat(F.lit("class:"), F.col("p_partkey").cast("string")).alias("class_id"), given.alias("decorators"))
+    node, _ = model.annotations({"class_fact": classes, "callable_fact": classes.limit(0).withColumnRenamed("class_id", "callable_id")})
+    return node.select(F.col("parent_id").alias("owner"), "name", F.col("ord").cast("int").alias("nth"))
+
+
+@query("""
+(SELECT 'static' AS kind, l_orderkey::VARCHAR AS source, l_partkey::VARCHAR AS target FROM lineitem WHERE l_partkey = 7 OR l_orderkey = 7 ORDER BY l_returnflag, source, target LIMIT 30)
+UNION ALL (SELECT 'runtime', event_type, user_id::VARCHAR FROM events WHERE contains(user_id::VARCHAR, '7') OR contains('7', user_id::VARCHAR) ORDER BY event_type, user_id::VARCHAR LIMIT 20)""")
+def traceability(t: Tables) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    edges = t.lineitem.select(F.col("l_returnflag").alias("type"), text("l_orderkey").alias("source"), text("l_partkey").alias("target"))
+    seen = t.events.select(F.col("event_type").alias("source"), text("user_id").alias("target"))
+    return elements.traced(edges, seen, "7")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.kdm import model
 from factgraph.operators import matching, scoring, selection
 from factgraph.operators.lineage import cut
 from factgraph.plans.registry import Tables, query
@@ -362,3 +363,28 @@ def deduplicated_suggestions(t: Tables) -> DataFrame:
     rows = t.orders.select(
         k.alias("id"), F.when(F.col("o_custkey") % 10 > 0, F.concat(F.lit("k"), F.col("o_custkey").cast("string"))).alias("semantic_key"), F.when(k % 3 == 0, "llm:x").otherwise("dynamic").alias("source"), ((k % 8) / 8.0).cast("double").alias("confidence"), F.array("o_orderpriority").alias("evidence"))
     return selection.merge_suggestions(rows).withColumn("evidence", F.array_join("evidence", ","))
+
+
+@query(f"""
+WITH {_LOOP}, o AS (SELECT *, list_position({list(R.ROLE_ORDER)}, role) AS rank FROM mem WHERE role IN {tuple(R.CORE_ROLES)}),
+f AS (SELECT id AS source, role, lead(id) OVER w AS target, lead(role) OVER w AS next FROM o WINDOW w AS (PARTITION BY loop ORDER BY rank, ord, id)),
+e AS (SELECT DISTINCT source, target FROM f WHERE target IS NOT NULL AND role <> next), live AS (SELECT id FROM comp WHERE {_LIVE})
+SELECT metaclass, n FROM (SELECT 'StructureModel' AS metaclass, 1 AS n UNION ALL SELECT 'SoftwareSystem', 1 UNION ALL SELECT 'ArchitectureView', 1 UNION ALL SELECT 'Subsystem', 2 UNION ALL SELECT 'Component', (SELECT count(*) FROM live) + (SELECT count(*) FROM loops)
+  UNION ALL SELECT 'AggregatedRelationship', count(*) FROM e WHERE source IN (SELECT id FROM live) AND target IN (SELECT id FROM live))""")
+def structure_model_counts(t: Tables) -> DataFrame:
+    members, loops = _loops(t)
+    loops = cut(loops)
+    code = t.customer.select(F.concat(F.lit("code:"), F.col("c_custkey").cast("string")).alias("id"))
+    node, _, _ = model.structure_model(_components(t), loops, members, structure.flow_edges(members), code)
+    return node.groupBy("metaclass").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""
+WITH have AS (SELECT DISTINCT 'a' || o_custkey AS source, 'b' || (o_orderkey % 50) AS target FROM orders WHERE o_orderkey % 4 = 0)
+SELECT DISTINCT 'a' || o_custkey AS source, 'b' || (o_orderkey % 50) AS target, 'observes' AS type FROM orders WHERE o_orderkey % 3 = 0 AND ('a' || o_custkey, 'b' || (o_orderkey % 50)) NOT IN (SELECT (source, target) FROM have)""")
+def applied_suggestions(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    ends = [F.concat(F.lit("a"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("b"), (k % 50).cast("string")).alias("target")]
+    edges = t.orders.where(k % 4 == 0).select(*ends, F.lit("observes").alias("type"))
+    wanted = t.orders.select(F.when(k % 3 == 0, "add_relationship").otherwise("rename").alias("operation"), *ends, F.lit("observes").alias("relationship_type"))
+    return structure.apply_suggestions(edges, wanted)[0].select("source", "target", "type")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +106,59 @@ def project_findings(spark: SparkSession, config: dict[str, object], paths: tupl
         if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
             out.append(("SETUP-03", "error", f"{key}: {config[key]} does not exist"))
     return out
+
+
+def document_violations(spark: SparkSession, path: str, schema: dict[str, object]) -> DataFrame:
+    """(file, place, message) of documents against a JSON schema: type, required, enum, minimum, maximum, properties, items and local
+    $ref, at any depth. A document is judged by one task; nothing of it but its findings leaves it."""
+    import json
+
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    found = list(violations(json.loads(value), schema, schema, "$"))
+                except ValueError as e:
+                    found = [("$", f"no JSON: {e}")]
+                rows += [{"file": name, "place": place, "message": message} for place, message in found]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    return text.mapInArrow(run, "file string, place string, message string")
+
+
+_KINDS = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
+
+
+def violations(value: object, schema: dict, root: dict, place: str) -> Iterator[tuple[str, str]]:
+    """(place, message) for each part of value that schema does not allow."""
+    while "$ref" in schema:
+        target = root
+        for step in schema["$ref"].removeprefix("#/").split("/"):
+            target = target[step]
+        schema = target
+    kinds = schema.get("type")
+    if kinds is not None:
+        allowed = [kinds] if isinstance(kinds, str) else kinds
+        number = isinstance(value, int | float) and not isinstance(value, bool)
+        if not any(isinstance(value, _KINDS[k]) and (number or k not in ("integer", "number")) for k in allowed):
+            yield place, f"is no {' or '.join(allowed)}"
+            return
+    if "enum" in schema and value not in schema["enum"]:
+        yield place, "is not one of the allowed values"
+    if isinstance(value, int | float) and not isinstance(value, bool):
+        if value < schema.get("minimum", value) or value > schema.get("maximum", value):
+            yield place, "is out of range"
+    if isinstance(value, dict):
+        for key in schema.get("required", []):
+            if key not in value:
+                yield f"{place}.{key}", "is required"
+        for key, inner in schema.get("properties", {}).items():
+            if key in value:
+                yield from violations(value[key], inner, root, f"{place}.{key}")
+    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+        for k, x in enumerate(value):
+            yield from violations(x, schema["items"], root, f"{place}[{k}]")

@@ -337,3 +337,13 @@ def test_recovered_creates(spark):
     none = spark.createDataFrame([], "owner_id string, type string, target_id string")
     found = model.recovered_creates(t, none)
     assert found.count() == 2 and {r.target_id for r in found.collect()} == {"class:p.m.Odd"} and model.recovered_creates(t, local(found)).count() == 0
+
+
+def test_documents_against_a_schema(spark, tmp_path):
+    schema = {"type": "object", "required": ["version", "parts"], "properties": {"version": {"type": ["string", "null"]}, "parts": {"type": "array", "items": {"$ref": "#/$defs/part"}}},
+              "$defs": {"part": {"type": "object", "required": ["role"], "properties": {"role": {"enum": ["Monitor"]}, "confidence": {"type": "number", "minimum": 0, "maximum": 1}, "inner": {"$ref": "#/$defs/part"}}}}}
+    (tmp_path / "a.json").write_text('{"version": null, "parts": [{"role": "Monitor", "confidence": 1}]}')
+    (tmp_path / "b.json").write_text('{"version": 3, "parts": [{"role": "Wizard", "inner": {"confidence": 2}}, 7, {"role": "Monitor", "confidence": true}]}')
+    (tmp_path / "c.json").write_text("{")
+    got = {(r.file.rpartition("/")[2], r.place) for r in documents.document_violations(spark, str(tmp_path), schema).collect()}
+    assert got == {("b.json", "$.version"), ("b.json", "$.parts[0].role"), ("b.json", "$.parts[0].inner.role"), ("b.json", "$.parts[0].inner.confidence"), ("b.json", "$.parts[1]"), ("b.json", "$.parts[2].confidence"), ("c.json", "$")}
