@@ -1,6 +1,8 @@
 """WARC archives as a PySpark Python data source, read and written through pyarrow file systems.
 
-Reading plans one partition per group of archive files (a .warc.gz member stream is not split). Record-type and header
+Reading plans partitions of about `partitionBytes`: groups of small archive files, and ranges of large .warc.gz files, whose members
+(one for each record, as is customary) are found by their gzip and WARC signatures; a record belongs to the range that its
+member begins in. Plain .warc files are not split. Record-type and header
 predicates are pushed into the reader: as Spark filters on the columns `warc_type`, `record_id`, `target_uri`, `refers_to` and
 `payload_digest` (where spark.sql.python.filterPushdown.enabled is true; `register` sets it), and as the options `types` and
 `payload`. A record's WARC headers are parsed first; the body of an unwanted record, and any payload when `payload` is false,
@@ -42,6 +44,7 @@ SCHEMA = (
 HEADERS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "content_type": "content-type"}
 PUSHED = ("warc_type", "record_id", "target_uri", "refers_to", "payload_digest")
 CRLF, CHUNK = b"\r\n", 1 << 18
+GZIP, HEAD = b"\x1f\x8b\x08", 4096
 #: A digest with more pages than total / HOT_PARTS (and at least HOT_LEAST) is hot, so at most HOT_PARTS digests are.
 HOT_PARTS, HOT_LEAST = 2000, 1000
 
@@ -56,20 +59,25 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
 class _Stream:
     """Decompressed bytes of a sequence of gzip members (or plain bytes), with line reads and skips in bounded memory."""
 
-    def __init__(self, raw: io.IOBase, gz: bool):
+    def __init__(self, raw: io.IOBase, gz: bool, base: int = 0):
         self._raw, self._gz, self._buf, self._pos = raw, gz, b"", 0
         self._z = zlib.decompressobj(31) if gz else None
-        self._left = b""
+        self._left, self._taken = b"", base
+        #: Where in the file the member begins that was opened last.
+        self.member = base
 
     def _more(self) -> bool:
         while True:
-            data = self._left or self._raw.read(CHUNK)
+            data = self._left
+            if not data:
+                data = self._raw.read(CHUNK)
+                self._taken += len(data)
             self._left = b""
             if not data:
                 return False
             if self._z:
                 if self._z.eof:
-                    self._z = zlib.decompressobj(31)
+                    self._z, self.member = zlib.decompressobj(31), self._taken - len(data)
                 data, rest = self._z.decompress(data, 1 << 20), self._z
                 self._left = rest.unconsumed_tail or rest.unused_data
             if data:
@@ -119,13 +127,37 @@ def _header_block(lines: Iterator[bytes]) -> dict[str, str]:
     return out
 
 
-def records(stream: _Stream, wanted, payloads: bool) -> Iterator[tuple]:
-    """Rows of SCHEMA; wanted(headers) decides from the WARC headers alone whether a record's body is looked at."""
+def first_member(raw, start: int, end: int) -> int | None:
+    """Where the first gzip member with a WARC record begins in [start, end) of a file that can seek; None if there is none."""
+    raw.seek(start)
+    buf, base = b"", start
+    while base < end and (data := raw.read(CHUNK)):
+        buf += data
+        k = buf.find(GZIP)
+        while k >= 0 and base + k < end:
+            if len(buf) - k < HEAD:
+                buf += raw.read(CHUNK)
+            try:
+                if zlib.decompressobj(31).decompress(buf[k : k + HEAD], 8).startswith(b"WARC/"):
+                    return base + k
+            except zlib.error:
+                pass  # the signature occurs inside compressed data
+            k = buf.find(GZIP, k + 1)
+        keep = len(GZIP) - 1
+        base, buf = base + len(buf) - keep, buf[-keep:]
+    return None
+
+
+def records(stream: _Stream, wanted, payloads: bool, end: int | None = None) -> Iterator[tuple]:
+    """Rows of SCHEMA; wanted(headers) decides from the WARC headers alone whether a record's body is looked at. With end, only records
+    whose member begins before it."""
     while line := stream.line():
         if not line.startswith(b"WARC/"):
             if line.strip():
                 raise ValueError(f"no WARC record begins with {line[:40]!r}")
             continue
+        if end is not None and stream.member >= end:
+            return
         head = _header_block(iter(stream.line, b""))
         size = int(head.get("content-length") or 0)
         if not wanted(head):
@@ -152,8 +184,10 @@ def records(stream: _Stream, wanted, payloads: bool) -> Iterator[tuple]:
 
 
 @dataclass
-class Files(InputPartition):
-    paths: list[str]
+class Ranges(InputPartition):
+    """(path, start, end) of files or parts of them; end None: to the end."""
+
+    parts: list[tuple[str, int, int | None]]
 
 
 class WarcReader(DataSourceReader):
@@ -172,30 +206,41 @@ class WarcReader(DataSourceReader):
                 self._tests.append((HEADERS[name], values))
             yield f  # Spark checks it again
 
-    def partitions(self) -> list[Files]:
+    def partitions(self) -> list[Ranges]:
         store, path = open_fs(self._path)
-        target = int(self._options.get("partitionbytes", 64 << 20))
+        target = max(1, int(self._options.get("partitionbytes", 64 << 20)))
         found = store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
         files = sorted((f for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz")) and not f.base_name.startswith((".", "_"))), key=lambda f: f.path)
         out, size = [], target
         for f in files:
+            if f.size > target and f.base_name.endswith(".gz"):
+                n = -(-f.size // target)
+                out += [Ranges([(f.path, f.size * k // n, f.size * (k + 1) // n)]) for k in range(n)]
+                size = target
+                continue
             if size + f.size > target:
-                out.append(Files([]))
+                out.append(Ranges([]))
                 size = 0
-            out[-1].paths.append(f.path)
+            out[-1].parts.append((f.path, 0, None))
             size += f.size
-        return out or [Files([])]
+        return out or [Ranges([])]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Ranges) -> Iterator[tuple]:
         store, _ = open_fs(self._path)
         tests, payloads = self._tests, self._options.get("payload", "true").lower() != "false"
 
         def wanted(head: dict[str, str]) -> bool:
             return all(head.get(h) is not None if v is None else head.get(h) in v for h, v in tests)
 
-        for path in partition.paths:
-            with store.open_input_stream(path, compression=None) as raw:
-                yield from records(_Stream(raw, path.endswith(".gz")), wanted, payloads)
+        for path, start, end in partition.parts:
+            if end is None:
+                with store.open_input_stream(path, compression=None) as raw:
+                    yield from records(_Stream(raw, path.endswith(".gz")), wanted, payloads)
+                continue
+            with store.open_input_file(path) as raw:
+                if (at := first_member(raw, start, end)) is not None:
+                    raw.seek(at)
+                    yield from records(_Stream(raw, True, at), wanted, payloads, end)
 
 
 @dataclass
