@@ -81,12 +81,15 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = HEADINGS | frozenset("p ul ol dl blockquote pre table figure figcaption hgroup details address".split())
 
 
-def _named(value: str, hints: frozenset[str]) -> bool:
-    """Whether one of the names in a class or id value says boilerplate: all its parts are hints, neutral or numbers."""
+def _named(value: str, weak: bool) -> bool:
+    """Whether one of the names in a class or id value says boilerplate: all its parts are hints, neutral, numbers or, beside a hint,
+    the kind of text it belongs to (`post-comments`). weak: words of WEAK_HINTS are hints as well, if no kind of text is beside."""
     for name in value.split():
         parts = _NAMES.findall(name)
-        if any(x in hints for x in parts) and all(x in hints or x in HINTS or x in NEUTRAL or x.isdigit() for x in parts):
-            return True
+        plain = [x for x in parts if x not in CONTENT_HINTS]
+        if all(x in HINTS or x in NEUTRAL or x.isdigit() for x in plain):
+            if any(x in HINTS for x in plain) or (weak and len(plain) == len(parts) and any(x in WEAK_HINTS for x in plain)):
+                return True
     return False
 
 
@@ -104,7 +107,7 @@ def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool | None:
         if name == "role" and not ROLES.isdisjoint(value.split()):
             return True
         if name in ("class", "id"):
-            hinted = hinted or _named(value, HINTS if inside else HINTS | WEAK_HINTS)
+            hinted = hinted or _named(value, not inside)
             content = content or not CONTENT_HINTS.isdisjoint(value.split())
     return None if hinted and not content else False
 

@@ -127,6 +127,10 @@ def test_probes_of_names_headings_and_comments():
     assert main_text(f"<div><p>{text}</p><h3>Leave a reply</h3><p>{text} x</p></div>") == text
     assert main_text(f"<div><div class='reader-comments'><p>{text} {text} x</p></div><div><p>{text}</p></div></div>") == text
     assert main_text(f"<article><p>{text}</p><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><p>end</p></article>") == text + " end"
+    for name in ("post-comments", "article-sidebar", "main_nav", "related-posts", "comment-list-2", "entry-share-buttons"):
+        assert main_text(f"<div><div><p>{text}</p></div><div class='x {name}'><p>{text} y</p></div></div>") == text
+    for name in ("post-header", "story-of-menus", "commentary", "article-body", "newsroom"):
+        assert main_text(f"<div class='{name}'><p>{text}</p></div>") == text
     assert main_text(f"<main><p>short</p><div><p>{text}</p><p>{text}</p></div></main>") == f"short {text} {text}"
 
 
