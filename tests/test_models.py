@@ -347,3 +347,19 @@ def test_documents_against_a_schema(spark, tmp_path):
     (tmp_path / "c.json").write_text("{")
     got = {(r.file.rpartition("/")[2], r.place) for r in documents.document_violations(spark, str(tmp_path), schema).collect()}
     assert got == {("b.json", "$.version"), ("b.json", "$.parts[0].role"), ("b.json", "$.parts[0].inner.role"), ("b.json", "$.parts[0].inner.confidence"), ("b.json", "$.parts[1]"), ("b.json", "$.parts[2].confidence"), ("c.json", "$")}
+
+
+def test_first_seen_edges_on_a_stream(spark, tmp_path):
+    """State is bounded by the watermark, and batches that run twice add nothing."""
+    rows = [("a", "b", "calls", 0), ("a", "b", "calls", 10), ("a", "b", "returns", 20), ("c", "d", "calls", 30)]
+    frame = spark.createDataFrame(rows, "source string, target string, type string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    q = trace.first_seen(stream, late="1 hour").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.source, r.target, r.type) for r in spark.table("seen").collect()} == {r[:3] for r in rows}
+    put = trace.merge_batches(str(tmp_path / "edges"))
+    q = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    put(frame, 0)
+    assert spark.read.parquet(str(tmp_path / "edges")).count() == 3
