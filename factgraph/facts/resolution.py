@@ -162,7 +162,7 @@ def typed_names(t: Tables, imports: DataFrame) -> DataFrame:
     v = t["variable"].withColumn("text", text)
     none = F.lit(None).cast("string")
     attrs = v.where("scope = 'instance_attribute'").select("module_id", F.lit("A").alias("space"), key(F.col("owner_id"), F.col("full_name")).alias("key"), "ord", "text", none.alias("implied"))
-    local = v.where("scope = 'local' and text is not null").join(owner, "owner_qn").select("module_id", F.lit("L").alias("space"), key(F.col("callable_id"), F.col("name")).alias("key"), "ord", "text", none.alias("implied"))
+    local = v.where("scope = 'local' and text is not null").join(owner, "owner_qn").select("module_id", F.lit("L").alias("space"), key(F.col("callable_id"), F.col("name")).alias("key"), "ord", "text", F.when(F.col("text") == "cls", F.col("class_id")).alias("implied"))
     p = t["parameter"].join(owner.select("callable_id", F.col("class_id").alias("own")), "callable_id", "left")
     params = p.select("module_id", F.lit("P").alias("space"), key(F.col("callable_id"), F.col("name")).alias("key"), F.col("idx").alias("ord"), F.col("annotation").alias("text"), F.when(F.col("name").isin("self", "cls"), F.col("own")).alias("implied"))
     mentions = cut(attrs.unionByName(local).unionByName(params))
@@ -175,6 +175,30 @@ def typed_names(t: Tables, imports: DataFrame) -> DataFrame:
     return selection.keep_first(named.unionByName(context), ["space", "key"], ["ord"]).select("space", "key", "type_name", "class_id")
 
 
+def parameter_types(t: Tables, imports: DataFrame) -> DataFrame:
+    """(callable_id, idx, name, type_resolution, type_name, type_id) of every parameter: self and cls have the class around them."""
+    own = t["callable_fact"].select("callable_id", F.col("class_id").alias("own")).dropDuplicates(["callable_id"])
+    rows = resolve_types(t["parameter"], "annotation", t, imports).join(own, "callable_id", "left")
+    implied = F.col("name").isin("self", "cls") & F.col("own").isNotNull()
+    return rows.select("callable_id", "idx", "name", F.when(implied, F.col("name")).otherwise(F.col("type_resolution")).alias("type_resolution"), F.when(implied, F.regexp_replace("own", "^class:", "")).otherwise(F.col("type_name")).alias("type_name"), F.when(implied, F.col("own")).otherwise(F.col("type_id")).alias("type_id"))
+
+
+def variable_types(t: Tables, imports: DataFrame) -> DataFrame:
+    """(owner_id, scope, name, type_resolution, type_name, type_id) of every variable with a type mention; a local that cls() made has
+    the class of its callable (cls_constructor)."""
+    own = t["callable_fact"].select(F.col("qn").alias("owner_id"), F.col("class_id").alias("own")).dropDuplicates(["owner_id"])
+    rows = resolve_types(t["variable"].withColumn("text", F.coalesce("annotation", "assigned_type")), "text", t, imports).where("text is not null").join(own, "owner_id", "left")
+    made = (F.col("text") == "cls") & F.col("own").isNotNull()
+    return rows.select("owner_id", "scope", "name", F.when(made, "cls_constructor").otherwise(F.col("type_resolution")).alias("type_resolution"), F.when(made, F.regexp_replace("own", "^class:", "")).otherwise(F.col("type_name")).alias("type_name"), F.when(made, F.col("own")).otherwise(F.col("type_id")).alias("type_id"))
+
+
+def unresolved_summary(calls: DataFrame, k: int = 10, examples: int = 15) -> tuple[DataFrame, DataFrame]:
+    """The k most frequent groups of unresolved calls (prefix, n), and the first examples (callable_id, name, line) by position."""
+    lost = calls.where(~is_resolved(F.col("classification")) & (F.col("classification") != "external"))
+    groups = selection.top_k(lost.select(names.receiver_prefix(F.col("name")).alias("prefix")), ["prefix"], k)
+    return groups, lost.select("callable_id", "ord", "name", "line").orderBy("callable_id", "ord").limit(examples).drop("ord")
+
+
 def with_receivers(calls: DataFrame, typed: DataFrame) -> DataFrame:
     """calls (row, own_class, callable_id, receiver) with what the receiver is in each space (a, p, c, l) and the type of a chain's
     base: all looked up by one join."""

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.operators.lineage import cut
+
 
 @dataclass(frozen=True)
 class Tier:
@@ -78,7 +80,8 @@ def resolve_probes(facts: DataFrame, row_id: str, probes: list[Probe], dimension
     dimension (space, key, id) holds the keys of all tiers and is reduced to (n, least id) per key first. Each fact becomes a few
     (probe, space, key) rows, which meet the dimension, and the first probe that finds something is the least struct of the
     fact. facts should be cut and row_id unique and stable."""
-    dim = candidates(dimension, ["space", "key"], "id").withColumn("first", F.col("first").cast("string"))
+    # cut, so that both sides of the join come from plain exchanges and a hot key (a very common method name) can be split
+    dim = cut(candidates(dimension, ["space", "key"], "id").withColumn("first", F.col("first").cast("string")))
     on = [F.coalesce(p.when, F.lit(False)) for p in probes]
     asked = F.array_compact(F.array(*(F.when(w & p.key.isNotNull(), F.struct(F.lit(k).alias("probe"), F.lit(p.space).alias("space"), p.key.cast("string").alias("key"))) for k, (p, w) in enumerate(zip(probes, on, strict=True)) if p.key is not None)))
     rows = facts.select(F.col(row_id).alias("__row"), F.explode(asked).alias("a")).select("__row", "a.*")

@@ -351,3 +351,19 @@ def traceability(t: Tables) -> DataFrame:
     edges = t.lineitem.select(F.col("l_returnflag").alias("type"), text("l_orderkey").alias("source"), text("l_partkey").alias("target"))
     seen = t.events.select(F.col("event_type").alias("source"), text("user_id").alias("target"))
     return elements.traced(edges, seen, "7")
+
+
+@query(f"SELECT type_resolution, n FROM ({_SIZES}), LATERAL (SELECT unnest(['self', 'builtin', 'resolved', NULL]) AS type_resolution, unnest([np + nc + 5, np, np, np + 1]) AS n)")
+def parameter_types(t: Tables) -> DataFrame:
+    f = facts(t)
+    types = resolution.parameter_types(f, cut(resolution.resolve_imports(f, "shop")))
+    return types.groupBy("type_resolution").agg(F.count("*").alias("n"))
+
+
+_LOST = f"SELECT name FROM ({_EACH_CALL}) WHERE classification NOT IN {('constructor', 'external', *_GOOD)}"
+
+
+@query(f"""
+SELECT CASE WHEN starts_with(name, 'self.') THEN 'self.*' WHEN starts_with(name, 'super') THEN 'super.*' WHEN contains(name, '.') THEN split_part(name, '.', 1) || '.*' ELSE name END AS prefix, count(*) AS n FROM ({_LOST}) GROUP BY 1 ORDER BY n DESC, prefix LIMIT 10""")
+def unresolved_call_groups(t: Tables) -> DataFrame:
+    return resolution.unresolved_summary(_resolved(t)[2])[0]

@@ -163,3 +163,54 @@ def test_scan_skips_ignored_folders(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("x = 1\n")
     assert sorted(r.path for r in python_source.scan(spark, str(tmp_path)).collect()) == ["a.py", "pkg/b.py"]
+
+
+def test_receivers_of_every_tier(spark):
+    """Chains on builtins, with variables, cls(), inherited methods of several bases, and super without bases."""
+    code = """
+class A:
+    def one(self):
+        pass
+
+class B:
+    def one(self):
+        pass
+
+class C(A, B):
+    @classmethod
+    def make(cls, name: "Optional[str]", rows: List[int]):
+        x = cls()
+        x.own()
+        x.one()
+        name.strip().title()
+        rows.append(1)
+        with open(name) as f, lock as g:
+            f.read()
+            g.release()
+        return x
+
+    def own(self):
+        super().one()
+
+class D:
+    def go(self, c: C):
+        super().go()
+        c.one()
+        c.make("a", [])
+"""
+    files = local(python_source.parsed(spark.createDataFrame([("m.py", bytearray(code.encode()))], "path string, content binary"), "p"))
+    t = {k: local(v) for k, v in python_source.tables(files).items()}
+    imports = local(resolution.resolve_imports(t, "p"))
+    got = {(r.callable_id.rpartition(".")[2], r.name): (r.classification, r.target_id, r.n_candidates) for r in resolution.resolve_method_calls(t, imports).collect()}
+    assert got[("make", "x.own")] == ("internal", "method:p.m.C.own", 0) and got[("make", "x.one")] == ("internal_ambiguous", None, 2)
+    assert got[("make", "name.strip.title")][:2] == ("builtin_type_method", "builtin_type:str.title") and got[("make", "name.strip")][1] == "builtin_type:str.strip"
+    assert got[("make", "rows.append")][1] == "builtin_type:list.append"
+    assert got[("make", "f.read")][1] == "external_type:io.TextIOWrapper.read" and got[("make", "g.release")][0] == "unresolved_method_on_context_variable"
+    assert got[("own", "super.one")] == ("internal_ambiguous", None, 2) and got[("go", "super.go")][0] == "unresolved_super_call"
+    assert got[("go", "c.one")] == ("internal_ambiguous", None, 2) and got[("go", "c.make")][1] == "method:p.m.C.make"
+    types = {(r.name, r.type_resolution, r.type_id) for r in resolution.variable_types(t, imports).collect()}
+    assert ("x", "cls_constructor", "class:p.m.C") in types
+    kinds = {(r.name, r.type_resolution, r.type_name) for r in resolution.parameter_types(t, imports).collect()}
+    assert {("cls", "cls", "p.m.C"), ("self", "self", "p.m.D"), ("c", "resolved", "C"), ("name", "builtin", "str"), ("rows", "builtin", "list")} <= kinds
+    calls = resolution.resolve_method_calls(t, imports)
+    assert {r.candidate for r in resolution.method_candidates(t, calls.where("name = 'x.one'")).collect()} == {"method:p.m.A.one", "method:p.m.B.one"}
