@@ -267,14 +267,15 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node in links (a, b): root is the least node that it reaches.
 
     Alternating large-star and small-star steps; each round is written to the shared folder, so a lost executor costs one
-    round. It ends when a round changes nothing."""
+    round. Least neighbours are written before they are joined: both sides of a join then come from plain exchanges, and Spark
+    splits the rows of a centre that a large group shares. It ends when a round changes nothing."""
     edges = common.written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = common.written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("x"), "m").select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v"))
         edges = common.written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
