@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in spark.checkpoint.dir, which all executors share. Where that is unset, a single machine takes a folder of
-    its own; a cluster has none that all executors see, so that is an error."""
-    context = df.sparkSession.sparkContext
+    its own; a cluster has none that all its executors see, so that is an error.
+
+    A checkpoint keeps the size that the optimizer guessed for its plan, from the size of the files read: for rows that were parsed or
+    exploded that is far too little, and tables of any size would be broadcast through the driver. So the checkpoint's rows are taken
+    as a table of unknown size: only joins whose input was measured, after its shuffle, become broadcasts."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="factgraph-"))
-    return df.checkpoint()
+    kept = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)

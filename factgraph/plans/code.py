@@ -272,7 +272,7 @@ def model_metaclass_counts(t: Tables) -> DataFrame:
 
 @query(f"SELECT DISTINCT 'sourcefile:' || substr(sha1(x), 1, 12) AS file_id, x AS name FROM (SELECT replace(lower(p_brand), '#', '_') || '.py' AS x FROM part UNION ALL VALUES ('base.py'), ('other.py'))")
 def inventory(t: Tables) -> DataFrame:
-    return model.nodes(facts(t), "shop").where("metaclass = 'SourceFile'").select(F.col("id").alias("file_id"), "name")
+    return model.source_files(sources(t)).select(F.col("id").alias("file_id"), "name")
 
 
 @query(f"""

@@ -40,22 +40,24 @@ def component_names(seen: DataFrame, implemented: DataFrame, name: str = "name")
     """(name, component) of runtime names: the components whose reference is the name; if there are none, all whose normalised
     reference equals the name, is a dotted tail of it, has it as a tail, or shares its last two segments.
 
-    implemented (reference, component). Tails are exploded on both sides, so every test is an equi-join."""
+    implemented (reference, component). Each test is an equi-join of its own space of keys, so only rows that fit meet: a last segment
+    that all names share is a tail on both sides, which is no test."""
 
-    def keyed(df: DataFrame, text: Column, *more: str) -> DataFrame:
+    def keyed(df: DataFrame, text: Column, whole: list[str], tail: str, *more: str) -> DataFrame:
+        """Keys by space: the whole text in the given spaces, its tails in one of them, its last two segments in a third."""
         parts = F.split(normalised(text), r"\.")
-        tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.struct(F.lit("tail").alias("how"), F.array_join(F.slice(parts, k, F.size(parts)), ".").alias("key")))
-        two = F.when(F.size(parts) >= 2, F.struct(F.lit("two").alias("how"), F.array_join(F.slice(parts, -2, 2), ".").alias("key")))
-        whole = F.struct(F.lit("whole").alias("how"), F.array_join(parts, ".").alias("key"))
-        keys = F.concat(F.array_compact(F.array(whole, two)), F.when(F.size(parts) >= 2, tails).otherwise(F.array().cast("array<struct<how:string,key:string>>")))
-        return df.select(*more, F.explode(keys).alias("k")).select(*more, "k.how", "k.key")
+        key = lambda space, k: F.struct(F.lit(space).alias("space"), k.alias("key"))
+        tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: key(tail, F.array_join(F.slice(parts, k, F.size(parts)), ".")))
+        two = F.when(F.size(parts) >= 2, key("two", F.array_join(F.slice(parts, -2, 2), ".")))
+        keys = F.concat(F.array_compact(F.array(*(key(space, F.array_join(parts, ".")) for space in whole), two)), F.when(F.size(parts) >= 2, tails).otherwise(F.array().cast("array<struct<space:string,key:string>>")))
+        return df.select(*more, F.explode(keys).alias("k")).select(*more, "k.space", "k.key")
 
     asked = seen.select(F.col(name).alias("name")).where("name is not null").distinct()
     exact = asked.join(implemented.select(F.col("reference").alias("name"), "component"), "name").distinct()
-    a = keyed(asked.join(exact.select("name").distinct(), "name", "left_anti"), F.col("name"), "name").withColumnRenamed("how", "a")
-    b = keyed(implemented, F.col("reference"), "component").withColumnRenamed("how", "b")
-    fits = "(a = 'whole' and b = 'whole') or (a = 'tail' and b = 'whole') or (a = 'whole' and b = 'tail') or (a = 'two' and b = 'two')"
-    return exact.unionByName(a.join(b, "key").where(fits).select("name", "component")).distinct()
+    # in "in" a name or its tails meet a whole reference, in "out" a name meets the tails of a reference
+    a = keyed(asked.join(exact.select("name").distinct(), "name", "left_anti"), F.col("name"), ["in", "out"], "in", "name")
+    b = keyed(implemented, F.col("reference"), ["in"], "out", "component")
+    return exact.unionByName(a.join(b, ["space", "key"]).select("name", "component")).distinct()
 
 
 def runtime_call_actions(edges: DataFrame, known: DataFrame, static: DataFrame) -> DataFrame:
