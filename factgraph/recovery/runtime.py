@@ -41,7 +41,8 @@ def component_names(seen: DataFrame, implemented: DataFrame, name: str = "name")
     reference equals the name, is a dotted tail of it, has it as a tail, or shares its last two segments.
 
     implemented (reference, component). Each test is an equi-join of its own space of keys, so only rows that fit meet: a last segment
-    that all names share is a tail on both sides, which is no test."""
+    that all names share is a tail on both sides, which is no test. Both sides grow with the input, and keys are more than the
+    optimizer guesses, so no side may be broadcast (merge hints)."""
 
     def keyed(df: DataFrame, text: Column, whole: list[str], tail: str, *more: str) -> DataFrame:
         """Keys by space: the whole text in the given spaces, its tails in one of them, its last two segments in a third."""
@@ -53,11 +54,11 @@ def component_names(seen: DataFrame, implemented: DataFrame, name: str = "name")
         return df.select(*more, F.explode(keys).alias("k")).select(*more, "k.space", "k.key")
 
     asked = seen.select(F.col(name).alias("name")).where("name is not null").distinct()
-    exact = asked.join(implemented.select(F.col("reference").alias("name"), "component"), "name").distinct()
+    exact = asked.join(implemented.select(F.col("reference").alias("name"), "component").hint("merge"), "name").distinct()
     # in "in" a name or its tails meet a whole reference, in "out" a name meets the tails of a reference
-    a = keyed(asked.join(exact.select("name").distinct(), "name", "left_anti"), F.col("name"), ["in", "out"], "in", "name")
+    a = keyed(asked.join(exact.select("name").distinct().hint("merge"), "name", "left_anti"), F.col("name"), ["in", "out"], "in", "name")
     b = keyed(implemented, F.col("reference"), ["in"], "out", "component")
-    return exact.unionByName(a.join(b, ["space", "key"]).select("name", "component")).distinct()
+    return exact.unionByName(a.join(b.hint("merge"), ["space", "key"]).select("name", "component")).distinct()
 
 
 def runtime_call_actions(edges: DataFrame, known: DataFrame, static: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factgraph.kdm import model
 from factgraph.operators.lineage import cut
 from factgraph.plans import code
+from factgraph.recovery import runtime
 from factgraph.sources import python_source
 
 TEXTS = [
@@ -57,3 +58,21 @@ def test_the_inventory_does_not_read_its_files(spark):
     t = {"module": spark.createDataFrame([("a/x.py", None), ("b/x.py", "SyntaxError")], "path string, parse_error string")}
     assert sorted(r[:] for r in model.source_files(files).collect()) == sorted(r[:] for r in model.source_files(t["module"]).collect())
     assert [r.name for r in model.source_files(files).collect()] == ["x.py", "x.py"]
+
+
+def test_names_that_share_a_tail_do_not_meet(spark):
+    """Names and references all end in run; only what fits may come out of the join, whose rows are counted."""
+    asked = spark.range(300).selectExpr("concat('a.P', id, '.run') as name").unionByName(spark.sql("select 'run' as name"))
+    implemented = spark.range(300).selectExpr("concat('b.Q', id, '.run') as reference", "concat('c', id) as component")
+    out = runtime.component_names(asked, implemented)
+    assert {(r.name, r.component) for r in out.collect()} == {("run", f"c{k}") for k in range(300)}
+    plan, joined, seen = out._jdf.queryExecution().executedPlan(), [], []
+    seen.append(plan.executedPlan() if hasattr(plan, "executedPlan") else plan)
+    while seen:
+        node = seen.pop()
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            joined.append(node.metrics().apply("numOutputRows").value())
+        if "QueryStage" in node.nodeName():
+            seen.append(node.plan())
+        seen += [node.children().apply(k) for k in range(node.children().size())]
+    assert joined and max(joined) <= 600
