@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factgraph.kdm import model
 from factgraph.operators.lineage import cut
 from factgraph.plans import code
-from factgraph.recovery import runtime
+from factgraph.recovery import runtime, structure
 from factgraph.sources import python_source
 
 TEXTS = [
@@ -76,3 +76,15 @@ def test_names_that_share_a_tail_do_not_meet(spark):
             seen.append(node.plan())
         seen += [node.children().apply(k) for k in range(node.children().size())]
     assert joined and max(joined) <= 600
+
+
+def test_knowledge_edges_need_no_shuffle_of_pairs(spark):
+    """Loops overlap, so pairs meet in several of them; each comes out once, and no exchange or aggregate stands above the last join."""
+    rows = [(f"L{k % 5}", f"u{k}", "Monitor") for k in range(40)] + [(loop, "all", "Planner") for loop in ("L0", "L1", "L2", "L3", "L4")]
+    rows += [("L0", "k0", "Knowledge"), ("L1", "k0", "Knowledge"), ("L4", "k4", "Knowledge"), ("L4", "all", "Knowledge"), ("a,1:b", "v", "Monitor"), ("a", "k4", "Knowledge"), (None, "v", "Monitor"), (None, "k0", "Knowledge")]
+    members = spark.createDataFrame(rows, "loop string, component_id string, role string")
+    wanted = {(a[1], b[1]) for a in rows for b in rows if a[0] is not None and a[0] == b[0] and a[2] != "Knowledge" and b[2] == "Knowledge" and a[1] != b[1]}
+    out = structure.knowledge_edges(members)
+    assert sorted((r.source, r.target) for r in out.collect()) == sorted(wanted)
+    above = out._jdf.queryExecution().sparkPlan().toString().partition("Join")[0]
+    assert "Aggregate" not in above and "Exchange" not in above
