@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factgraph.facts import elements, normalised, resolution
 from factgraph.kdm import model, validation, xmi
-from factgraph.operators.lineage import cut
+from factgraph.operators.lineage import Written, cut, written
 from factgraph.plans.registry import Tables, query
 from factgraph.sources import python_source
 
@@ -129,6 +129,12 @@ def facts(t: Tables) -> dict[str, DataFrame]:
     return python_source.tables(cut(python_source.parsed(sources(t), "shop")))
 
 
+def model_facts(t: Tables) -> dict[str, DataFrame]:
+    """The facts for a whole model, which reads each of their tables many times: they are written, calls without their arguments."""
+    f = python_source.tables(written(python_source.parsed(sources(t), "shop")))
+    return Written(f | {"call_fact": f["call_fact"].drop("arguments", "keyword_arguments")})
+
+
 def _all_calls(f: dict[str, DataFrame], imports: DataFrame) -> DataFrame:
     columns = [*f["call_fact"].columns, "classification", "target_id", "n_candidates"]
     return cut(resolution.resolve_function_calls(f, imports).select(*columns).unionByName(resolution.resolve_method_calls(f, imports).select(*columns)))
@@ -275,25 +281,30 @@ def inventory(t: Tables) -> DataFrame:
     return model.source_files(sources(t)).select(F.col("id").alias("file_id"), "name")
 
 
+def _model_relations(f: dict[str, DataFrame], imports: DataFrame, calls: DataFrame, more: DataFrame) -> DataFrame:
+    return model.relations(f, imports, calls, written(resolution.synchronised(f, calls))).unionByName(more)
+
+
 @query(f"""
 SELECT type, n FROM ({_SIZES}), LATERAL (SELECT unnest(['Calls', 'Creates', 'Imports', 'Extends', 'Reads', 'Writes', 'Throws', 'HasType', 'HasValue', 'Flow']) AS type, unnest([
   {_sum(_calls("external", *_GOOD))} + 1, {_sum(_calls("constructor"))}, 3 * nb + 1, nc + 1, {_sum(lambda c: c.reads)} + 2, 3 * nc + {_sum(lambda c: c.writes)}, {_sum(lambda c: c.throws)},
   2 * np + nc + {_sum(lambda c: c.typed)}, {_sum(lambda c: c.values)} + 1, 2 * nc + {_sum(lambda c: c.flows)}]) AS n) WHERE n > 0""")
 def model_relations(t: Tables) -> DataFrame:
     f, imports, calls = _resolved(t)
-    _, more = model.detail(f, imports)
-    relations = model.relations(f, imports, calls, cut(resolution.synchronised(f, calls))).unionByName(more)
+    relations = _model_relations(f, imports, calls, model.detail(f, imports)[1])
     return relations.groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT * FROM (VALUES ('KDM-BLOCK-01', 'warning', 0)) AS x(rule_id, level, n) WHERE n > 0")
 def model_findings(t: Tables) -> DataFrame:
     """The validators over the whole model: it has no error."""
-    f, imports, calls = _resolved(t)
+    f = model_facts(t)
+    imports = cut(resolution.resolve_imports(f, "shop"))
+    calls = _all_calls(f, imports)
     nodes, more = model.detail(f, imports)
-    nodes = cut(model.nodes(f, "shop").unionByName(model.external_nodes(calls, imports)).unionByName(nodes))
-    relations = cut(model.relations(f, imports, calls, cut(resolution.synchronised(f, calls))).unionByName(more))
-    found = validation.validate(nodes, relations, model.attributes(f), model.regions(f)).where("rule_id <> 'KDM-REL-01'")
+    nodes = written(model.nodes(f, "shop").unionByName(model.external_nodes(calls, imports)).unionByName(nodes))
+    relations = written(_model_relations(f, imports, calls, more))
+    found = validation.validate(nodes, relations, written(model.attributes(f)), written(model.regions(f))).where("rule_id <> 'KDM-REL-01'")
     return found.groupBy("rule_id", "level").agg(F.count("*").cast("int").alias("n"))
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from factgraph.facts import resolution
 from factgraph.kdm import model, validation, xmi
 from factgraph.operators import graphs
+from factgraph.operators.lineage import written
+from factgraph.plans import code
+from factgraph.plans.registry import Tables
 from factgraph.recovery import roles, structure
 from factgraph.review import findings
 from factgraph.sources import documents, python_source
@@ -88,6 +91,21 @@ def test_xmi_round_trip(spark, built, tmp_path):
     assert open(path).read() == open(again).read()
 
 
+def test_model_reads_only_the_columns_of_written_facts(spark):
+    t = code.model_facts(Tables(spark, "/root/testdata/sf0.001"))
+    assert "arguments" not in t["call_fact"].columns and t["body_node"] is t["body_node"]
+    for rows, wide in ((model.flows(t), "walk_ord"), (model.regions(t), "condition"), (model.accesses(t), "decorators")):  # relations, findings, both
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "parquet" in plan and "explode(body" not in plan and "parse_error" not in plan and wide not in plan
+
+
+def test_written_tables_are_not_small_because_they_compress(spark):
+    rows = spark.range(60000).select(F.col("id"), F.lit("x" * 1000).alias("text"))
+    back = written(rows)
+    join = back.join(spark.range(10**8).withColumnRenamed("id", "other"), F.col("text") == F.col("other").cast("string"))
+    assert back.count() == 60000 and "BroadcastHashJoin" not in join._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gate(spark):
     rows = [("low", "helper"), ("mid", "adaptive-loop"), ("mid", "sensor.read"), ("mid", "state"), ("all", "self_adaptive monitor analyzer planner"), ("all", "sensor apply knowledge")]
     got = {r.project: r for r in roles.gate(spark.createDataFrame(rows, "project string, text string")).collect()}
