@@ -290,8 +290,9 @@ SELECT type, n FROM ({_SIZES}), LATERAL (SELECT unnest(['Calls', 'Creates', 'Imp
   {_sum(_calls("external", *_GOOD))} + 1, {_sum(_calls("constructor"))}, 3 * nb + 1, nc + 1, {_sum(lambda c: c.reads)} + 2, 3 * nc + {_sum(lambda c: c.writes)}, {_sum(lambda c: c.throws)},
   2 * np + nc + {_sum(lambda c: c.typed)}, {_sum(lambda c: c.values)} + 1, 2 * nc + {_sum(lambda c: c.flows)}]) AS n) WHERE n > 0""")
 def model_relations(t: Tables) -> DataFrame:
-    f, imports, calls = _resolved(t)
-    relations = _model_relations(f, imports, calls, model.detail(f, imports)[1])
+    f = model_facts(t)
+    imports = cut(resolution.resolve_imports(f, "shop"))
+    relations = _model_relations(f, imports, _all_calls(f, imports), model.detail(f, imports)[1])
     return relations.groupBy("type").agg(F.count("*").alias("n"))
 
 
