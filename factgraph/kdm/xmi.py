@@ -8,7 +8,7 @@ from xml.sax.saxutils import quoteattr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.operators.lineage import cut
+from factgraph.operators.lineage import cut, written
 
 # Packages of the metaclasses and namespace addresses of the format.
 PACKAGE = {
@@ -40,7 +40,8 @@ def lines(node: DataFrame, relation: DataFrame, attribute: DataFrame) -> DataFra
     """(path, depth, feature, opening, inner) of each element; path sorts elements in document order.
 
     Relations and tagged values are elements of the features that the metamodel gives them, references of structure elements are
-    attributes. Paths grow level by level, one join for each level of the tree, until no level is left, so no depth is cut."""
+    attributes. Paths grow level by level, one join for each level of the tree, until no level is left, so no depth is cut. Only the
+    elements that hold others take part in that, with their ids alone; all elements meet the paths of their parents once, at the end."""
     package = F.create_map(*(F.lit(x) for kv in PACKAGE.items() for x in kv))
     feature = F.create_map(*(F.lit(x) for k, (f, p) in RELATION_FEATURE.items() for x in (k, f"{f} xsi:type=\"{p}:{k}\"")))
     part = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
@@ -54,17 +55,22 @@ def lines(node: DataFrame, relation: DataFrame, attribute: DataFrame) -> DataFra
     full = node.join(rel, "id", "left").join(att, "id", "left").join(held, "id", "left")
     kind = F.concat(F.lit(' xsi:type="'), F.coalesce(F.try_element_at(package, F.col("metaclass")), F.lit("code")), F.lit(":"), "metaclass", F.lit('"'))
     opening = F.concat(F.lit("<"), "feature", kind, F.lit(" xmi:id="), _quoted(F.col("id")), F.coalesce(F.concat(F.lit(" name="), _quoted(F.col("name"))), F.lit("")), F.coalesce(F.concat(F.lit(" kind="), _quoted(F.col("kind"))), F.lit("")), F.coalesce("refs", F.lit("")))
-    full = cut(full.select("id", "parent_id", "feature", F.concat(part("ord"), F.lit(":"), "id").alias("step"), opening.alias("opening"), F.concat(F.coalesce("atts", none), F.coalesce("rels", none)).alias("inner")))
-    level = full.where("parent_id is null").withColumn("path", F.col("step")).withColumn("depth", F.lit(0))
-    out, rest, d = level, full.where("parent_id is not null"), 0
+    full = written(full.select("id", "parent_id", "feature", F.concat(part("ord"), F.lit(":"), "id").alias("step"), opening.alias("opening"), F.concat(F.coalesce("atts", none), F.coalesce("rels", none)).alias("inner")))
+    root, rest = full.where("parent_id is null"), full.where("parent_id is not null")
+    holds = cut(full.select("id", "parent_id", "step").join(rest.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi"))
+    level = holds.where("parent_id is null").select("id", F.col("step").alias("path"), F.lit(0).alias("depth"))
+    paths, d = level, 0
     while not level.isEmpty():
         d += 1
         above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = cut(rest.join(above, "parent_id").withColumn("path", F.concat_ws("/", "above", "step")).withColumn("depth", F.lit(d)).select(*out.columns))
-        out = out.unionByName(level)
+        level = cut(holds.join(above, "parent_id").select("id", F.concat_ws("/", "above", "step").alias("path"), F.lit(d).alias("depth")))
+        paths = paths.unionByName(level)
         if d % 16 == 0:
-            out = cut(out)
-    return out.select("path", "depth", "feature", "opening", "inner").orderBy("path")
+            paths = cut(paths)
+    columns = ["path", "depth", "feature", "opening", "inner"]
+    above = paths.select(F.col("id").alias("parent_id"), F.col("path").alias("above"), (F.col("depth") + 1).alias("depth"))
+    below = rest.join(above, "parent_id").withColumn("path", F.concat_ws("/", "above", "step"))
+    return root.select(F.col("step").alias("path"), F.lit(0).alias("depth"), *columns[2:]).unionByName(below.select(*columns)).orderBy("path")
 
 
 def write_file(node: DataFrame, relation: DataFrame, attribute: DataFrame, path: str) -> None:

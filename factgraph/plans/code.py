@@ -327,7 +327,7 @@ def recovered_constructors(t: Tables) -> DataFrame:
 SELECT feature, n FROM ({_SIZES}), LATERAL (SELECT unnest(['segment', 'model', 'inventoryElement', 'parameterUnit', 'codeElement']) AS feature, unnest([1, 2, nb + 2, 4 * np + nc + 6,
   nb + 2 + nc + 5 + np + nc + 6 + 3 * nc + {_sum(lambda c: c.writes)} + np + nc + 6 + {_sum(lambda c: len(c.labels))} + 3 * nc + 6]) AS n)""")
 def xmi_elements(t: Tables) -> DataFrame:
-    f = facts(t)
+    f = model_facts(t)
     nodes = model.nodes(f, "shop")
     none = nodes.limit(0).select(F.col("id").alias("owner_id"), F.lit("").alias("type"), F.lit("").alias("target_id"))
     return xmi.lines(nodes, none, model.attributes(f)).groupBy("feature").agg(F.count("*").alias("n"))

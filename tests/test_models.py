@@ -91,6 +91,18 @@ def test_xmi_round_trip(spark, built, tmp_path):
     assert open(path).read() == open(again).read()
 
 
+def test_xmi_levels_carry_only_what_holds_others(spark, monkeypatch):
+    rows = [("root", None, 0), *((f"n{k}", f"n{k - 1}" if k else "root", 0) for k in range(20)), *((f"leaf{k}", f"n{k % 20}", k) for k in range(200)), ("lost", "nowhere", 0), ("own", "own", 0)]
+    node = spark.createDataFrame([(i, p, "codeElement", o, "ActionElement", i, None) for i, p, o in rows], "id string, parent_id string, feature string, ord long, metaclass string, name string, kind string")
+    seen = []
+    monkeypatch.setattr(xmi, "cut", lambda df: seen.append(df) or local(df))
+    none = spark.createDataFrame([], "owner_id string, type string, target_id string")
+    got = xmi.lines(node, none, spark.createDataFrame([], "owner_id string, tag string, value string")).collect()
+    assert [r.path for r in got] == sorted(r.path for r in got) and len(got) == 1 + 20 + 200
+    assert {r.depth for r in got if "leaf19\"" in r.opening or "leaf0\"" in r.opening} == {21, 2}
+    assert seen and not any("opening" in df.columns for df in seen) and max(len(df.collect()) for df in seen[:3]) <= 22
+
+
 def test_model_reads_only_the_columns_of_written_facts(spark):
     t = code.model_facts(Tables(spark, "/root/testdata/sf0.001"))
     assert "arguments" not in t["call_fact"].columns and t["body_node"] is t["body_node"]
