@@ -9,7 +9,7 @@ from factgraph.facts import resolution
 from factgraph.kdm import model, validation, xmi
 from factgraph.operators import graphs
 from factgraph.operators.lineage import written
-from factgraph.plans import code
+from factgraph.plans import catalog, code
 from factgraph.plans.registry import Tables
 from factgraph.recovery import roles, structure
 from factgraph.review import findings
@@ -278,6 +278,25 @@ def test_suggestions_merge_with_the_deterministic_one_first(spark):
     assert sorted((r.id, r.confidence, r.evidence) for r in out) == [("b", 0.95, ["p", "q"]), ("c", 0.1, None), ("d", 0.2, ["z"])]
 
 
+def test_knowledge_edges_of_all_components(spark, tmp_path):
+    """Components without a hint are in every loop, with Knowledge members in lists of any length; without hints there is one loop."""
+    import duckdb
+
+    part = "p_partkey long, p_name string, p_brand string, p_size int"
+    rows = [(1, "a", "x", 0), (2, "b", "x", 4), (3, "c", "y", 1), (5, "d", "y", 4), (4, "e", "x", 4), (8, "f", None, 2), (9, "g", None, 6)]
+    expected = {(1, 2), (1, 4), (3, 5), (3, 4), (8, 2), (8, 5), (8, 4)}
+    for name, some, wanted in (("hints", rows[:6], expected), ("none", [r for r in rows if r[0] % 4 == 0], {(8, 4)}), ("null", [(k, n, None, s) for k, n, _, s in rows], {(a, b) for a in (1, 3, 8) for b in (2, 5, 4)})):
+        spark.createDataFrame(some, part).coalesce(1).write.parquet(str(tmp_path / name / "part.parquet"))
+        got = sorted((int(r.source[10:]), int(r.target[10:]), r.confidence) for r in catalog.queries()["knowledge_edges"](spark, str(tmp_path / name)).collect())
+        assert got == sorted((a, b, 0.8) for a, b in wanted)
+        with duckdb.connect() as con:
+            con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/{name}/part.parquet/*.parquet'")
+            assert sorted((int(a[10:]), int(b[10:]), c) for a, b, c in con.sql(catalog.oracle_sql()["knowledge_edges"]).fetchall()) == got
+    many = spark.range(2 * structure.CHUNK).selectExpr("'L' as loop", "concat('k', id) as component_id", "'Knowledge' as role").unionByName(spark.sql("select 'L' as loop, 'u' as component_id, 'Monitor' as role"))
+    out = structure.knowledge_edges(many).select("source", "target").collect()
+    assert len(out) == len(set(out)) == 2 * structure.CHUNK
+
+
 def test_weak_loops_and_applied_suggestions(spark):
     members = spark.createDataFrame([("w", "c1", "Monitor", 0.9, 1), ("w", "c2", "Knowledge", 0.9, 2), ("x", "c3", "Monitor", 0.9, 1), ("x", "c4", "ReferenceInput", 0.9, 1)], "loop string, component_id string, role string, confidence double, ord int")
     loops = structure.control_loops(members).collect()
