@@ -37,6 +37,9 @@ def validate(node: DataFrame, relation: DataFrame, attribute: DataFrame, region:
     meta = node.select("id", "metaclass", "parent_id", "kind")
     parent = meta.select(F.col("id").alias("parent_id"), F.col("metaclass").alias("parent_class"))
     placed = meta.where(F.col("metaclass").isin(*ACTIONS)).join(parent, "parent_id", "left")
+    # an action's first region tells it from others of its parent; actions without one are told apart by name and kind alone
+    at = region.groupBy(F.col("owner_id").alias("id")).agg(F.min(F.struct("path", "start_line", "end_line")).alias("at"))
+    same = node.where(F.col("metaclass").isin(*ACTIONS) & F.col("parent_id").isNotNull()).select("id", "parent_id", "metaclass", "name", "kind").join(at, "id", "left")
     target = meta.select(F.col("id").alias("target_id"), F.col("metaclass").alias("target_class"))
     aimed = relation.join(target, "target_id", "left")
     allowed = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in TARGETS.items() if kv[1] for x in kv))
@@ -51,6 +54,7 @@ def validate(node: DataFrame, relation: DataFrame, attribute: DataFrame, region:
         duplicate_key("KDM-DUP-03", "error", node, ["id"]),
         violates("KDM-ACT-01", "error", placed, "id", ~F.coalesce(F.col("parent_class").isin("BlockUnit", *ACTIONS), F.lit(False)), "action outside a block"),
         duplicate_key("KDM-ACT-02", "error", node.where("metaclass = 'BlockUnit' and name = 'body'"), ["parent_id"]),
+        duplicate_key("KDM-ACT-03", "error", same.select("parent_id", "metaclass", "name", "kind", "at.*"), ["parent_id", "metaclass", "name", "kind", "path", "start_line", "end_line"]),
         violates("KDM-REL-01", "error", aimed, "owner_id", F.col("target_class").isNull(), F.concat("type", F.lit(" has no target: "), "target_id")),
         violates("KDM-REL-02", "error", aimed, "owner_id", F.col("target_class").isNotNull() & ~F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("type")), F.col("target_class")), F.lit(True)), F.concat("type", F.lit(" targets a "), "target_class")),
         violates("KDM-REL-03", "warning", relation, "owner_id", ~F.col("type").isin(*TARGETS), F.concat(F.lit("unknown relation type "), "type")),

@@ -75,6 +75,34 @@ def test_validators_fire(spark, built):
     assert {(r.rule_id, r.element) for r in found} == {("REG-TAG", "x"), ("REG-COUNT", "ClassUnit")}
 
 
+def test_builtin_calls_have_targets(spark):
+    source = "def go(size):\n    items = []\n    items.append(size)\n    print(size)\n    with open(size) as f:\n        f.read()\n    raise ValueError(size)\n"
+    t = {k: local(v) for k, v in python_source.tables(local(python_source.parsed(spark.createDataFrame([("m.py", bytearray(source.encode()))], "path string, content binary"), "p"))).items()}
+    imports = local(resolution.resolve_imports(t, "p"))
+    cols = ["callable_id", "ord", "name", "line", "classification", "target_id", "module_id"]
+    calls = local(resolution.resolve_function_calls(t, imports).select(*cols).unionByName(resolution.resolve_method_calls(t, imports).select(*cols)))
+    more, related = model.detail(t, imports)
+    node = local(model.nodes(t, "p").unionByName(model.external_nodes(calls, imports)).unionByName(more))
+    relation = local(model.relations(t, imports, calls, local(resolution.synchronised(t, calls))).unionByName(related))
+    called = {r.target_id: (r.metaclass, r.name) for r in relation.where("type = 'Calls'").join(node.withColumnRenamed("id", "target_id"), "target_id", "left").collect()}
+    assert called == {
+        "builtin_type:list.append": ("CallableUnit", "append"), "builtin:print": ("CallableUnit", "print"), "builtin:open": ("CallableUnit", "open"),
+        "external_type:io.TextIOWrapper.read": ("ClassUnit", "read"), "builtin:ValueError": ("ClassUnit", "ValueError")}
+    region = local(model.regions(t))
+    assert validation.validate(node, relation, local(model.attributes(t)), region).collect() == []
+    twin = node.unionByName(node.where("name = 'raise'").withColumn("id", F.lit("twin")))
+    at = region.unionByName(region.join(node.where("name = 'raise'").select(F.col("id").alias("owner_id")), "owner_id").withColumn("owner_id", F.lit("twin")))
+    assert "KDM-ACT-03" in {r.rule_id for r in validation.validate(twin, relation, local(model.attributes(t)), at).collect()}
+
+
+def test_model_findings_hold_relations_without_target(spark, monkeypatch):
+    """No rule's findings are left out: without the stubs of what lies outside, the query tells of each relation to them."""
+    stubs = model.external_nodes
+    monkeypatch.setattr(model, "external_nodes", lambda calls, imports: stubs(calls, imports).where("false"))
+    found = {r.rule_id: (r.level, r.n) for r in catalog.queries()["model_findings"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(found) == {"KDM-REL-01"} and found["KDM-REL-01"][0] == "error" and found["KDM-REL-01"][1] > 78
+
+
 def test_xmi_round_trip(spark, built, tmp_path):
     _, node, relation, attribute, _ = built
     path = str(tmp_path / "model.xmi")
